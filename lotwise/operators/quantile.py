@@ -80,10 +80,11 @@ def bracketed_quantiles(
             F.percentile_approx("value", grid, F.lit(20 * GRID)).alias("cuts"), F.count("value").alias("m")
         )
         place = F.floor((F.col("low_rank") - F.col("below")) / F.greatest(F.col("m") - 1, F.lit(1)) * GRID)
+        spare = F.ceil(F.lit(2.0 * GRID) / F.col("m"))  # two more values when a grid step is less than one
         narrowed = (
             state.join(cuts, keyed)
             .withColumn("lo", F.element_at("cuts", F.greatest(place, F.lit(1)).cast("int")))
-            .withColumn("hi", F.element_at("cuts", F.least(place + 4, F.lit(GRID + 1)).cast("int")))
+            .withColumn("hi", F.element_at("cuts", F.least(place + 4 + spare, F.lit(GRID + 1)).cast("int")))
             .drop("cuts", "m", "below")
         )
         narrowed = settle(narrowed)

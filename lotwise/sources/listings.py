@@ -10,7 +10,7 @@ from lotwise.sources.tables import nan_to_null, table
 
 # Header of the raw listing CSV and the name each kept column gets here.
 RAW_COLUMNS = {
-    "ID": None,
+    "ID": "listing_id",
     "Price": "price",
     "Levy": "levy_text",
     "Manufacturer": "maker",
