@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators.lookup import group_means, lookup
 from lotwise.operators.quantile import FEW_DISTINCT, median_levels
-from lotwise.session import cut_lineage, settle
+from lotwise.session import stage, settle
 
 # Edges of the mean-price bins, intervals (low, high], codes 1..6.
 PRICE_BIN_EDGES = (2000.0, 10000.0, 15000.0, 20000.0, 25000.0, 32000.0, float("inf"))
@@ -70,11 +70,10 @@ def dense_ranks(means: DataFrame, key: str, limit: int = ONE_WINDOW_ROWS) -> Dat
     One window serves up to ``limit`` categories. More are range-partitioned, ranked inside
     each range and offset by the sizes of the ranges before it.
     """
-    means = settle(means)
     order = [F.asc("mean"), F.asc(key)]
-    if means.count() <= limit:
+    if means.limit(limit + 1).count() <= limit:
         return means.select(key, F.row_number().over(Window.orderBy(*order)).cast("int").alias("code"))
-    ranged = cut_lineage(means.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranged = stage(means.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     # one row per range partition, so the running total below is over few rows
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +98,22 @@ class CodeTable:
         return coded
 
 
+def category_means(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
+    """``(feature, level, mean, n)`` of several text categories in one pass over the rows."""
+    long = df.select(target, *keys).unpivot([target], list(keys), "feature", "level")
+    return (
+        long.where(F.col("level").isNotNull())
+        .groupBy("feature", "level")
+        .agg(F.avg(target).alias("mean"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def rank_codes(means: DataFrame, key: str, name: str | None = None) -> CodeTable:
+    """Rank encoder of one key from settled ``category_means``."""
+    own = means.where(F.col("feature") == key).select(F.col("level").alias(key), "mean")
+    return CodeTable(key, name or f"{key}_encoded", settle(dense_ranks(own, key)))
+
+
 def fit_rank_encoder(df: DataFrame, key: str, target: str, name: str | None = None) -> CodeTable:
     """Categories ranked 1..k by mean target. Fit on all rows to match the study, or on train rows."""
     ranks = dense_ranks(group_means(df, [key], target), key)
@@ -164,8 +179,12 @@ class OneHot:
 
 
 def fit_one_hot(df: DataFrame, key: str, prefix: str, most: int = 1000) -> OneHot:
+    return one_hot_levels(df.where(F.col(key).isNotNull()).select(key).distinct(), key, prefix, most)
+
+
+def one_hot_levels(levels: DataFrame, key: str, prefix: str, most: int = 1000) -> OneHot:
     """Levels become columns, so more than ``most`` of them is an error, not a truncation."""
-    rows = df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key).limit(most + 1).collect()
+    rows = levels.select(key).orderBy(key).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"{key} has more than {most} levels; use a rank or target encoding")
     return OneHot(key, prefix, tuple(r[0] for r in rows))

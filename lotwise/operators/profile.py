@@ -309,7 +309,7 @@ def mutual_information(
     Joint cells are counted in one shuffle of at most (bins · levels) rows per feature and task.
     """
     numbers = df.select(*[_q(c).cast("double").alias(c) for c in [*features, target]]).dropna()
-    levels = numbers.agg(*[F.approx_count_distinct(_q(c), 0.01).alias(c) for c in features]).first().asDict()
+    levels = numbers.agg(*[F.approx_count_distinct(_q(c)).alias(c) for c in features]).first().asDict()
     cut_cols = [target, *[c for c in features if levels[c] > discrete_upto]]
     steps = [i / bins for i in range(1, bins)]
     cuts = {r["feature"]: sorted(set(r["q"])) for r in quantiles(numbers, cut_cols, steps, limit=limit).collect()}

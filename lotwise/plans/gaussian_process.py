@@ -9,7 +9,7 @@ from lotwise.operators import density, encode, evaluate, gp, sample
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import EDGES, KEYS, SPLIT, encoded, imputed
 from lotwise.plans.registry import query, rounded
-from lotwise.session import cut_lineage
+from lotwise.session import stage
 from lotwise.sources.tables import table
 
 PAIR = ["engine", "age"]
@@ -177,7 +177,7 @@ STEPS, INDUCING = 4, 24
 
 def _ready(spark, folder):
     ready = flow.gp_rows(encoded(spark, folder), "order_key", edges=EDGES)
-    train = cut_lineage(ready.train.select(*ready.features, ready.target)).cache()
+    train = stage(ready.train.select(*ready.features, ready.target)).cache()
     return ready, train
 
 

@@ -7,7 +7,7 @@ from lotwise.operators import hierarchical as hier
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import CODED, EDGES, KEYS, encoded
 from lotwise.plans.registry import query, rounded
-from lotwise.session import cut_lineage
+from lotwise.session import stage
 
 # Fixed weights, position i holding 0.01·(i + 1), so that SQL can follow the scoring.
 LAYOUT = hier.layout()
@@ -83,7 +83,7 @@ STEPS = 10
 
 def _fitted(spark, folder):
     ready = _ready(spark, folder)
-    train = cut_lineage(ready.train.select(*ready.features, ready.target)).cache()
+    train = stage(ready.train.select(*ready.features, ready.target)).cache()
     return hier.hierarchical_fit(train, ready.target, steps=STEPS, lr=0.05)
 
 

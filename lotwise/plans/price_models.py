@@ -14,14 +14,16 @@ from lotwise.operators.clean import Cuts, drop_duplicates, drop_missing, early_c
 from lotwise.operators.encode import (
     PRICE_BIN_EDGES,
     Scaler,
-    fit_one_hot,
-    fit_rank_encoder,
+    category_means,
     fit_scaler,
     fit_target_bins,
     hierarchical_impute,
+    one_hot_levels,
+    rank_codes,
 )
 from lotwise.operators.evaluate import evaluate
 from lotwise.operators.sample import hash_bucket, train_test
+from lotwise.session import settle, stage
 
 NUMERIC = ("levy", "engine", "mileage", "cylinders", "airbags", "age")
 
@@ -32,16 +34,22 @@ def kept_listings(raw: DataFrame, cuts: Cuts = Cuts(), keep: Sequence[str] = (),
 
 
 def imputed_listings(raw: DataFrame, cuts: Cuts = Cuts(), keep: Sequence[str] = (), dedupe: bool = True) -> DataFrame:
-    """Levy filled from engine and category, then engine, then all; late cuts after that."""
-    filled = hierarchical_impute(kept_listings(raw, cuts, keep, dedupe), "levy", [["engine", "category"], ["engine"]])
+    """Levy filled from engine and category, then engine, then all; late cuts after that.
+
+    The kept rows are staged: the fits that follow read columns of a table, not the joins again.
+    """
+    kept = stage(kept_listings(raw, cuts, keep, dedupe), "kept-listings")
+    filled = hierarchical_impute(kept, "levy", [["engine", "category"], ["engine"]])
     return late_cuts(filled, cuts)
 
 
 def encode_listings(clean: DataFrame) -> DataFrame:
-    """Rank codes of category and gearbox (fitted on all rows), one-hot drive."""
+    """Rank codes of category and gearbox (fitted on all rows), one-hot drive; one fitting pass."""
+    means = settle(category_means(clean, ["category", "gearbox", "drive"], "price"))
+    drives = means.where(F.col("feature") == "drive").select(F.col("level").alias("drive"))
     for key in ("category", "gearbox"):
-        clean = fit_rank_encoder(clean, key, "price").transform(clean)
-    return fit_one_hot(clean, "drive", "drive").transform(clean)
+        clean = rank_codes(means, key).transform(clean)
+    return one_hot_levels(drives, "drive", "drive").transform(clean)
 
 
 def clean_table(raw: DataFrame, cuts: Cuts = Cuts(), keep: Sequence[str] = (), dedupe: bool = True) -> DataFrame:

@@ -52,14 +52,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: later jobs survive lost executors
-    without redoing the joins upstream."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write the rows as parquet in the shared folder and go on from there.
+
+    Cuts the lineage: later passes read only the columns they need, and survive lost executors
+    without redoing the joins upstream.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(table: DataFrame) -> DataFrame:
