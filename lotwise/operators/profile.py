@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.parse import lenient_number
-from lotwise.operators.quantile import FEW_DISTINCT, quantiles
+from lotwise.operators.blocks import sum_blocks
+from lotwise.operators.quantile import FEW_DISTINCT, distinct_sketch, quantiles
 from lotwise.session import settle
 
 
@@ -253,39 +255,33 @@ def mean_by(df: DataFrame, key: str, target: str, descending: bool = True) -> Da
     return means.orderBy(F.desc("mean") if descending else F.asc("mean"), F.asc(key))
 
 
+def _pair_sums(block: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Sums over the rows where both columns of a pair are known: n, x, x², x·y per pair."""
+    known = ~np.isnan(block)
+    x, m = np.where(known, block - shift, 0.0), known.astype(float)
+    return np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]).ravel()
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, full: bool = False) -> DataFrame:
-    """Pearson correlation of every column pair in one aggregation: ``(a, b, pos_a, pos_b, r)``.
+    """Pearson correlation of every column pair in one pass: ``(a, b, pos_a, pos_b, r)``.
 
     NULLs are left out pair by pair. The lower triangle comes out (``pos_a > pos_b``);
-    ``full`` mirrors it and adds the diagonal.
+    ``full`` mirrors it and adds the diagonal. The pass sums D×D blocks, shifted by the column
+    means for accuracy; a list of D²/2 aggregate expressions would outgrow generated code.
     """
     cols = list(cols or numeric_columns(df))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
+    d, spark = len(cols), df.sparkSession
     numbers = df.select(*[_q(c).cast("double").alias(c) for c in cols])
-    wide = numbers.agg(
-        *[
-            F.struct(
-                F.lit(cols[i]).alias("a"),
-                F.lit(cols[j]).alias("b"),
-                F.lit(i).alias("pos_a"),
-                F.lit(j).alias("pos_b"),
-                F.corr(_q(cols[i]), _q(cols[j])).alias("r"),
-            ).alias(f"p{i}_{j}")
-            for i, j in pairs
-        ]
-    )
-    lower = wide.select(F.inline(F.array(*[F.col(f"p{i}_{j}") for i, j in pairs])))
-    if not full:
-        return lower
-    entries = F.array(
-        F.struct("a", "b", "pos_a", "pos_b", "r"),
-        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("pos_b").alias("pos_a"),
-                 F.col("pos_a").alias("pos_b"), "r"),
-    )
-    diagonal = df.sparkSession.createDataFrame(
-        [(c, c, i, i, 1.0) for i, c in enumerate(cols)], "a string, b string, pos_a int, pos_b int, r double"
-    )
-    return lower.select(F.inline(entries)).unionByName(diagonal)
+    means = numbers.agg(*[F.avg(_q(c)).alias(c) for c in cols]).first()
+    shift = np.array([0.0 if v is None else v for v in means])
+    n, x, xx, xy = sum_blocks(numbers, cols, 4 * d * d, _pair_sums, shift).reshape(4, d, d)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = xy - x * x.T / n
+        var = xx - x * x / n
+        r = cov / np.sqrt(var * var.T)
+    cells = [(i, j) for i in range(d) for j in range(d) if full or j < i]
+    rows = [(cols[i], cols[j], i, j, 1.0 if i == j else float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, j in cells]
+    return spark.createDataFrame(rows, "a string, b string, pos_a int, pos_b int, r double")
 
 
 def lower_triangle(corr: DataFrame) -> DataFrame:
@@ -309,8 +305,8 @@ def mutual_information(
     Joint cells are counted in one shuffle of at most (bins · levels) rows per feature and task.
     """
     numbers = df.select(*[_q(c).cast("double").alias(c) for c in [*features, target]]).dropna()
-    levels = numbers.agg(*[F.approx_count_distinct(_q(c)).alias(c) for c in features]).first().asDict()
-    cut_cols = [target, *[c for c in features if levels[c] > discrete_upto]]
+    levels = distinct_sketch(numbers, features)
+    cut_cols = [target, *[c for c in features if levels.get(c, 0) > discrete_upto]]
     steps = [i / bins for i in range(1, bins)]
     cuts = {r["feature"]: sorted(set(r["q"])) for r in quantiles(numbers, cut_cols, steps, limit=limit).collect()}
 

@@ -19,10 +19,16 @@ FEW_DISTINCT = 500_000
 GRID = 1_000
 
 
+def distinct_sketch(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Approximate distinct values per numeric column, one sketch buffer per column."""
+    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "value")
+    found = long.groupBy("feature").agg(F.approx_count_distinct("value").alias("d")).collect()
+    return {r["feature"]: r["d"] for r in found}
+
+
 def few_distinct(df: DataFrame, cols: Sequence[str], limit: int = FEW_DISTINCT) -> bool:
     """Whether every column's distinct values fit in one aggregation buffer (5 % sketch)."""
-    counts = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    return max(counts.first(), default=0) <= limit
+    return max(distinct_sketch(df, cols).values(), default=0) <= limit
 
 
 def quantiles(
