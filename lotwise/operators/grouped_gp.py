@@ -277,7 +277,7 @@ def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_n
     """
     key = groups.key
     points = test.select(F.col(key), F.col(x).cast("double").alias("xs")).dropna().distinct()
-    points = settle(points)
+    points = stage(points, "test-points")
     chunks = settle(
         points.groupBy(key).agg(F.ceil(F.count("xs") / F.lit(TEST_ROWS_PER_TASK)).cast("int").alias("_chunks"))
     )
@@ -319,7 +319,7 @@ def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_n
     if groups.any_large:
         sums = groups.series_sums(theta).join(per_salt, key)
         scored = scored.unionByName(sums.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(summed, schema))
-    looked = test.withColumn("xs", F.col(x).cast("double")).join(settle(scored), [key, "xs"], "left")
+    looked = test.withColumn("xs", F.col(x).cast("double")).join(scored, [key, "xs"], "left")
     return looked.select(*test.columns, "gp_mean", "gp_var")
 
 

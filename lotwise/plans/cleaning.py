@@ -21,6 +21,7 @@ from lotwise.plans.frames import (
     banded,
     encoded,
     imputed,
+    kept,
     listing,
 )
 from lotwise.plans.registry import query, rounded
@@ -202,7 +203,7 @@ def upper_quantile_trim(spark, folder):
     and mileage <= (select quantile_cont(mileage, 0.995) from banded)"""
 )
 def two_sided_quantile_trim(spark, folder):
-    return profile.quantile_trim(banded(spark, folder), "mileage", 0.005, 0.995)
+    return profile.quantile_trim(kept(spark, folder), "mileage", 0.005, 0.995)
 
 
 STUDY = f"""{PARSED}, kept as (select * from parsed where price between 2000 and 50000 and mileage <= 370000),
@@ -227,7 +228,7 @@ def study_cuts(spark, folder):
     select order_key, line_no, b.maker, round(maker_mean, 6) as maker_mean from banded b left join m on b.maker = m.maker"""
 )
 def one_key_lookup(spark, folder):
-    rows = banded(spark, folder)
+    rows = kept(spark, folder)
     fitted = settle(lookup.group_means(rows, ["maker"], "price", "maker_mean"))
     return rounded(lookup.lookup(rows.select(*KEYS, "maker"), fitted, ["maker"]).select(*KEYS, "maker", "maker_mean"))
 
@@ -239,7 +240,7 @@ def one_key_lookup(spark, folder):
     left join m on b.engine = m.engine and b.category = m.category"""
 )
 def two_key_lookup(spark, folder):
-    rows = banded(spark, folder)
+    rows = kept(spark, folder)
     (pairs,) = quantile.median_levels(rows, "levy", [["engine", "category"]])
     fitted = settle(pairs.withColumnRenamed("median", "pair_median"))
     keys = ["engine", "category"]
@@ -253,7 +254,7 @@ def two_key_lookup(spark, folder):
     union all select 'all', null, null, median(levy) from banded"""
 )
 def levy_medians(spark, folder):
-    pair, single, overall = quantile.median_levels(banded(spark, folder), "levy", [["engine", "category"], ["engine"], []])
+    pair, single, overall = quantile.median_levels(kept(spark, folder), "levy", [["engine", "category"], ["engine"], []])
     none = lambda t: F.lit(None).cast(t)
     return (
         pair.select(F.lit("pair").alias("level"), "engine", "category", "median")
@@ -366,7 +367,7 @@ def kernel_product_block(spark, folder):
 )
 def furthest_prices(spark, folder):
     """Top 20 by absolute distance from the mean: a sort by absolute value."""
-    rows = banded(spark, folder)
+    rows = kept(spark, folder)
     mu = rows.agg(F.avg("price")).first()[0]
     gap = F.col("price") - F.lit(mu)
     return rows.orderBy(F.abs(gap).desc(), *KEYS).limit(20).select(*KEYS, F.round(gap, 4).alias("gap"))
@@ -450,7 +451,7 @@ def scaled_features(spark, folder):
 )
 def scaled_log_price(spark, folder):
     """Standardised log price and its inverse."""
-    rows = banded(spark, folder).withColumn("log_price", F.log("price"))
+    rows = kept(spark, folder).withColumn("log_price", F.log("price"))
     scaler = encode.fit_scaler(rows, ["log_price"])
     scaled = scaler.transform(rows).withColumn("back", F.exp(scaler.inverse(F.col("log_price"), "log_price")))
     return rounded(scaled.select(*KEYS, F.col("log_price").alias("z"), F.round("back", 4).alias("back")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lotwise.operators.clean import Cuts
 from lotwise.plans import price_models as flow
+from lotwise.session import stage
 from lotwise.sources.listings import listing_view
 
 KEYS = ("order_key", "line_no")
@@ -23,6 +24,11 @@ def banded(spark: SparkSession, folder: str) -> DataFrame:
     return flow.kept_listings(listing(spark, folder), BAND, KEYS, dedupe=False)
 
 
+def kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The banded rows, staged for queries that read them more than once."""
+    return stage(banded(spark, folder), "kept-listings")
+
+
 def imputed(spark: SparkSession, folder: str) -> DataFrame:
     return flow.imputed_listings(listing(spark, folder), BAND, KEYS, dedupe=False)
 

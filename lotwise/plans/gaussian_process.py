@@ -18,7 +18,7 @@ FIXED = gp.Hyper(np.array([1.0, 1.5]), 1.0, 0.5, np.array([[-1.0, -1.0], [1.0, 1
 
 
 def _scaled(spark, folder):
-    rows = imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log("price")).cache()
+    rows = imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log("price"))
     train, test = sample.train_test(rows, "order_key")
     scaler = encode.fit_scaler(train, [*PAIR, "log_price"])
     return scaler.transform(train), scaler.transform(test), scaler
@@ -177,7 +177,7 @@ STEPS, INDUCING = 4, 24
 
 def _ready(spark, folder):
     ready = flow.gp_rows(encoded(spark, folder), "order_key", edges=EDGES)
-    train = stage(ready.train.select(*ready.features, ready.target)).cache()
+    train = stage(ready.train.select(*ready.features, ready.target)).persist()
     return ready, train
 
 

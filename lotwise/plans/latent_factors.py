@@ -83,7 +83,7 @@ STEPS = 10
 
 def _fitted(spark, folder):
     ready = _ready(spark, folder)
-    train = stage(ready.train.select(*ready.features, ready.target)).cache()
+    train = stage(ready.train.select(*ready.features, ready.target)).persist()
     return hier.hierarchical_fit(train, ready.target, steps=STEPS, lr=0.05)
 
 

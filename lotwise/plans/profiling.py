@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotwise.operators import profile, quantile
-from lotwise.plans.frames import BANDED, ENCODED, KEYS, LISTING, banded, encoded, listing
+from lotwise.plans.frames import BANDED, ENCODED, KEYS, LISTING, banded, encoded, imputed, kept, listing
 from lotwise.plans.registry import query, rounded
+from lotwise.session import stage
 from lotwise.sources.tables import table
 
 NUMERIC = ["price", "levy", "engine", "mileage", "cylinders", "airbags", "age"]
@@ -131,7 +132,7 @@ def column_profiles(spark, folder):
     round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75,
     max({c}) + 0.0 as max""", "banded"))
 def describe_listings(spark, folder):
-    return rounded(profile.describe(banded(spark, folder), NUMERIC).withColumn("std", F.round("std", 4)))
+    return rounded(profile.describe(kept(spark, folder), NUMERIC).withColumn("std", F.round("std", 4)))
 
 
 QS = [0.005, 0.25, 0.5, 0.75, 0.995]
@@ -140,7 +141,7 @@ QS = [0.005, 0.25, 0.5, 0.75, 0.995]
 @query(f"with {BANDED} " + _each(NUMERIC, "'{c}' as feature, " + ", ".join(
     f"round(quantile_cont({{c}}, {q}), 6) as q{i}" for i, q in enumerate(QS)), "banded"))
 def exact_quantiles(spark, folder):
-    found = quantile.quantiles(banded(spark, folder), NUMERIC, QS)
+    found = quantile.quantiles(kept(spark, folder), NUMERIC, QS)
     return rounded(found.select("feature", *[F.col("q")[i].alias(f"q{i}") for i in range(len(QS))]))
 
 
@@ -160,7 +161,7 @@ _Q = "quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3"
 @query(f"with {BANDED}, f as (" + _each(CHECKED, "'{c}' as feature, " + _Q, "banded")
        + ") select *, q1 - 1.5 * (q3 - q1) as lower, q3 + 1.5 * (q3 - q1) as upper from f")
 def tukey_fences(spark, folder):
-    return profile.iqr_bounds(banded(spark, folder), CHECKED)
+    return profile.iqr_bounds(kept(spark, folder), CHECKED)
 
 
 @query(f"with {ENCODED}, " + ", ".join(
@@ -170,7 +171,7 @@ def tukey_fences(spark, folder):
     round(100.0::double * count(*) filter ({c} < lower or {c} > upper) / count(*), 2) as percent,
     any_value(lower) as lower, any_value(upper) as upper from encoded cross join f_{c}""" for c in CHECKED))
 def outlier_counts(spark, folder):
-    return profile.outlier_summary(encoded(spark, folder), CHECKED)
+    return profile.outlier_summary(imputed(spark, folder), CHECKED)
 
 
 BOXED = ["price", "levy", "engine", "mileage"]
@@ -185,7 +186,7 @@ BOXED = ["price", "levy", "engine", "mileage"]
     count(*) filter ({c} not between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as n_outliers
     from banded cross join b_{c}""" for c in BOXED))
 def boxplot_numbers(spark, folder):
-    return rounded(profile.boxplot_stats(banded(spark, folder), BOXED))
+    return rounded(profile.boxplot_stats(kept(spark, folder), BOXED))
 
 
 @query(f"""with {LISTING} select 'over_50000' as predicate, count(*) filter (price > 50000) as n from listing
@@ -209,7 +210,8 @@ _PAIRS = [(i, j) for i in range(len(CORR)) for j in range(i)]
     f"select '{CORR[i]}' as a, '{CORR[j]}' as b, round(corr({CORR[i]}, {CORR[j]}), 6) + 0.0 as r from encoded"
     for i, j in _PAIRS))
 def correlation_triangle(spark, folder):
-    full = profile.corr_matrix(encoded(spark, folder), CORR, full=True)
+    rows = stage(encoded(spark, folder).select(*CORR), "correlation")
+    full = profile.corr_matrix(rows, CORR, full=True)
     return rounded(profile.lower_triangle(full).select("a", "b", "r"))
 
 
@@ -238,7 +240,8 @@ MI_SQL = "with " + ENCODED + ", " + _mutual_information_sql(MI, {"levy", "engine
 
 @query(MI_SQL)
 def mutual_information_with_price(spark, folder):
-    return rounded(profile.mutual_information(encoded(spark, folder), MI, "price"))
+    rows = stage(encoded(spark, folder).select(*MI, "price"), "mutual-information")
+    return rounded(profile.mutual_information(rows, MI, "price"))
 
 
 @query(f"with {BANDED} " + _each(["engine", "mileage", "age"],

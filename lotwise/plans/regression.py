@@ -8,12 +8,13 @@ from lotwise.operators import encode, evaluate, linear, sample
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import CODED, EDGES, ENCODED, KEYS, SPLIT, encoded, imputed
 from lotwise.plans.registry import query, rounded
+from lotwise.session import stage
 
 PAIR = ["engine", "age"]
 
 
 def _train_test(spark, folder):
-    rows = imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log1p("price")).cache()
+    rows = imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log1p("price")).persist()
     return sample.train_test(rows, "order_key")
 
 
@@ -104,7 +105,7 @@ def ridge_model_comparison(spark, folder):
     One moment pass serves the three fits.
     """
     ready = flow.ridge_rows(encoded(spark, folder), "order_key", edges=EDGES)
-    train, test = ready.train.cache(), ready.test
+    train, test = stage(ready.train.select(*ready.features, ready.target)), ready.test
     m = linear.moments(train, ready.features, ready.target)
     fits = {"all": ready.features, "top": TOP_FEATURES, "correlated": CORRELATED_FEATURES}
     scored = test
@@ -145,7 +146,7 @@ SCALED_SUMS = (
 
 
 def _scaled_moments(spark, folder):
-    rows = imputed(spark, folder).select("order_key", "price", *PAIR).withColumn("log_price", F.log("price")).cache()
+    rows = imputed(spark, folder).select("order_key", "price", *PAIR).withColumn("log_price", F.log("price"))
     train, test = sample.train_test(rows, "order_key")
     scaler = encode.fit_scaler(train, [*PAIR, "log_price"])
     return tuple(linear.moments(scaler.transform(f), PAIR, "log_price") for f in (train, test))

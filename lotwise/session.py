@@ -8,6 +8,10 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A fitted table of at most this many rows may be broadcast.
+SMALL_ROWS = 50_000
 
 
 def build_session(app: str = "lotwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,20 +60,27 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write the rows as parquet in the shared folder and go on from there.
 
     Cuts the lineage: later passes read only the columns they need, and survive lost executors
-    without redoing the joins upstream.
+    without redoing the joins upstream. A table of fewer splits than cores is small (at most
+    one split size per core): it is spread over the cores and kept, so that later passes use all of them.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    return rows
 
 
-def settle(table: DataFrame) -> DataFrame:
-    """Materialise a fitted table so that the optimizer knows its true size.
+def settle(table: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
+    """Materialise a fitted table once, with its size checked.
 
-    A cached table carries exact size statistics. A later join broadcasts it only when it is
-    below ``spark.sql.autoBroadcastJoinThreshold``; a larger one gets a shuffle join, in which
-    adaptive execution splits hot keys. Lost blocks are recomputed from the lineage.
+    Up to ``small`` rows it becomes a local table marked for broadcast: joins with it need no
+    shuffle and no recomputation. A larger one is staged in the shared folder; joins with it are
+    planned from its size on disk, and adaptive execution splits hot keys.
     """
-    kept = table.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    return kept
+    rows = table.limit(small + 1).toArrow()
+    if rows.num_rows > small:
+        return stage(table, "fitted")
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
