@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import simhash
+from lotwise.llm import bpe, simhash, token_counts
+from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
 QUERIES = {}
@@ -17,7 +18,25 @@ def query(fn):
     return fn
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer files are; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    automaton = token_counts.Automaton.of_byte_vocabulary(ByteVocabulary.read(tokenizer_path("byte_bpe_50k.json")))
+    return token_counts.token_counts(table(spark, folder, "documents"), automaton)
+
+
 @query
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("root").alias("component_id"))
+
+
+@query
+def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
