@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, simhash, token_counts
+from lotwise.llm import bpe, sharding, simhash, token_counts
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -37,6 +37,11 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("root").alias("component_id"))
 
 
+@query
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"), [1.0] * 16, [1.0] * 17)
+
+
 @query
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
