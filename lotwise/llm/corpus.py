@@ -46,6 +46,17 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(start), texts(column.slice(start))
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def with_text_columns(
     df: DataFrame,
     text: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, sharding, simhash, token_counts
+from lotwise.llm import bpe, decontaminate, sharding, simhash, token_counts
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -45,3 +45,9 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
