@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, decontaminate, sharding, simhash, token_counts
+from lotwise.llm import bpe, decontaminate, resample, sharding, simhash, token_counts, toxicity
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -37,6 +37,18 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("root").alias("component_id"))
 
 
+# The chain over the table's own labels; the last category is the one that decides.
+CATEGORIES = {"poor": "quality = 0", "toxic": "toxic = 1"}
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, folder, "labels"), CATEGORIES)
+    found = toxicity.scored(docs, chain, ["p_poor", "p_toxic"])
+    return found.select("doc_id", "p_poor", "p_toxic", (F.col("p_toxic") >= chain.threshold).alias("toxic"))
+
+
 @query
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), [1.0] * 16, [1.0] * 17)
@@ -47,6 +59,16 @@ def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op9_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Draws as large a part of the documents as is good among the labelled ones."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    good = labels.where("quality = 1").select("doc_id")
+    share = labels.agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0] or 0.0
+    scores = resample.weighted(docs, resample.fit(docs, good))
+    return resample.resampled(scores, round(share * docs.count()))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
