@@ -31,7 +31,7 @@ from lotwise.llm.corpus import slices, texts
 
 ORDER = 2
 # M: how many sightings the shorter context's answer is worth.
-PRIOR = 20.0
+PRIOR = 200.0
 # Text bytes of a chunk of documents, and words counted by a task before it sends them on.
 CHUNK_BYTES = 16 << 20
 HELD_WORDS = 1_000_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import backoff_lm, bpe, decontaminate, resample, sharding, simhash, token_counts, toxicity
+from lotwise.llm import backoff_lm, bpe, decontaminate, resample, secrets, sharding, simhash, token_counts, toxicity
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -59,6 +59,20 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+@query
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.trained(docs))
+    hits = F.filter("candidates", lambda c: c["secret"])
+    return found.select(
+        "doc_id",
+        F.size("candidates").alias("n_candidates"),
+        F.size(hits).alias("n_secrets"),
+        F.array_join(F.transform(hits, lambda c: F.concat_ws("+", c["start"], c["length"])), ",").alias("spans"),
+        F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"),
+    )
+
+
 @query
 def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
