@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import backoff_lm, bpe, decontaminate, resample, secrets, sharding, simhash, token_counts, toxicity
+from lotwise.llm import ann, backoff_lm, bpe, decontaminate, resample, secrets, sharding, simhash, token_counts, toxicity
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -31,6 +31,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), automaton)
 
 
+@query
+def op2_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), "id % 50 = 0", k=5)
+
+
 @query
 def op3_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_lm.scored(table(spark, folder, "documents"))
