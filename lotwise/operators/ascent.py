@@ -1,4 +1,4 @@
-"""Adam ascent on a small parameter vector held by the driver; each gradient is a Spark job."""
+"""Quasi-Newton ascent on a parameter vector held by the driver; each value and gradient is a Spark job."""
 
 from __future__ import annotations
 
@@ -6,16 +6,72 @@ from collections.abc import Callable
 
 import numpy as np
 
+# A fit ends when its value changes by less than this share of itself, several steps in a row.
+TOLERANCE = 1e-6
+QUIET_STEPS = 3
+# Curvature pairs kept.
+MEMORY = 20
 
-def adam_ascent(
-    theta: np.ndarray, value_and_gradient: Callable[[np.ndarray, int], tuple[float, np.ndarray]], steps: int, lr: float
-) -> tuple[np.ndarray, list[float]]:
-    """Maximise; returns the last parameters and the value seen at each step."""
-    m, v, trace = np.zeros_like(theta), np.zeros_like(theta), []
-    for step in range(1, steps + 1):
-        value, gradient = value_and_gradient(theta, step)
+
+class NotConverged(RuntimeError):
+    """The value still changed after the last step that was allowed."""
+
+
+def ascent(
+    theta: np.ndarray,
+    value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]],
+    tolerance: float = TOLERANCE,
+    most: int = 2_000,
+    first_step: float = 0.1,
+) -> tuple[np.ndarray, list[float], np.ndarray]:
+    """Maximise by L-BFGS with backtracking: the parameters, the value of each step, the last gradient.
+
+    Ends when ``QUIET_STEPS`` steps in a row change the value by less than ``tolerance`` of itself, or when
+    no step along the gradient raises it any more. ``most`` steps without that raise ``NotConverged``.
+    """
+    value, gradient = value_and_gradient(theta)
+    trace, pairs, quiet = [float(value)], [], 0
+    for _ in range(most):
+        size = float(np.abs(gradient).max(initial=0.0))
+        if size == 0.0:
+            return theta, trace, gradient
+        way, kept = gradient.copy(), []
+        for s, g in reversed(pairs):
+            a = (s @ way) / (s @ g)
+            kept.append(a)
+            way -= a * g
+        way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else first_step / size
+        for (s, g), a in zip(pairs, reversed(kept), strict=True):
+            way += (a - (g @ way) / (s @ g)) * s
+        slope = float(gradient @ way)
+        step, found = 1.0, None
+        while step > 1e-6:
+            with np.errstate(all="ignore"):
+                found = _tried(value_and_gradient, theta + step * way)
+            if found is not None and found[0] >= value + 1e-4 * step * slope:
+                break
+            step, found = step / 2, None
+        if found is None:
+            if not pairs:
+                return theta, trace, gradient
+            pairs = []  # the curvature misleads: start again along the gradient
+            continue
+        s, g = step * way, gradient - found[1]
+        if s @ g > 1e-10 * np.linalg.norm(s) * np.linalg.norm(g):
+            pairs = [*pairs[1 - MEMORY :], (s, g)]
+        change = abs(found[0] - value) / max(abs(value), abs(found[0]), 1e-300)
+        theta, (value, gradient) = theta + s, found
         trace.append(float(value))
-        m = 0.9 * m + 0.1 * gradient
-        v = 0.999 * v + 0.001 * gradient**2
-        theta = theta + lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta, trace
+        quiet = quiet + 1 if change < tolerance else 0
+        if quiet >= QUIET_STEPS:
+            return theta, trace, gradient
+    raise NotConverged(f"the value still changed after {most} steps")
+
+
+def _tried(value_and_gradient, theta: np.ndarray) -> tuple[float, np.ndarray] | None:
+    """A step that leaves the domain (overflow, no Cholesky factor) counts as one that does not help."""
+    try:
+        value, gradient = value_and_gradient(theta)
+    except np.linalg.LinAlgError:
+        return None
+    return (value, gradient) if np.isfinite(value) and np.isfinite(gradient).all() else None

@@ -10,20 +10,25 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+# Up to so many tasks their vectors are added at once.
+FEW_TASKS = 64
 
 
 def sum_blocks(
-    df: DataFrame, cols: Sequence[str], size: int, block: Callable[..., np.ndarray], payload=None
+    df: DataFrame, cols: Sequence[str], size: int, block: Callable[..., np.ndarray], payload=None, keep_unknown: bool = False
 ) -> np.ndarray:
     """``Σ block(matrix of cols[, payload])`` over all rows, a vector of ``size`` doubles.
 
-    ``payload`` (parameters the block needs) is shipped once per executor.
+    Rows with a NULL or NaN in any column are left out; ``keep_unknown`` hands them over as NaN. ``payload``
+    (parameters the block needs) is shipped once per executor. The tasks' vectors are added in two levels:
+    first those of about ``√tasks`` tasks each, then these sums, so no reducer reads a vector per task.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(payload)
@@ -32,15 +37,22 @@ def sum_blocks(
         total, seen = np.zeros(size), False
         for batch in batches:
             if len(batch):
-                total += block(batch.to_numpy(dtype=float), shared.value)
+                rows = batch.to_numpy(dtype=float)
+                rows = rows if keep_unknown else rows[~np.isnan(rows).any(axis=1)]
+                total += block(rows, shared.value)
                 seen = True
         if seen:
             parts = [total[i : i + CHUNK] for i in range(0, size, CHUNK)]
-            yield pd.DataFrame({"chunk": range(len(parts)), "part": parts})
-
-    partial = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
-        fold, "chunk int, part array<double>"
-    )
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame({"chunk": range(len(parts)), "task": task, "part": parts})
+
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    partial = numbers.mapInPandas(fold, "chunk int, task int, part array<double>")
+    tasks = numbers.rdd.getNumPartitions()
+    if tasks > FEW_TASKS:
+        group = F.pmod("task", F.lit(round(tasks**0.5)))
+        near = partial.groupBy("chunk", group.alias("task")).agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+        partial = near.withColumn("part", vector_to_array("part"))
     summed = partial.groupBy("chunk").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
     try:
         rows = sorted(summed.collect(), key=lambda r: r["chunk"])

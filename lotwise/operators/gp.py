@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import assemble, band, linspace
-from lotwise.operators.ascent import adam_ascent
+from lotwise.operators.ascent import TOLERANCE, ascent
 from lotwise.operators.blocks import sum_blocks
 from lotwise.operators.encode import Scaler
 from lotwise.operators.lookup import column_means
@@ -257,11 +257,11 @@ def condition(df: DataFrame, features: Sequence[str], target: str, h: Hyper, tra
     return SparseGP(tuple(features), h, b_inv @ s.b / h.noise, kuu_inv - b_inv, tuple(trace))
 
 
-def _fit(df, features, target, h, steps, lr, learn_inducing) -> SparseGP:
-    def objective(theta: np.ndarray, _step: int) -> tuple[float, np.ndarray]:
+def _fit(df, features, target, h, tolerance, learn_inducing) -> SparseGP:
+    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
         return bound_and_gradient(df, features, target, h.unpack(theta, learn_inducing), learn_inducing)
 
-    theta, trace = adam_ascent(h.pack(learn_inducing), objective, steps, lr)
+    theta, trace, _ = ascent(h.pack(learn_inducing), objective, tolerance)
     return condition(df, features, target, h.unpack(theta, learn_inducing), trace)
 
 
@@ -277,19 +277,18 @@ def sparse_gp_fit(
     features: Sequence[str],
     target: str,
     z: np.ndarray,
-    steps: int = 30,
-    lr: float = 0.1,
+    tolerance: float = TOLERANCE,
     jitter: float = 0.1,
     lengthscale: float = 0.5,
     learn_inducing: bool = True,
 ) -> SparseGP:
     """Fit scales, variance, noise (and inducing points). Cache ``df``: each step reads it twice.
 
-    The posterior over inducing values is optimal at every step, so a few large steps stand
-    in for the many small ones of a stochastic fit.
+    Steps go on until the bound stands still. The posterior over inducing values is optimal at every
+    step, so that takes far fewer of them than a stochastic fit.
     """
     h = Hyper(np.full(len(features), float(lengthscale)), 1.0, 1.0, z, jitter)
-    return _fit(df, features, target, h, steps, lr, learn_inducing)
+    return _fit(df, features, target, h, tolerance, learn_inducing)
 
 
 def deep_kernel_gp_fit(
@@ -297,8 +296,7 @@ def deep_kernel_gp_fit(
     features: Sequence[str],
     target: str,
     z: np.ndarray,
-    steps: int = 30,
-    lr: float = 0.05,
+    tolerance: float = TOLERANCE,
     hidden: int = 32,
     jitter: float = 0.1,
     learn_inducing: bool = True,
@@ -307,7 +305,7 @@ def deep_kernel_gp_fit(
     """Kernel over learned features; inducing points stay in input space and pass through the net."""
     d = len(features)
     h = Hyper(np.ones(d), 1.0, 1.0, z, jitter, init_net(d, hidden, d, seed))
-    return _fit(df, features, target, h, steps, lr, learn_inducing)
+    return _fit(df, features, target, h, tolerance, learn_inducing)
 
 
 def mlp_transform(df: DataFrame, features: Sequence[str], net: Net, name: str = "latent") -> DataFrame:

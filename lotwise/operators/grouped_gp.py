@@ -1,11 +1,12 @@
 """One exact Gaussian process per group, on one input.
 
 Repeated inputs of a group are first folded into cells ``(x, n, mean y, scatter)``, which leaves
-every result unchanged. Groups with few cells are solved densely, one task per group. For a group
-with many cells the squared-exponential kernel is written as its power series around the group's
-centre: ``exp(-l (x-x')²) = Σ_n φ_n(x) φ_n(x')``, ``φ_n(x) = sqrt((2l)^n / n!) d^n exp(-l d²)``. The
+every result unchanged. A group can then be solved from its cells, or from the squared-exponential
+kernel's power series around the group's centre: ``exp(-l (x-x')²) = Σ_n φ_n(x) φ_n(x')``, ``φ_n(x) = sqrt((2l)^n / n!) d^n exp(-l d²)``. The
 series is cut where the rest is below rounding, so the posterior needs only ``Σ φφ'`` and
-``Σ φy`` — sums that Spark adds up across tasks. No group is gathered whole.
+``Σ φy`` — sums that Spark adds up across tasks. Both are exact to rounding; each group and parameter
+takes the one with the smaller system, as many unknowns as it has cells or terms. So a group's cost follows
+its own range and cells, and no other group's. Rows of a large group are never gathered.
 
 Parameters of a group are ``theta = (log l, log variance, log noise variance)``.
 """
@@ -19,16 +20,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators.ascent import QUIET_STEPS, TOLERANCE, NotConverged
 from lotwise.operators.blocks import CHUNK
 from lotwise.session import stage, settle
 
-MAX_CELLS = 400
-MAX_TERMS = 1500
 TEST_ROWS_PER_TASK = 20_000
-HELD_GROUPS = 200
+# Cells of a group that one task sums.
+CELLS_PER_TASK = 50_000
 
 
 # --- likelihood and its gradient --------------------------------------------------------------
@@ -68,11 +69,13 @@ def terms_needed(rate: float, rest: float = 1e-18) -> int:
     n = max(2, int(rate) + 2)
     while n * log(max(rate, 1e-300)) - rate - lgamma(n + 1) > log(rest):
         n += 1 + n // 16
-    if n > MAX_TERMS:
-        raise ValueError("a large group's range is too wide for its lengthscale; standardise the input")
     return n
 
 
+def _terms(rate: Column) -> Column:
+    return F.pandas_udf(lambda rates: rates.map(terms_needed), "int")(rate)
+
+
 def series_likelihood(a, b, yy, n, theta) -> tuple[float, np.ndarray]:
     """As ``dense_likelihood`` from the sums of a group; ``a`` and ``b`` hold two extra terms for
     the derivative in l, which maps term n to terms n and n + 2."""
@@ -112,72 +115,75 @@ def fold_cells(train: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 class Groups:
-    """Cells of all groups, parted into small ones and ones to be summed as a series."""
+    """Cells of all groups, and how each group and parameter slot is solved.
 
-    def __init__(self, train: DataFrame, key: str, x: str, y: str, max_cells: int = MAX_CELLS):
+    ``dense_upto`` forces groups of so many cells to be solved densely and all others as series.
+    """
+
+    def __init__(self, train: DataFrame, key: str, x: str, y: str, dense_upto: int | None = None):
         self.key = key
         self.cells = stage(fold_cells(train, key, x, y))
-        sizes = settle(
+        self.sizes = settle(
             self.cells.groupBy(key).agg(
                 F.count("x").alias("m"), ((F.min("x") + F.max("x")) / 2).alias("c"),
                 ((F.max("x") - F.min("x")) / 2).alias("r"),
             )
         )
-        self.small = self.cells.join(sizes.where(F.col("m") <= max_cells).select(key), key, "left_semi")
-        self.large_sizes = sizes.where(F.col("m") > max_cells).select(key, "c", "r")
-        self.large = self.cells.join(self.large_sizes.select(key, "c"), key)
-        self.any_large = not self.large_sizes.isEmpty()
+        self.dense_upto = dense_upto
         self.key_type = train.schema[key].dataType.simpleString()
-        self.keys = sizes.select(key)
+        self.keys = self.sizes.select(key)
+
+    def ways(self, theta: DataFrame) -> DataFrame:
+        """``(key, slot, theta, m, c, terms, dense)`` for every group and parameter slot."""
+        rate = 2 * F.exp(F.col("theta")[0]) * F.col("r") * F.col("r")
+        known = self.sizes.join(theta.select(self.key, "slot", "theta"), self.key).withColumn("terms", _terms(rate))
+        dense = F.col("m") <= (F.col("terms") if self.dense_upto is None else F.lit(self.dense_upto))
+        return settle(known.select(self.key, "slot", "theta", "m", "c", "terms", dense.alias("dense")))
 
-    def series_sums(self, theta: DataFrame) -> DataFrame:
-        """``(key, slot, chunk, part)``: sums of every large group and parameter slot, in chunks.
+    def dense_cells(self, ways: DataFrame) -> DataFrame:
+        """Cells beside the parameters of the slots that are solved densely."""
+        return self.cells.join(ways.where("dense").select(self.key, "slot", "theta"), self.key)
 
-        ``theta`` is ``(key, slot, theta)``. Tasks hold a bounded number of groups at a time.
+    def series_sums(self, ways: DataFrame) -> DataFrame:
+        """``(key, slot, chunk, part, theta, c)``: sums of every group and slot solved as a series, in chunks.
+
+        Rows arrive sorted by group, so a task holds one group's sums at a time; large groups are
+        spread over tasks.
         """
         key = self.key
-        wanted = settle(self.large_sizes.join(theta, key).select(key, "slot", "theta", "r"))
-        rate = wanted.agg(F.max(2 * F.exp(F.col("theta")[0]) * F.col("r") * F.col("r"))).first()[0] or 0.0
-        terms = terms_needed(rate) + 2
+        wanted = ways.where(~F.col("dense"))
 
         def fold(batches):
-            held: dict = {}
+            at, total = None, None
 
-            def flush():
-                rows = []
-                for (group, slot), total in held.items():
-                    for i in range(0, len(total), CHUNK):
-                        rows.append((group, slot, i // CHUNK, total[i : i + CHUNK]))
-                held.clear()
-                return pd.DataFrame(rows, columns=[key, "slot", "chunk", "part"])
+            def chunks():
+                parts = [total[i : i + CHUNK] for i in range(0, len(total), CHUNK)]
+                return pd.DataFrame({key: at[0], "slot": at[1], "chunk": range(len(parts)), "part": parts})
 
             for batch in batches:
-                for (group, slot), rows in batch.groupby([key, "slot"], sort=False):
-                    x, n, ybar = (rows[c].to_numpy(dtype=float) for c in ("x", "n", "ybar"))
-                    phi = series(x, rows["c"].iloc[0], rows["l"].iloc[0], terms)
+                for group, rows in batch.groupby([key, "slot"], sort=False):
+                    if group != at:
+                        if at is not None:
+                            yield chunks()
+                        at, total = group, None
+                    x, n, ybar, ss = (rows[c].to_numpy(dtype=float) for c in ("x", "n", "ybar", "ss"))
+                    phi = series(x, rows["c"].iloc[0], np.exp(rows["theta"].iloc[0][0]), int(rows["terms"].iloc[0]) + 2)
                     sums = np.concatenate(
-                        [
-                            (phi.T @ (phi * n[:, None])).ravel(),
-                            phi.T @ (n * ybar),
-                            [(n * ybar**2 + rows["ss"].to_numpy(dtype=float)).sum(), n.sum()],
-                        ]
+                        [(phi.T @ (phi * n[:, None])).ravel(), phi.T @ (n * ybar), [(n * ybar**2 + ss).sum(), n.sum()]]
                     )
-                    at = (group, slot)
-                    held[at] = held[at] + sums if at in held else sums
-                    if len(held) >= HELD_GROUPS:
-                        yield flush()
-            if held:
-                yield flush()
-
-        slots = wanted.select(key, "slot", F.exp(F.col("theta")[0]).alias("l"))
-        partial = self.large.join(slots, key).mapInPandas(
+                    total = sums if total is None else total + sums
+            if at is not None:
+                yield chunks()
+
+        spread = F.ceil(F.col("m") / CELLS_PER_TASK).cast("int")
+        rows = self.cells.join(wanted, key).withColumn("_salt", F.pmod(F.xxhash64("x"), spread))
+        sorted_rows = rows.repartition(key, "slot", "_salt").sortWithinPartitions(key, "slot")
+        partial = sorted_rows.select(key, "slot", "theta", "c", "terms", "x", "n", "ybar", "ss").mapInPandas(
             fold, f"`{key}` {self.key_type}, slot int, chunk int, part array<double>"
         )
         summed = partial.groupBy(key, "slot", "chunk").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
         flat = summed.select(key, "slot", "chunk", vector_to_array("part").alias("part"))
-        return flat.join(wanted.select(key, "slot", "theta"), [key, "slot"]).join(
-            self.large_sizes.select(key, "c"), key
-        )
+        return flat.join(wanted.select(key, "slot", "theta", "c"), [key, "slot"])
 
 
 def _unpack_sums(rows: pd.DataFrame):
@@ -186,6 +192,15 @@ def _unpack_sums(rows: pd.DataFrame):
     return flat[: r * r].reshape(r, r), flat[r * r : r * r + r], float(flat[-2]), float(flat[-1])
 
 
+def _or_none(likelihood, *args):
+    """NULL where the system has no Cholesky factor: such parameters are never better than others."""
+    try:
+        value, grad = likelihood(*args)
+    except np.linalg.LinAlgError:
+        return None, None
+    return (value, grad) if np.isfinite(value) and np.isfinite(grad).all() else (None, None)
+
+
 def likelihoods(groups: Groups, theta: DataFrame) -> DataFrame:
     """``(key, slot, theta, lml, grad)`` for every group and parameter slot of ``theta``."""
     key = groups.key
@@ -194,17 +209,18 @@ def likelihoods(groups: Groups, theta: DataFrame) -> DataFrame:
     def dense(rows: pd.DataFrame) -> pd.DataFrame:
         cell = [rows[c].to_numpy(dtype=float) for c in ("x", "n", "ybar", "ss")]
         at = np.array(rows["theta"].iloc[0])
-        value, grad = dense_likelihood(*cell, at)
+        value, grad = _or_none(dense_likelihood, *cell, at)
         return pd.DataFrame([(rows[key].iloc[0], rows["slot"].iloc[0], at, value, grad)], columns=[key, "slot", "theta", "lml", "grad"])
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.array(rows["theta"].iloc[0])
-        value, grad = series_likelihood(*_unpack_sums(rows), at)
+        value, grad = _or_none(series_likelihood, *_unpack_sums(rows), at)
         return pd.DataFrame([(rows[key].iloc[0], rows["slot"].iloc[0], at, value, grad)], columns=[key, "slot", "theta", "lml", "grad"])
 
-    out = groups.small.join(theta, key).groupBy(key, "slot").applyInPandas(dense, schema)
-    if groups.any_large:
-        out = out.unionByName(groups.series_sums(theta).groupBy(key, "slot").applyInPandas(summed, schema))
+    ways = groups.ways(theta)
+    out = groups.dense_cells(ways).groupBy(key, "slot").applyInPandas(dense, schema)
+    if not ways.where(~F.col("dense")).isEmpty():
+        out = out.unionByName(groups.series_sums(ways).groupBy(key, "slot").applyInPandas(summed, schema))
     return out
 
 
@@ -220,49 +236,65 @@ def constant_theta(groups: Groups, thetas: Sequence[Sequence[float]]) -> DataFra
 
 
 def likelihood_grid(
-    train: DataFrame, key: str, x: str, y: str, lengths: Sequence[float], sigma: float = 0.1, max_cells: int = MAX_CELLS
+    train: DataFrame, key: str, x: str, y: str, lengths: Sequence[float], sigma: float = 0.1, dense_upto: int | None = None
 ) -> DataFrame:
     """Log marginal likelihood and its derivative in l per group and candidate l: ``(key, l, lml, gradient)``."""
-    groups = Groups(train, key, x, y, max_cells)
+    groups = Groups(train, key, x, y, dense_upto)
     found = likelihoods(groups, constant_theta(groups, [(log(v), 0.0, 2 * log(sigma)) for v in lengths]))
     l = F.exp(F.col("theta")[0])
     return found.select(key, F.round(l, 12).alias("l"), "lml", (F.col("grad")[0] / l).alias("gradient"))
 
 
 def tune(
-    groups: Groups, start: Sequence[float], free: Sequence[bool] = (True, False, False), iterations: int = 10
+    groups: Groups, start: Sequence[float], free: Sequence[bool] = (True, False, False), tolerance: float = TOLERANCE, most: int = 500
 ) -> DataFrame:
     """Ascend the likelihood of all groups at once: ``(key, slot, theta, lml)``.
 
-    Each round evaluates one proposal per group; a worse one halves that group's step.
+    Each round evaluates one proposal per group still moving, along its gradient in a metric learned from the last
+    two points (the step of Barzilai and Borwein); one that does not raise the likelihood shortens the
+    group's step. A group is done when three accepted steps in a row change its likelihood by less than ``tolerance`` of
+    itself, or its step has shrunk to nothing; the rounds end when all groups are.
     """
     key = groups.key
-    best = stage(likelihoods(groups, constant_theta(groups, [start])).withColumn("step", F.lit(0.5)))
     mask = [1.0 if f else 0.0 for f in free]
-    for _ in range(iterations):
+    first = likelihoods(groups, constant_theta(groups, [start]))
+    best = stage(first.withColumns({"rate": F.lit(None).cast("double"), "shrink": F.lit(1.0), "quiet": F.lit(0)}))
+    for _ in range(most):
+        moves = (F.col("quiet") < QUIET_STEPS) & (F.col("shrink") > 1e-6)
+        moving = best.where(moves)
+        if moving.isEmpty():
+            return best.select(key, "slot", "theta", "lml")
         slope = [F.lit(m) * F.col("grad")[i] for i, m in enumerate(mask)]
         size = F.greatest(*[F.abs(g) for g in slope], F.lit(1e-12))
-        moved = F.array(*[F.col("theta")[i] + F.col("step") * g / size for i, g in enumerate(slope)])
-        tried = likelihoods(groups, best.select(key, "slot", moved.alias("theta"))).select(
+        # At most one unit of the logarithms at a time.
+        step = F.col("shrink") * F.least(F.coalesce("rate", F.lit(0.5) / size), F.lit(1.0) / size)
+        moved = F.array(*[F.col("theta")[i] + step * g for i, g in enumerate(slope)])
+        tried = likelihoods(groups, moving.select(key, "slot", moved.alias("theta"))).select(
             key, F.col("theta").alias("new_theta"), F.col("lml").alias("new_lml"), F.col("grad").alias("new_grad")
         )
-        better = F.col("new_lml") > F.col("lml")
+        better = F.coalesce(F.col("new_lml") >= F.col("lml"), F.lit(False))
         pick = lambda c: F.when(better, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+        way = [F.col("new_theta")[i] - F.col("theta")[i] for i in range(len(mask))]
+        turn = [F.lit(m) * (F.col("grad")[i] - F.col("new_grad")[i]) for i, m in enumerate(mask)]
+        bend = sum((w * t for w, t in zip(way, turn, strict=True)), F.lit(0.0))
+        rate = F.when(bend > 0, sum((w * w for w in way), F.lit(0.0)) / bend)
+        change = F.abs(F.col("new_lml") - F.col("lml")) / F.greatest(F.abs("lml"), F.abs("new_lml"), F.lit(1e-300))
         best = stage(
-            best.join(tried, key).select(
+            best.join(tried, key, "left").select(
                 key, "slot", pick("theta"), pick("lml"), pick("grad"),
-                F.when(better, F.col("step")).otherwise(F.col("step") / 2).alias("step"),
+                F.when(better, rate).otherwise(F.col("rate")).alias("rate"),
+                F.when(better, F.lit(1.0)).when(moves, F.col("shrink") / 2).otherwise(F.col("shrink")).alias("shrink"),
+                F.when(better & (change < tolerance), F.col("quiet") + 1).when(better, 0).otherwise(F.col("quiet")).alias("quiet"),
             )
         )
-    return best.select(key, "slot", "theta", "lml")
+    raise NotConverged(f"some groups still moved after {most} rounds")
 
 
 def tune_lengthscale(
-    train: DataFrame, key: str, x: str, y: str, sigma: float = 0.1, start: float = 0.5, iterations: int = 10,
-    max_cells: int = MAX_CELLS,
+    train: DataFrame, key: str, x: str, y: str, sigma: float = 0.1, start: float = 0.5, dense_upto: int | None = None,
 ) -> DataFrame:
     """Best l per group by marginal likelihood: ``(key, l, lml)``."""
-    found = tune(Groups(train, key, x, y, max_cells), (log(start), 0.0, 2 * log(sigma)), iterations=iterations)
+    found = tune(Groups(train, key, x, y, dense_upto), (log(start), 0.0, 2 * log(sigma)))
     return found.select(key, F.exp(F.col("theta")[0]).alias("l"), "lml")
 
 
@@ -314,10 +346,11 @@ def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_n
         return pd.DataFrame({key: at[key], "xs": xs, "gp_mean": v * (w.T @ z), "gp_var": var})
 
     by = [key, "_salt"]
-    fitted = groups.small.join(theta.select(key, "theta"), key).join(per_salt, key)
+    ways = groups.ways(theta)
+    fitted = groups.dense_cells(ways).join(per_salt, key)
     scored = fitted.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(dense, schema)
-    if groups.any_large:
-        sums = groups.series_sums(theta).join(per_salt, key)
+    if not ways.where(~F.col("dense")).isEmpty():
+        sums = groups.series_sums(ways).join(per_salt, key)
         scored = scored.unionByName(sums.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(summed, schema))
     looked = test.withColumn("xs", F.col(x).cast("double")).join(scored, [key, "xs"], "left")
     return looked.select(*test.columns, "gp_mean", "gp_var")
@@ -325,21 +358,21 @@ def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_n
 
 def grouped_gp(
     train: DataFrame, test: DataFrame, key: str, x: str, y: str, l: float = 0.5, sigma: float = 0.1,
-    include_noise: bool = True, max_cells: int = MAX_CELLS,
+    include_noise: bool = True, dense_upto: int | None = None,
 ) -> DataFrame:
     """Exact posterior per group for a given l; the variance includes the noise by default."""
-    groups = Groups(train, key, x, y, max_cells)
+    groups = Groups(train, key, x, y, dense_upto)
     return predict(groups, constant_theta(groups, [(log(l), 0.0, 2 * log(sigma))]), test, x, include_noise)
 
 
 def grouped_variational_gp(
-    train: DataFrame, test: DataFrame, key: str, x: str, y: str, iterations: int = 10, max_cells: int = MAX_CELLS
+    train: DataFrame, test: DataFrame, key: str, x: str, y: str, dense_upto: int | None = None
 ) -> DataFrame:
     """Latent posterior per group with lengthscale, variance and noise fitted by the bound.
 
     With a Gaussian likelihood and all points as inducing points the best Gaussian posterior is the
     exact one and the bound is the marginal likelihood, so no variational parameters are stepped.
     """
-    groups = Groups(train, key, x, y, max_cells)
-    theta = tune(groups, (log(0.5), 0.0, 0.0), (True, True, True), iterations)
+    groups = Groups(train, key, x, y, dense_upto)
+    theta = tune(groups, (log(0.5), 0.0, 0.0), (True, True, True))
     return predict(groups, theta, test, x, include_noise=False)

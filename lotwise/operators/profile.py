@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lotwise.functions.parse import lenient_number
 from lotwise.operators.blocks import sum_blocks
-from lotwise.operators.quantile import FEW_DISTINCT, distinct_sketch, quantiles
+from lotwise.operators.quantile import FEW_DISTINCT, quantiles
 from lotwise.session import settle
 
 
@@ -178,21 +178,20 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, limit: int = FEW_
     )
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], whisker: float = 1.5, limit: int = FEW_DISTINCT) -> DataFrame:
-    """Tukey fences per column: ``(feature, q1, q3, lower, upper)``."""
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    return quantiles(df, cols, [0.25, 0.75], limit=limit).select(
-        "feature",
-        q1.alias("q1"),
-        q3.alias("q3"),
-        (q1 - F.lit(whisker) * (q3 - q1)).alias("lower"),
-        (q3 + F.lit(whisker) * (q3 - q1)).alias("upper"),
-    )
+def _fences(df: DataFrame, cols: Sequence[str], whisker: float, limit: int) -> dict[str, tuple]:
+    """``(q1, q3, lower, upper)`` per column, as scalars: one row per column, so bounded by the schema."""
+    found = {}
+    for r in quantiles(df, cols, [0.25, 0.75], limit=limit).collect():
+        q1, q3 = r["q"] or (None, None)
+        spread = None if q1 is None else whisker * (q3 - q1)
+        found[r["feature"]] = (q1, q3, None, None) if q1 is None else (q1, q3, q1 - spread, q3 + spread)
+    return found
 
 
-def _fences(df: DataFrame, cols: Sequence[str], whisker: float, limit: int) -> dict:
-    """The fences as scalars: one row per column, so bounded by the schema."""
-    return {r["feature"]: r for r in iqr_bounds(df, cols, whisker, limit).collect()}
+def iqr_bounds(df: DataFrame, cols: Sequence[str], whisker: float = 1.5, limit: int = FEW_DISTINCT) -> DataFrame:
+    """Tukey fences per column: ``(feature, q1, q3, lower, upper)``."""
+    rows = [(c, *f) for c, f in _fences(df, cols, whisker, limit).items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, q1 double, q3 double, lower double, upper double")
 
 
 def outlier_summary(
@@ -202,20 +201,18 @@ def outlier_summary(
 
     Two passes in all: the fences of every column, then every count.
     """
-    fences = _fences(df, cols, whisker, limit)
-    outside = lambda c: (_q(c) < F.lit(fences[c]["lower"])) | (_q(c) > F.lit(fences[c]["upper"]))
-    wide = df.agg(
-        *[
-            F.struct(
-                F.count_if(outside(c)).alias("n_outliers"),
-                F.round(F.lit(100.0) * F.count_if(outside(c)) / F.count(F.lit(1)), 2).alias("percent"),
-                F.lit(fences[c]["lower"]).alias("lower"),
-                F.lit(fences[c]["upper"]).alias("upper"),
-            ).alias(c)
-            for c in cols
-        ]
-    )
-    return wide.unpivot([], list(cols), "feature", "s").select("feature", "s.*")
+    numbers = df.select(*[_q(c).cast("double").alias(c) for c in cols])
+    fences = _fences(numbers, cols, whisker, limit)
+    edge = lambda c, i: F.lit(fences.get(c, (None,) * 4)[i]).cast("double")
+    within = lambda c: _q(c).between(edge(c, 2), edge(c, 3))
+    flags = numbers.select(*[F.coalesce((~within(c)).cast("int"), F.lit(0)).alias(c) for c in cols])
+    counts = flags.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in cols]).first()
+    rows = [
+        (c, counts[c] or 0, 100.0 * (counts[c] or 0) / counts["rows"] if counts["rows"] else None, *fences.get(c, (None,) * 4)[2:])
+        for c in cols
+    ]
+    found = df.sparkSession.createDataFrame(rows, "feature string, n_outliers long, percent double, lower double, upper double")
+    return found.withColumn("percent", F.round("percent", 2))
 
 
 def boxplot_stats(
@@ -274,7 +271,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, full: bool = F
     numbers = df.select(*[_q(c).cast("double").alias(c) for c in cols])
     means = numbers.agg(*[F.avg(_q(c)).alias(c) for c in cols]).first()
     shift = np.array([0.0 if v is None else v for v in means])
-    n, x, xx, xy = sum_blocks(numbers, cols, 4 * d * d, _pair_sums, shift).reshape(4, d, d)
+    n, x, xx, xy = sum_blocks(numbers, cols, 4 * d * d, _pair_sums, shift, keep_unknown=True).reshape(4, d, d)
     with np.errstate(invalid="ignore", divide="ignore"):
         cov = xy - x * x.T / n
         var = xx - x * x / n
@@ -293,32 +290,32 @@ def mutual_information(
     features: Sequence[str],
     target: str,
     bins: int = 10,
-    discrete_upto: int = 20,
+    discrete: Sequence[str] = (),
     limit: int = FEW_DISTINCT,
 ) -> DataFrame:
     """Plug-in mutual information (nats) of each feature with the target, highest first.
 
-    The target and every feature with more than ``discrete_upto`` distinct values are cut at
-    equal-frequency quantiles; other features count as they are. This is not a
-    nearest-neighbour estimate: compare rankings, not values.
+    The target and every feature are cut at equal-frequency quantiles; the features named in
+    ``discrete`` count as they are. The kind of a feature is the caller's to say and never follows from
+    its values. A row counts for a feature when it has the feature and the target, whatever else is
+    NULL. This is not a nearest-neighbour estimate: compare rankings, not values.
 
     Joint cells are counted in one shuffle of at most (bins · levels) rows per feature and task.
     """
-    numbers = df.select(*[_q(c).cast("double").alias(c) for c in [*features, target]]).dropna()
-    levels = distinct_sketch(numbers, features)
-    cut_cols = [target, *[c for c in features if levels.get(c, 0) > discrete_upto]]
+    numbers = df.select(*[_q(c).cast("double").alias(c) for c in [*features, target]]).where(_q(target).isNotNull())
+    cut_cols = [target, *[c for c in features if c not in discrete]]
     steps = [i / bins for i in range(1, bins)]
-    cuts = {r["feature"]: sorted(set(r["q"])) for r in quantiles(numbers, cut_cols, steps, limit=limit).collect()}
+    cuts = {r["feature"]: sorted(set(r["q"] or [])) for r in quantiles(numbers, cut_cols, steps, limit=limit).collect()}
 
     def bucket(c: str) -> Column:
-        if c not in cuts:
+        if c in discrete:
             return _q(c)
-        return sum((_q(c) > F.lit(v)).cast("double") for v in cuts[c]) + F.lit(0.0)
+        above = [(_q(c) > F.lit(v)).cast("double") for v in cuts.get(c, [])]
+        return sum(above, F.when(_q(c).isNotNull(), F.lit(0.0)))
 
     coded = numbers.select(bucket(target).alias("_y"), *[bucket(c).alias(c) for c in features])
-    cells = settle(
-        coded.unpivot(["_y"], list(features), "feature", "x").groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = coded.unpivot(["_y"], list(features), "feature", "x").where("x is not null")
+    cells = settle(known.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).alias("n")))
     by_x = cells.groupBy("feature", "x").agg(F.sum("n").alias("n_x"))
     by_y = cells.groupBy("feature", "_y").agg(F.sum("n").alias("n_y"))
     total = cells.groupBy("feature").agg(F.sum("n").alias("n_all"))

@@ -76,6 +76,7 @@ def bracketed_quantiles(
     )
     match = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
     keyed = [*keys, "slot"]
+    slack = 0  # grid steps that brackets are widened by on both sides
     while True:
         inside = values.join(state, match).where(F.col("value").between(F.col("lo"), F.col("hi")))
         widest = inside.groupBy(*keyed).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0]
@@ -89,8 +90,8 @@ def bracketed_quantiles(
         spare = F.ceil(F.lit(2.0 * GRID) / F.col("m"))  # two more values when a grid step is less than one
         narrowed = (
             state.join(cuts, keyed)
-            .withColumn("lo", F.element_at("cuts", F.greatest(place, F.lit(1)).cast("int")))
-            .withColumn("hi", F.element_at("cuts", F.least(place + 4 + spare, F.lit(GRID + 1)).cast("int")))
+            .withColumn("lo", F.element_at("cuts", F.greatest(place - slack, F.lit(1)).cast("int")))
+            .withColumn("hi", F.element_at("cuts", F.least(place + 4 + spare + slack, F.lit(GRID + 1)).cast("int")))
             .drop("cuts", "m", "below")
         )
         narrowed = settle(narrowed)
@@ -106,9 +107,10 @@ def bracketed_quantiles(
         checked = narrowed.join(counted, keyed)
         bad = checked.where((F.col("below") > F.col("low_rank")) | (F.col("upto") <= F.col("high_rank")))
         checked = settle(checked.drop("upto"))
-        if not bad.isEmpty():
-            raise RuntimeError("quantile bracket lost its rank; raise the sketch accuracy")
-        state = checked
+        if bad.isEmpty():
+            state, slack = checked, 0
+        else:  # a sketch missed the rank: look at the same range again with wider brackets
+            slack = max(4, 4 * slack)
     weights = inside.groupBy(*keyed, "below", "low_rank", "high_rank", "part", "value").agg(F.count("value").alias("c"))
     running = F.col("below") + F.sum("c").over(Window.partitionBy(*keyed).orderBy("value"))
     low = F.min(F.when(F.col("upto") > F.col("low_rank"), F.col("value")))

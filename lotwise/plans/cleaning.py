@@ -25,7 +25,7 @@ from lotwise.plans.frames import (
     listing,
 )
 from lotwise.plans.registry import query, rounded
-from lotwise.session import scratch_path, settle
+from lotwise.session import scratch_path, settle, stage
 from lotwise.sources import parse_metric_log, read_table_csv, table, write_table
 
 
@@ -267,9 +267,18 @@ def levy_medians(spark, folder):
     )
 
 
-@query(f"with {BANDED} select category, round(avg(price), 6) as mean from banded group by category")
+GROUPED = ("category", "gearbox", "drive")
+
+
+@query(
+    f"with {BANDED} "
+    + " union all ".join(f"select '{k}' as key, {k} as level, round(avg(price), 6) as mean from banded group by {k}" for k in GROUPED)
+)
 def mean_price_by_category(spark, folder):
-    return rounded(profile.mean_by(banded(spark, folder), "category", "price"))
+    """Mean price per body type, gearbox and drive."""
+    rows = stage(banded(spark, folder).select(*GROUPED, "price"), "means")
+    found = [profile.mean_by(rows, k, "price").select(F.lit(k).alias("key"), F.col(k).alias("level"), "mean") for k in GROUPED]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]))
 
 
 @query(

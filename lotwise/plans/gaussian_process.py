@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from lotwise.functions import numeric
 from lotwise.operators import density, encode, evaluate, gp, sample
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import EDGES, KEYS, SPLIT, encoded, imputed
@@ -24,21 +27,26 @@ def _scaled(spark, folder):
     return scaler.transform(train), scaler.transform(test), scaler
 
 
-SCALED = (
+HEAD = (
     SPLIT
     + """, z as (select avg(engine) me, stddev_pop(engine) se, avg(age) ma, stddev_pop(age) sa, avg(ln(price)) mp,
       stddev_pop(ln(price)) sp from split where split = 'train'),
   sc as (select order_key, line_no, split, price, (engine - me) / se as x1, (age - ma) / sa as x2, (ln(price) - mp) / sp as y
-    from split, z),
-  k as (select *, exp(-0.5 * (pow(x1 + 1, 2) + pow((x2 + 1) / 1.5, 2))) as k1,
-    exp(-0.5 * (pow(x1 - 1, 2) + pow((x2 - 1) / 1.5, 2))) as k2 from sc),
-  st as (select sum(k1*k1) as a11, sum(k1*k2) as a12, sum(k2*k2) as a22, sum(k1*y) as b1, sum(k2*y) as b2, sum(y*y) as yy,
+    from split, z)"""
+)
+SUMS = """, st as (select sum(k1*k1) as a11, sum(k1*k2) as a12, sum(k2*k2) as a22, sum(k1*y) as b1, sum(k2*y) as b2, sum(y*y) as yy,
     cast(count(*) as double) as n from k where split = 'train')"""
+SCALED = (
+    HEAD
+    + """, k as (select *, exp(-0.5 * (pow(x1 + 1, 2) + pow((x2 + 1) / 1.5, 2))) as k1,
+    exp(-0.5 * (pow(x1 - 1, 2) + pow((x2 - 1) / 1.5, 2))) as k2 from sc)"""
+    + SUMS
 )
 
-POSTERIOR = (
-    SCALED
-    + """, q as (select *, 1.1::double as u11, exp(-0.5 * (4 + 4 / 2.25::double)) as u12 from st),
+
+def _solved(u12: str) -> str:
+    """The posterior and prices from the sums, for two inducing points of covariance ``u12``."""
+    return f""", q as (select *, 1.1::double as u11, {u12} as u12 from st),
   bb as (select *, u11 + a11 / 0.5 as p11, u12 + a12 / 0.5 as p12, u11 + a22 / 0.5 as p22 from q),
   iv as (select *, p22 / (p11*p22 - p12*p12) as i11, -p12 / (p11*p22 - p12*p12) as i12, p11 / (p11*p22 - p12*p12) as i22,
     u11 / (u11*u11 - u12*u12) as j11, -u12 / (u11*u11 - u12*u12) as j12 from bb),
@@ -46,7 +54,9 @@ POSTERIOR = (
     1 - (k1*k1 * (j11-i11) + 2*k1*k2 * (j12-i12) + k2*k2 * (j11-i22)) as var from k cross join iv where split = 'test'),
   gprice as (select gpred.*, exp(mean * sp + mp) as pred, exp(mean * sp + mp - 2 * sqrt(var) * sp) as lower,
     exp(mean * sp + mp + 2 * sqrt(var) * sp) as upper from gpred cross join z)"""
-)
+
+
+POSTERIOR = SCALED + _solved("exp(-0.5 * (4 + 4 / 2.25::double))")
 
 
 @query(
@@ -128,6 +138,29 @@ def gp_posterior_sweep(spark, folder):
     )
 
 
+@query(
+    f"""with {SPLIT}, t as (select * from split where split = 'train')
+    select 'engine' as feature, round(stddev_pop(engine), 6) as lengthscale, round(1 / stddev_pop(engine), 6) as relevance from t
+    union all select 'age', round(stddev_pop(age), 6), round(1 / stddev_pop(age), 6) from t"""
+)
+def relevance_of_scales(spark, folder):
+    """Relevance under lengthscales of one deviation of each feature."""
+    train, _, scaler = _scaled(spark, folder)
+    wide = gp.Hyper(np.array([scaler.scale[c] for c in PAIR]), 1.0, 0.5, FIXED.z, 0.1)
+    return rounded(gp.condition(train, PAIR, "log_price", wide).relevance(spark))
+
+
+@query(
+    f"""with {SCALED} select order_key, line_no, cast(2 as int) as width, round(x1, 6) + 0.0 as first, round(x2, 6) + 0.0 as last
+    from sc where split = 'test'"""
+)
+def assembled_rows(spark, folder):
+    """Features of a row as one array, as the kernels and k-means take them."""
+    _, test, _ = _scaled(spark, folder)
+    rows = test.select(*KEYS, numeric.assemble(PAIR).alias("v"))
+    return rounded(rows.select(*KEYS, F.size("v").alias("width"), F.col("v")[0].alias("first"), F.col("v")[1].alias("last")))
+
+
 # A fixed two-layer net of three hidden units, so that SQL can follow it.
 NET = (
     np.array([[0.5, -1.0, 0.25], [1.0, 0.5, -0.75]]),
@@ -136,11 +169,19 @@ NET = (
     np.array([0.05, -0.05]),
 )
 LATENT = (
-    SCALED
+    HEAD
     + """, hid as (select *, greatest(0.5*x1 + x2 + 0.1, 0) as h1, greatest(-x1 + 0.5*x2 + 0.2, 0) as h2,
       greatest(0.25*x1 - 0.75*x2 - 0.1, 0) as h3 from sc),
-  lat as (select *, h1 + 0.5*h2 - h3 + 0.05 as f1, -0.5*h1 + 0.75*h2 + 0.25*h3 - 0.05 as f2 from hid)"""
+  lat as (select *, h1 + 0.5*h2 - h3 + 0.05 as f1, -0.5*h1 + 0.75*h2 + 0.25*h3 - 0.05 as f2 from hid),
+  zl as (select 0.5*greatest(1 - 0.5 + 0.2, 0) - greatest(-0.25 + 0.75 - 0.1, 0) + 0.05 as z11,
+        0.75*greatest(1 - 0.5 + 0.2, 0) + 0.25*greatest(-0.25 + 0.75 - 0.1, 0) - 0.05 as z12,
+        greatest(0.5 + 1 + 0.1, 0) + 0.5*greatest(-1 + 0.5 + 0.2, 0) - greatest(0.25 - 0.75 - 0.1, 0) + 0.05 as z21,
+        -0.5*greatest(0.5 + 1 + 0.1, 0) + 0.75*greatest(-1 + 0.5 + 0.2, 0) - 0.05 as z22),
+  k as (select lat.*, exp(-0.5 * (pow(f1 - z11, 2) + pow((f2 - z12) / 1.5, 2))) as k1,
+      exp(-0.5 * (pow(f1 - z21, 2) + pow((f2 - z22) / 1.5, 2))) as k2 from lat cross join zl)"""
+    + SUMS
 )
+DEEP_POSTERIOR = LATENT + _solved("(select exp(-0.5 * (pow(z11 - z21, 2) + pow((z12 - z22) / 1.5, 2))) from zl)")
 
 
 @query(f"with {LATENT} select order_key, line_no, round(f1, 6) as latent_0, round(f2, 6) as latent_1 from lat where split = 'train'")
@@ -151,15 +192,9 @@ def net_features(spark, folder):
 
 
 @query(
-    f"""with {LATENT}, kk as (select order_key, line_no, y, exp(-0.5 * (pow(f1 - z11, 2) + pow((f2 - z12) / 1.5, 2))) as k1,
-      exp(-0.5 * (pow(f1 - z21, 2) + pow((f2 - z22) / 1.5, 2))) as k2 from lat cross join
-      (select 0.5*greatest(1 - 0.5 + 0.2, 0) - greatest(-0.25 + 0.75 - 0.1, 0) + 0.05 as z11,
-        0.75*greatest(1 - 0.5 + 0.2, 0) + 0.25*greatest(-0.25 + 0.75 - 0.1, 0) - 0.05 as z12,
-        greatest(0.5 + 1 + 0.1, 0) + 0.5*greatest(-1 + 0.5 + 0.2, 0) - greatest(0.25 - 0.75 - 0.1, 0) + 0.05 as z21,
-        -0.5*greatest(0.5 + 1 + 0.1, 0) + 0.75*greatest(-1 + 0.5 + 0.2, 0) - 0.05 as z22) where split = 'train')
-    select 'a11' as name, round(sum(k1*k1), 4) as value from kk union all select 'a12', round(sum(k1*k2), 4) from kk
-    union all select 'a22', round(sum(k2*k2), 4) from kk union all select 'b1', round(sum(k1*y), 4) from kk
-    union all select 'b2', round(sum(k2*y), 4) from kk"""
+    f"""with {LATENT} select 'a11' as name, round(a11, 4) as value from st union all select 'a12', round(a12, 4) from st
+    union all select 'a22', round(a22, 4) from st union all select 'b1', round(b1, 4) from st
+    union all select 'b2', round(b2, 4) from st"""
 )
 def deep_kernel_sums(spark, folder):
     """The sparse statistic under a kernel over learned features; inducing points pass the net too."""
@@ -170,9 +205,60 @@ def deep_kernel_sums(spark, folder):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in cells.items()], "name string, value double"), 4)
 
 
+# --- repeated hold-outs ----------------------------------------------------------------------
+
+RUNS = 10
+MODELS = {"gp": (FIXED, POSTERIOR), "deep_kernel": (gp.Hyper(FIXED.scale, 1.0, 0.5, FIXED.z, 0.1, NET), DEEP_POSTERIOR)}
+HOLDOUTS = "runs as (" + " union all ".join(
+    f"""select '{name}' as model, cast({run} as int) as run, mae, rmse, r2 from (with {text.replace("'42'", f"'{run}'")}
+      select avg(abs(price - pred)) as mae, sqrt(avg(pow(price - pred, 2))) as rmse,
+        1 - sum(pow(price - pred, 2)) / (count(*) * var_pop(price)) as r2 from gprice)"""
+    for name, (_, text) in MODELS.items() for run in range(1, RUNS + 1)
+) + ")"
+
+
+def _holdouts(spark, folder):
+    """``(model, run, mae, rmse, r2)`` at fixed hyper-parameters; all runs read one staged table."""
+    rows = stage(imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log("price")), "holdouts")
+
+    def run(model: gp.Hyper, seed: int):
+        train, test = sample.train_test(rows, "order_key", str(seed))
+        scaler = encode.fit_scaler(train, [*PAIR, "log_price"])
+        fitted = gp.condition(scaler.transform(train), PAIR, "log_price", model)
+        return evaluate.evaluate(gp.price_band(fitted.predict(scaler.transform(test)), scaler, "log_price"), "price", "pred")
+
+    frames = [
+        evaluate.repeated_holdout(partial(run, h), range(1, RUNS + 1)).select(F.lit(name).alias("model"), "*")
+        for name, (h, _) in MODELS.items()
+    ]
+    return stage(frames[0].unionByName(frames[1]), "metrics")
+
+
+@query(f"with {HOLDOUTS} select model, run, round(mae, 3) as mae, round(rmse, 3) as rmse, round(r2, 6) as r2 from runs")
+def repeated_gp_holdouts(spark, folder):
+    """Ten independent hold-outs of the sparse and of the deep-kernel process."""
+    found = _holdouts(spark, folder)
+    return rounded(found.withColumns({"mae": F.round("mae", 3), "rmse": F.round("rmse", 3)}))
+
+
+@query(
+    f"with {HOLDOUTS} "
+    + " union all ".join(
+        f"""select model, '{m}' as metric, count({m}) as runs, round(avg({m}), 3) as mean, round(stddev_samp({m}), 3) as sd,
+        round(min({m}), 3) as low, round(max({m}), 3) as high from runs group by model"""
+        for m in ("mae", "rmse", "r2")
+    )
+)
+def repeated_gp_summary(spark, folder):
+    """Mean, deviation, low and high of each model's metrics over its runs."""
+    long = _holdouts(spark, folder).unpivot(["model", "run"], ["mae", "rmse", "r2"], "metric", "value")
+    return rounded(evaluate.summarise_metrics(long, ["model"]), 3)
+
+
 # --- fits: iterative, so no SQL text --------------------------------------------------------
 
-STEPS, INDUCING = 4, 24
+# As many inducing points as in the price study.
+INDUCING = 300
 
 
 def _ready(spark, folder):
@@ -194,7 +280,7 @@ def _fitted(spark, folder, deep: bool):
     ready, train = _ready(spark, folder)
     z = gp.inducing_points(train, ready.features, INDUCING)
     fit = gp.deep_kernel_gp_fit if deep else gp.sparse_gp_fit
-    return ready, train, fit(train, ready.features, ready.target, z, steps=STEPS)
+    return ready, train, fit(train, ready.features, ready.target, z)
 
 
 @query()

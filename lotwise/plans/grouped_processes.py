@@ -66,14 +66,14 @@ def _timeline(spark, folder):
 @query()
 def group_lengthscales(spark, folder):
     """Best l per event type by marginal likelihood; large groups go through the series sums."""
-    return rounded(gg.tune_lengthscale(_timeline(spark, folder), "event_type", "x", "y", 1.0, iterations=2))
+    return rounded(gg.tune_lengthscale(_timeline(spark, folder), "event_type", "x", "y", 1.0))
 
 
 @query()
 def group_posterior_curves(spark, folder):
     """Mean and ±1-deviation band over a regular grid per event type, after tuning l."""
     groups = gg.Groups(_timeline(spark, folder), "event_type", "x", "y")
-    theta = gg.tune(groups, (log(0.5), 0.0, 0.0), iterations=1)
+    theta = gg.tune(groups, (log(0.5), 0.0, 0.0))
     steps = F.sequence(F.lit(0), F.lit(159))
     grid = groups.keys.select("event_type", F.explode(steps).alias("i")).withColumn("x", F.lit(-4.0) + F.col("i") * 0.05)
     scored = gg.predict(groups, theta, grid, "x")
@@ -85,5 +85,5 @@ def group_posterior_curves(spark, folder):
 def group_latent_posterior(spark, folder):
     """Latent posterior per user with lengthscale, variance and noise fitted by the bound."""
     rows = _views(spark, folder)
-    scored = gg.grouped_variational_gp(rows, rows.select("event_id", "user_id", "x"), "user_id", "x", "y", iterations=2)
+    scored = gg.grouped_variational_gp(rows, rows.select("event_id", "user_id", "x"), "user_id", "x", "y")
     return rounded(scored.select("event_id", "user_id", "gp_mean", "gp_var"))

@@ -78,13 +78,37 @@ def factor_moments(spark, folder):
     return rounded(spark.createDataFrame([row], names), 4)
 
 
-STEPS = 10
+# The bound at the fixed means with unit scales: squares of columns, then the likelihood at the price weights' means.
+_Z = f"sqrt({0.18**2 + 0.19**2 + 0.20**2 + 1.0}::double)"
+_NODES = " + ".join(
+    f"{float(w)!r}::double * pow(price_k - 1 - (greatest(z, 0) + ln(1 + exp(-abs(z)))), 2)".replace("z", f"(m + {float(x)!r}::double * sd)")
+    for x, w in zip(hier.NODES, hier.NODE_WEIGHTS, strict=True)
+)
+_SQUARES = " + ".join(f"sum({c} * {c})" for c in LAYOUT.columns)
+
+
+@query(
+    f"""with {SCORES.replace("split = 'test'", "split = 'train'")}, z as (select *, 0.18*p + 0.19*s + 0.20*e + l + 0.21 as m,
+      {_Z} as sd from fp)
+    select 'prior' as term, round({-0.5 * float((FIXED.loc**2).sum())!r}::double - 0.5 * ({_SQUARES} + 5 * count(*))
+      - 0.5 * (sum(q * q) + count(*) * (0.0064 + 1)), 2) as value from z
+    union all select 'likelihood', round(sum(-0.125 * ({_NODES})) - count(*) * (0.5 * ln(2 * pi()) + ln(2)), 2) from z"""
+)
+def factor_bound(spark, folder):
+    """Both parts of the bound at fixed weights."""
+    train = _ready(spark, folder).train
+    train = stage(train.select(*dict.fromkeys(LAYOUT.columns), "price_k"), "factor-rows")
+    mom = hier.column_moments(train, LAYOUT)
+    theta = np.concatenate([FIXED.loc, np.zeros(LAYOUT.size)])
+    prior, _ = hier.prior_terms(theta, mom, LAYOUT)
+    fit, _ = hier.likelihood_terms(train, "price_k", theta, np.zeros((1, 4)), mom, LAYOUT)
+    return rounded(spark.createDataFrame([("prior", float(prior)), ("likelihood", float(fit))], "term string, value double"), 2)
 
 
 def _fitted(spark, folder):
     ready = _ready(spark, folder)
     train = stage(ready.train.select(*ready.features, ready.target)).persist()
-    return hier.hierarchical_fit(train, ready.target, steps=STEPS, lr=0.05)
+    return hier.hierarchical_fit(train, ready.target)
 
 
 @query()

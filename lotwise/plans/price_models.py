@@ -13,6 +13,7 @@ from lotwise.functions.parse import flag_number
 from lotwise.operators.clean import Cuts, drop_duplicates, drop_missing, early_cuts, late_cuts, parse_listings
 from lotwise.operators.encode import (
     PRICE_BIN_EDGES,
+    ColumnRoles,
     Scaler,
     category_means,
     fit_scaler,
@@ -80,15 +81,26 @@ def _maker_coded(
     return coder.transform(train), coder.transform(test)
 
 
-def ridge_rows(clean: DataFrame, key: str, seed: str = "42", edges: Sequence[float] = PRICE_BIN_EDGES) -> Prepared:
-    """log1p target; numeric columns scaled on train, ordinal, one-hot and binary ones left alone.
+def coded_rows(clean: DataFrame, key: str, seed: str = "42", edges: Sequence[float] = PRICE_BIN_EDGES) -> DataFrame:
+    """All rows with the maker code that train rows give."""
+    train, test = _maker_coded(clean, key, seed, edges)
+    return train.unionByName(test)
 
-    One drive level is left out, the last by name.
-    """
-    drives = drive_columns(clean)[:-1]
-    features = (*NUMERIC, "maker_encoded", "category_encoded", "gearbox_encoded", *drives, "leather", "turbo")
+
+def listing_roles(clean: DataFrame) -> ColumnRoles:
+    """Roles of the listing columns; one drive level is left out, the last by name."""
+    ordinal = ("maker_encoded", "category_encoded", "gearbox_encoded")
+    return ColumnRoles(NUMERIC, ordinal, tuple(drive_columns(clean)[:-1]), ("leather", "turbo"))
+
+
+def ridge_rows(
+    clean: DataFrame, key: str, seed: str = "42", edges: Sequence[float] = PRICE_BIN_EDGES, roles: ColumnRoles | None = None
+) -> Prepared:
+    """log1p target; numeric columns scaled on train, ordinal, one-hot and binary ones left alone."""
+    roles = roles or listing_roles(clean)
+    features = tuple(roles.features)
     train, test = (drop_missing(f, [*features, "price"]) for f in _maker_coded(clean, key, seed, edges))
-    scaler = fit_scaler(train, NUMERIC)
+    scaler = fit_scaler(train, roles.numeric)
     train, test = (scaler.transform(f).withColumn("log_price", F.log1p("price")) for f in (train, test))
     return Prepared(train, test, features, "log_price", scaler)
 

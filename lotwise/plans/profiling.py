@@ -120,7 +120,7 @@ def log_price_histogram(spark, folder):
     union all select 'levy_text', 'top', label, n from tl union all select 'maker', 'top', label, n from tm""")
 def column_profiles(spark, folder):
     """Histogram or top values, whichever the column's content allows; the price is trimmed first."""
-    rows = listing(spark, folder)
+    rows = stage(listing(spark, folder).select("price", "cylinders_text", "levy_text", "maker"), "profiled")
     out = profile.profile_column(rows, "price", trim=0.995)
     for col in ("cylinders_text", "levy_text", "maker"):
         out = out.unionByName(profile.profile_column(rows, col))
@@ -171,10 +171,10 @@ def tukey_fences(spark, folder):
     round(100.0::double * count(*) filter ({c} < lower or {c} > upper) / count(*), 2) as percent,
     any_value(lower) as lower, any_value(upper) as upper from encoded cross join f_{c}""" for c in CHECKED))
 def outlier_counts(spark, folder):
-    return profile.outlier_summary(imputed(spark, folder), CHECKED)
+    return profile.outlier_summary(stage(imputed(spark, folder).select(*CHECKED), "checked"), CHECKED)
 
 
-BOXED = ["price", "levy", "engine", "mileage"]
+BOXED = [*NUMERIC, "leather", "turbo"]
 
 
 @query(f"with {BANDED}, " + ", ".join(
@@ -215,36 +215,43 @@ def correlation_triangle(spark, folder):
     return rounded(profile.lower_triangle(full).select("a", "b", "r"))
 
 
-def _mutual_information_sql(features: list[str], cut: set[str], target: str, bins: int) -> str:
+def mutual_information_sql(features: list[str], discrete: list[str], target: str, bins: int, source: str = "encoded") -> str:
     steps = [i / bins for i in range(1, bins)]
     code = lambda c: " + ".join(f"cast({c} > {c}_q[{i + 1}] as int)" for i in range(bins - 1))
-    cuts = ", ".join(
-        f"quantile_cont({c}, {steps}) as {c}_q" for c in [target, *sorted(cut)]
-    )
+    cuts = ", ".join(f"quantile_cont({c}, {steps}) as {c}_q" for c in [target, *[f for f in features if f not in discrete]])
+    # Equal cuts count once, as in the other text.
     parts = " union all ".join(
-        f"select '{f}' as feature, cast({code(f) if f in cut else f} as double) as x, {code(target)} as y from complete, cuts"
+        f"select '{f}' as feature, cast({f if f in discrete else code(f)} as double) as x, {code(target)} as y from known, cuts where {f} is not null"
         for f in features
     )
-    return f"""complete as (select * from encoded where {' and '.join(f'{c} is not null' for c in [*features, target])}),
-    cuts as (select {cuts} from complete), long as ({parts}),
+    return f"""known as (select * from {source} where {target} is not null),
+    cuts as (select {cuts} from known), long as ({parts}),
     cells as (select feature, x, y, count(*) as n, sum(count(*)) over (partition by feature, x) as nx,
       sum(count(*)) over (partition by feature, y) as ny, sum(count(*)) over (partition by feature) as na
-      from long group by feature, x, y)
-    select feature, round(sum(n / na * ln(cast(n as double) * na / (cast(nx as double) * ny))), 6) as mi from cells
-    group by feature"""
+      from long group by feature, x, y),
+    mi as (select feature, round(sum(n / na * ln(cast(n as double) * na / (cast(nx as double) * ny))), 6) as mi from cells
+      group by feature)"""
 
 
-MI = ["levy", "engine", "mileage", "cylinders", "airbags", "turbo", "age", "category_encoded", "gearbox_encoded", "drive_F", "drive_O"]
-MI_SQL = "with " + ENCODED + ", " + _mutual_information_sql(MI, {"levy", "engine", "mileage"}, "price", 10)
+# Categories, flags and small counts are taken as they are; the others are cut.
+MI = [
+    "levy", "engine", "mileage", "cylinders", "airbags", "turbo", "age", "leather", "category_encoded", "gearbox_encoded",
+    "drive_F", "drive_O", "drive_P",
+]
+DISCRETE = [f for f in MI if f not in ("levy", "engine", "mileage")]
+MI_SQL = "with " + ENCODED + ", " + mutual_information_sql(MI, DISCRETE, "price", 10) + " select feature, mi from mi"
 
 
 @query(MI_SQL)
 def mutual_information_with_price(spark, folder):
     rows = stage(encoded(spark, folder).select(*MI, "price"), "mutual-information")
-    return rounded(profile.mutual_information(rows, MI, "price"))
+    return rounded(profile.mutual_information(rows, MI, "price", discrete=DISCRETE))
+
+
+POINTS = [c for c in BOXED if c != "price"]
 
 
-@query(f"with {BANDED} " + _each(["engine", "mileage", "age"],
+@query(f"with {BANDED} " + _each(POINTS,
        "order_key, line_no, price as y, '{c}' as feature, cast({c} as double) as x", "banded"))
 def price_against_features(spark, folder):
-    return profile.feature_points(banded(spark, folder), ["engine", "mileage", "age"], "price", KEYS)
+    return profile.feature_points(banded(spark, folder), POINTS, "price", KEYS)

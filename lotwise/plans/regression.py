@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import encode, evaluate, linear, sample
+from lotwise.operators import encode, evaluate, linear, profile, sample
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import CODED, EDGES, ENCODED, KEYS, SPLIT, encoded, imputed
+from lotwise.plans.profiling import mutual_information_sql
 from lotwise.plans.registry import query, rounded
 from lotwise.session import stage
 
@@ -93,21 +95,56 @@ def ridge_residuals(spark, folder):
     return rounded(evaluate.residual_table(scored, "price", "pred", KEYS), 4)
 
 
-# Top and correlated features of the price study; the sub-models share one moment pass.
-TOP_FEATURES = ("levy", "mileage", "airbags", "age", "engine", "maker_encoded")
-CORRELATED_FEATURES = ("age", "maker_encoded", "category_encoded", "leather", "gearbox_encoded", "engine")
+# Candidates of the two rankings; categories and flags count as they are.
+CANDIDATES = [
+    "levy", "engine", "mileage", "cylinders", "airbags", "age", "maker_encoded", "category_encoded", "gearbox_encoded",
+    "drive_F", "drive_O", "leather", "turbo",
+]
+KINDS = [c for c in CANDIDATES if c not in ("levy", "engine", "mileage")]
+CHOSEN = 6
+
+
+def _rankings(rows):
+    """``(ranking, position, feature)``: the features of most mutual information and of most correlation with the price."""
+    by_mi = profile.mutual_information(rows, CANDIDATES, "price", discrete=KINDS).select(
+        F.lit("mutual_information").alias("ranking"), "feature", F.col("mi").alias("score")
+    )
+    corr = profile.corr_matrix(rows, ["price", *CANDIDATES]).where("b = 'price'")
+    by_corr = corr.select(F.lit("correlation").alias("ranking"), F.col("a").alias("feature"), F.abs("r").alias("score"))
+    place = F.row_number().over(Window.partitionBy("ranking").orderBy(F.desc("score"), "feature"))
+    both = by_mi.unionByName(by_corr).withColumn("position", place)  # one row per ranking and feature
+    return both.where(F.col("position") <= CHOSEN).select("ranking", "position", "feature")
+
+
+def _coded(spark, folder):
+    return flow.coded_rows(encoded(spark, folder), "order_key", edges=EDGES).select(*CANDIDATES, "price")
+
+
+@query(
+    f"""with {CODED}, {mutual_information_sql(CANDIDATES, KINDS, "price", 10, "coded")}, scores as (
+      select 'mutual_information' as ranking, feature, mi as score from mi union all """
+    + " union all ".join(f"select 'correlation', '{c}', abs(corr({c}, price)) from coded" for c in CANDIDATES)
+    + f"""), placed as (select ranking, feature, cast(row_number() over (partition by ranking order by score desc, feature) as int)
+      as position from scores) select ranking, position, feature from placed where position <= {CHOSEN}"""
+)
+def ranked_features(spark, folder):
+    """The features that either ranking chooses for a smaller model."""
+    return _rankings(stage(_coded(spark, folder), "candidates"))
 
 
 @query()
 def ridge_model_comparison(spark, folder):
-    """All features, the top features by mutual information, and the correlated ones: test metrics.
+    """All features, and the ones each ranking chooses: test metrics.
 
     One moment pass serves the three fits.
     """
+    chosen = _rankings(stage(_coded(spark, folder), "candidates")).orderBy("ranking", "position").collect()
     ready = flow.ridge_rows(encoded(spark, folder), "order_key", edges=EDGES)
     train, test = stage(ready.train.select(*ready.features, ready.target)), ready.test
     m = linear.moments(train, ready.features, ready.target)
-    fits = {"all": ready.features, "top": TOP_FEATURES, "correlated": CORRELATED_FEATURES}
+    fits = {"all": ready.features}
+    for ranking in ("mutual_information", "correlation"):
+        fits[ranking] = tuple(r["feature"] for r in chosen if r["ranking"] == ranking)
     scored = test
     for name, features in fits.items():
         scored = linear.ridge_fit(m.subset(features)).predict(scored, f"log_{name}")
@@ -137,7 +174,7 @@ SCALED_SUMS = (
     SPLIT
     + """, z as (select avg(engine) me, stddev_pop(engine) se, avg(age) ma, stddev_pop(age) sa, avg(ln(price)) mp,
       stddev_pop(ln(price)) sp from split where split = 'train'),
-  sc as (select split, (engine - me) / se as x1, (age - ma) / sa as x2, (ln(price) - mp) / sp as y from split, z),
+  sc as (select order_key, line_no, split, (engine - me) / se as x1, (age - ma) / sa as x2, (ln(price) - mp) / sp as y from split, z),
   s as (select sum(x1*x1) as s11, sum(x1*x2) as s12, sum(x2*x2) as s22, sum(x1*y) as t1, sum(x2*y) as t2 from sc
     where split = 'train'),
   q as (select count(*) as n, sum(x1*x1) as u11, sum(x1*x2) as u12, sum(x2*x2) as u22, sum(x1*y) as v1, sum(x2*y) as v2,
@@ -163,6 +200,22 @@ def bayes_linear_posterior(spark, folder):
     return rounded(linear.bayes_linear_fit(train).table(spark).select("feature", "loc", "scale"))
 
 
+@query(
+    f"""with {SCALED_SUMS}, w as (select ((s22 + 1) * t1 - s12 * t2) / ((s11 + 1) * (s22 + 1) - s12 * s12) as w1,
+      ((s11 + 1) * t2 - s12 * t1) / ((s11 + 1) * (s22 + 1) - s12 * s12) as w2 from s)
+    select order_key, line_no, round(w1 * x1 + w2 * x2, 8) + 0.0 as pred, round(y - w1 * x1 - w2 * x2, 6) as residual
+    from sc cross join w where split = 'test'"""
+)
+def bayes_linear_predictions(spark, folder):
+    """Predictive mean of the Bayesian linear model per test row, on the standardised scale."""
+    rows = imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log("price"))
+    train, test = sample.train_test(rows, "order_key")
+    scaler = encode.fit_scaler(train, [*PAIR, "log_price"])
+    model = linear.bayes_linear_fit(linear.moments(scaler.transform(train), PAIR, "log_price")).model()
+    scored = model.predict(scaler.transform(test), "pred")
+    return rounded(scored.select(*KEYS, "pred", F.round(F.col("log_price") - F.col("pred"), 6).alias("residual")), 8)
+
+
 ARD = (
     "recursive "
     + SCALED_SUMS
@@ -203,8 +256,7 @@ def relevance_linear_trace(spark, folder):
 RUNS = 10
 
 
-@query(
-    f"""with {ENCODED}, sides as (select run, e.*, ln(1 + price) as y,
+HOLDOUTS = f"""{ENCODED}, sides as (select run, e.*, ln(1 + price) as y,
       ('0x' || substr(md5(cast(order_key as varchar) || cast(run as varchar)), 1, 8))::bigint % 5 = 0 as test
       from encoded e cross join range(1, {RUNS + 1}) r(run)),
     s as (select run, count(*) as n, avg(engine) m1, avg(age) m2, avg(y) my, var_pop(engine) * count(*) + 1 as s11,
@@ -213,20 +265,29 @@ RUNS = 10
     w as (select run, (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) as w1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12)
       as w2, m1, m2, my from s),
     p as (select sides.run, price, exp(my + w1 * (engine - m1) + w2 * (age - m2)) - 1 as pred from sides join w
-      on sides.run = w.run where test)
-    select cast(run as int) as run, round(avg(abs(price - pred)), 4) as mae, round(sqrt(avg(pow(price - pred, 2))), 4) as rmse,
-      round(1 - sum(pow(price - pred, 2)) / (count(*) * var_pop(price)), 6) as r2 from p group by run"""
-)
+      on sides.run = w.run where test),
+    runs as (select cast(run as int) as run, avg(abs(price - pred)) as mae, sqrt(avg(pow(price - pred, 2))) as rmse,
+      1 - sum(pow(price - pred, 2)) / (count(*) * var_pop(price)) as r2 from p group by run)"""
+
+
+@query(f"with {HOLDOUTS} select run, round(mae, 4) as mae, round(rmse, 4) as rmse, round(r2, 6) as r2 from runs")
 def repeated_ridge_holdouts(spark, folder):
     """Ten independent hold-outs in two scans."""
     found = flow.ridge_holdouts(encoded(spark, folder), PAIR, "price", "order_key", RUNS)
     return rounded(found.withColumns({"mae": F.round("mae", 4), "rmse": F.round("rmse", 4)}))
 
 
-@query()
+@query(
+    f"with {HOLDOUTS} "
+    + " union all ".join(
+        f"""select '{m}' as metric, count({m}) as runs, round(avg({m}), 4) as mean, round(stddev_samp({m}), 4) as sd,
+        round(min({m}), 4) as low, round(max({m}), 4) as high from runs"""
+        for m in ("mae", "rmse", "r2")
+    )
+)
 def repeated_holdout_summary(spark, folder):
     """Mean, deviation, low and high of each metric over the runs."""
     found = flow.ridge_holdouts(encoded(spark, folder), PAIR, "price", "order_key", RUNS)
-    return rounded(evaluate.holdout_summary(found))
+    return rounded(evaluate.holdout_summary(found), 4)
 
 

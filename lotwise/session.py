@@ -10,8 +10,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A fitted table of at most this many rows may be broadcast.
+# A fitted table of at most this many rows and bytes may be broadcast.
 SMALL_ROWS = 50_000
+SMALL_BYTES = 8 << 20
 
 
 def build_session(app: str = "lotwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -76,11 +77,11 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 def settle(table: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
     """Materialise a fitted table once, with its size checked.
 
-    Up to ``small`` rows it becomes a local table marked for broadcast: joins with it need no
-    shuffle and no recomputation. A larger one is staged in the shared folder; joins with it are
-    planned from its size on disk, and adaptive execution splits hot keys.
+    Up to ``small`` rows and ``SMALL_BYTES`` it becomes a local table marked for broadcast: joins with it need no
+    shuffle and no recomputation. A larger one stays in the shared folder; joins with it are planned from
+    its size on disk, and adaptive execution splits hot keys.
     """
     rows = table.limit(small + 1).toArrow()
-    if rows.num_rows > small:
+    if rows.num_rows > small or rows.nbytes > SMALL_BYTES:
         return stage(table, "fitted")
     return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))

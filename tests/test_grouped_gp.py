@@ -31,10 +31,10 @@ def frames(spark):
     return parts, xs, spark.createDataFrame(train).repartition(3), spark.createDataFrame(test)
 
 
-@pytest.mark.parametrize("max_cells", [400, 100, 0])
-def test_posterior_is_exact_on_both_paths(spark, frames, max_cells):
+@pytest.mark.parametrize("dense_upto", [400, 100, 0])
+def test_posterior_is_exact_on_both_paths(spark, frames, dense_upto):
     parts, xs, train, test = frames
-    got = gg.grouped_gp(train, test, "g", "x", "y", 0.5, 0.1, max_cells=max_cells).toPandas()
+    got = gg.grouped_gp(train, test, "g", "x", "y", 0.5, 0.1, dense_upto=dense_upto).toPandas()
     assert len(got) == 4 * len(xs)
     assert got[got.g == "unseen"].gp_mean.isna().all()
     for g, (x, y) in parts.items():
@@ -45,10 +45,10 @@ def test_posterior_is_exact_on_both_paths(spark, frames, max_cells):
         assert mine.gp_var.iloc[0] > mine.gp_var.iloc[8]  # uncertainty grows away from the data
 
 
-@pytest.mark.parametrize("max_cells", [400, 0])
-def test_likelihood_and_gradient(spark, frames, max_cells):
+@pytest.mark.parametrize("dense_upto", [400, 0])
+def test_likelihood_and_gradient(spark, frames, dense_upto):
     parts, _, train, _ = frames
-    got = gg.likelihood_grid(train, "g", "x", "y", [0.5, 2.0], 0.1, max_cells).toPandas()
+    got = gg.likelihood_grid(train, "g", "x", "y", [0.5, 2.0], 0.1, dense_upto).toPandas()
     assert len(got) == 6
     for g, (x, y) in parts.items():
         for l in (0.5, 2.0):
@@ -77,7 +77,7 @@ def test_all_gradients_by_finite_differences():
 def test_tuning_raises_the_likelihood_alike_on_both_paths(spark, frames):
     parts, _, train, _ = frames
     dense = {r.g: r for r in gg.tune_lengthscale(train, "g", "x", "y").collect()}
-    summed = {r.g: r for r in gg.tune_lengthscale(train, "g", "x", "y", max_cells=0, iterations=4).collect()}
+    summed = {r.g: r for r in gg.tune_lengthscale(train, "g", "x", "y", dense_upto=0).collect()}
     for g, (x, y) in parts.items():
         assert dense[g].lml > brute(x, y, x[:1], 0.5, 1.0, 0.01)[2] + 1
         assert dense[g].l > 1.0
