@@ -10,6 +10,7 @@ from lotwise.operators.hierarchical import FEATURE_GROUPS
 from lotwise.operators.pairwise import pairwise_kernel
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import (
+    BAND,
     BANDED,
     EDGES,
     ENCODED,
@@ -195,7 +196,20 @@ def complete_rows(spark, folder):
 
 @query(f"with {PARSED} select * from parsed where price <= (select quantile_cont(price, 0.995) from parsed)")
 def upper_quantile_trim(spark, folder):
-    return profile.quantile_trim(clean.parse_listings(listing(spark, folder), keep=KEYS), "price", upper=0.995)
+    rows = stage(clean.parse_listings(listing(spark, folder), keep=KEYS), "parsed")
+    return profile.quantile_trim(rows, "price", upper=0.995)
+
+
+@query(
+    f"""with {IMPUTED.replace("from listing)", "from (select distinct * from (select * from listing union all select * from listing where order_key % 10 = 0)))")}
+    select order_key, line_no, maker, category, price, levy, engine, mileage from imputed"""
+)
+def deduplicated_flow(spark, folder):
+    """Raw rows with repeats, through deduplication, parsing, cuts and imputation."""
+    raw = listing(spark, folder)
+    repeated = raw.unionByName(raw.where("order_key % 10 = 0"))
+    rows = flow.imputed_listings(repeated, BAND, KEYS, dedupe=True)
+    return rows.select(*KEYS, "maker", "category", "price", "levy", "engine", "mileage")
 
 
 @query(
@@ -203,7 +217,7 @@ def upper_quantile_trim(spark, folder):
     and mileage <= (select quantile_cont(mileage, 0.995) from banded)"""
 )
 def two_sided_quantile_trim(spark, folder):
-    return profile.quantile_trim(kept(spark, folder), "mileage", 0.005, 0.995)
+    return profile.quantile_trim(kept(spark, folder, ["*"]), "mileage", 0.005, 0.995)
 
 
 STUDY = f"""{PARSED}, kept as (select * from parsed where price between 2000 and 50000 and mileage <= 370000),
@@ -228,7 +242,7 @@ def study_cuts(spark, folder):
     select order_key, line_no, b.maker, round(maker_mean, 6) as maker_mean from banded b left join m on b.maker = m.maker"""
 )
 def one_key_lookup(spark, folder):
-    rows = kept(spark, folder)
+    rows = kept(spark, folder, [*KEYS, "maker", "price"])
     fitted = settle(lookup.group_means(rows, ["maker"], "price", "maker_mean"))
     return rounded(lookup.lookup(rows.select(*KEYS, "maker"), fitted, ["maker"]).select(*KEYS, "maker", "maker_mean"))
 
@@ -240,7 +254,7 @@ def one_key_lookup(spark, folder):
     left join m on b.engine = m.engine and b.category = m.category"""
 )
 def two_key_lookup(spark, folder):
-    rows = kept(spark, folder)
+    rows = kept(spark, folder, [*KEYS, "engine", "category", "levy"])
     (pairs,) = quantile.median_levels(rows, "levy", [["engine", "category"]])
     fitted = settle(pairs.withColumnRenamed("median", "pair_median"))
     keys = ["engine", "category"]
@@ -254,7 +268,7 @@ def two_key_lookup(spark, folder):
     union all select 'all', null, null, median(levy) from banded"""
 )
 def levy_medians(spark, folder):
-    pair, single, overall = quantile.median_levels(kept(spark, folder), "levy", [["engine", "category"], ["engine"], []])
+    pair, single, overall = quantile.median_levels(kept(spark, folder, ["engine", "category", "levy"]), "levy", [["engine", "category"], ["engine"], []])
     none = lambda t: F.lit(None).cast(t)
     return (
         pair.select(F.lit("pair").alias("level"), "engine", "category", "median")
@@ -376,7 +390,7 @@ def kernel_product_block(spark, folder):
 )
 def furthest_prices(spark, folder):
     """Top 20 by absolute distance from the mean: a sort by absolute value."""
-    rows = kept(spark, folder)
+    rows = kept(spark, folder, [*KEYS, "price"])
     mu = rows.agg(F.avg("price")).first()[0]
     gap = F.col("price") - F.lit(mu)
     return rows.orderBy(F.abs(gap).desc(), *KEYS).limit(20).select(*KEYS, F.round(gap, 4).alias("gap"))
@@ -460,7 +474,7 @@ def scaled_features(spark, folder):
 )
 def scaled_log_price(spark, folder):
     """Standardised log price and its inverse."""
-    rows = kept(spark, folder).withColumn("log_price", F.log("price"))
+    rows = kept(spark, folder, [*KEYS, "price"]).withColumn("log_price", F.log("price"))
     scaler = encode.fit_scaler(rows, ["log_price"])
     scaled = scaler.transform(rows).withColumn("back", F.exp(scaler.inverse(F.col("log_price"), "log_price")))
     return rounded(scaled.select(*KEYS, F.col("log_price").alias("z"), F.round("back", 4).alias("back")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lotwise.operators.clean import Cuts
@@ -24,9 +26,9 @@ def banded(spark: SparkSession, folder: str) -> DataFrame:
     return flow.kept_listings(listing(spark, folder), BAND, KEYS, dedupe=False)
 
 
-def kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The banded rows, staged for queries that read them more than once."""
-    return stage(banded(spark, folder), "kept-listings")
+def kept(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
+    """The columns of the banded rows that a query reads more than once, staged."""
+    return stage(banded(spark, folder).select(*columns), "kept-listings")
 
 
 def imputed(spark: SparkSession, folder: str) -> DataFrame:

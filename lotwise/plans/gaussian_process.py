@@ -205,6 +205,17 @@ def deep_kernel_sums(spark, folder):
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in cells.items()], "name string, value double"), 4)
 
 
+@query(
+    f"""with {SCALED} select order_key, line_no, round(x1, 6) + 0.0 as x, price as y from sc where split = 'train'
+    order by md5(concat_ws('|', cast(order_key as varchar), cast(line_no as varchar), '42')), order_key, line_no limit 300"""
+)
+def gp_sweep_points(spark, folder):
+    """Train points drawn beside the sweep: a repeatable sample on the swept feature's scale."""
+    train, _, _ = _scaled(spark, folder)
+    points = sample.random_rows(train, 300, list(KEYS))
+    return rounded(points.select(*KEYS, F.col("engine").alias("x"), F.col("price").alias("y")))
+
+
 # --- repeated hold-outs ----------------------------------------------------------------------
 
 RUNS = 10

@@ -132,7 +132,7 @@ def column_profiles(spark, folder):
     round(quantile_cont({c}, 0.5), 6) as q50, round(quantile_cont({c}, 0.75), 6) as q75,
     max({c}) + 0.0 as max""", "banded"))
 def describe_listings(spark, folder):
-    return rounded(profile.describe(kept(spark, folder), NUMERIC).withColumn("std", F.round("std", 4)))
+    return rounded(profile.describe(kept(spark, folder, NUMERIC), NUMERIC).withColumn("std", F.round("std", 4)))
 
 
 QS = [0.005, 0.25, 0.5, 0.75, 0.995]
@@ -141,7 +141,7 @@ QS = [0.005, 0.25, 0.5, 0.75, 0.995]
 @query(f"with {BANDED} " + _each(NUMERIC, "'{c}' as feature, " + ", ".join(
     f"round(quantile_cont({{c}}, {q}), 6) as q{i}" for i, q in enumerate(QS)), "banded"))
 def exact_quantiles(spark, folder):
-    found = quantile.quantiles(kept(spark, folder), NUMERIC, QS)
+    found = quantile.quantiles(kept(spark, folder, NUMERIC), NUMERIC, QS)
     return rounded(found.select("feature", *[F.col("q")[i].alias(f"q{i}") for i in range(len(QS))]))
 
 
@@ -161,7 +161,7 @@ _Q = "quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3"
 @query(f"with {BANDED}, f as (" + _each(CHECKED, "'{c}' as feature, " + _Q, "banded")
        + ") select *, q1 - 1.5 * (q3 - q1) as lower, q3 + 1.5 * (q3 - q1) as upper from f")
 def tukey_fences(spark, folder):
-    return profile.iqr_bounds(kept(spark, folder), CHECKED)
+    return profile.iqr_bounds(kept(spark, folder, CHECKED), CHECKED)
 
 
 @query(f"with {ENCODED}, " + ", ".join(
@@ -186,7 +186,7 @@ BOXED = [*NUMERIC, "leather", "turbo"]
     count(*) filter ({c} not between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as n_outliers
     from banded cross join b_{c}""" for c in BOXED))
 def boxplot_numbers(spark, folder):
-    return rounded(profile.boxplot_stats(kept(spark, folder), BOXED))
+    return rounded(profile.boxplot_stats(kept(spark, folder, BOXED), BOXED))
 
 
 @query(f"""with {LISTING} select 'over_50000' as predicate, count(*) filter (price > 50000) as n from listing
