@@ -23,7 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.ascent import QUIET_STEPS, TOLERANCE, NotConverged
+from lotwise.operators.ascent import QUIET_STEPS, TOLERANCE, NotConverged, ascent
 from lotwise.operators.blocks import CHUNK
 from lotwise.session import stage, settle
 
@@ -136,7 +136,7 @@ class Groups:
     def ways(self, theta: DataFrame) -> DataFrame:
         """``(key, slot, theta, m, c, terms, dense)`` for every group and parameter slot."""
         rate = 2 * F.exp(F.col("theta")[0]) * F.col("r") * F.col("r")
-        known = self.sizes.join(theta.select(self.key, "slot", "theta"), self.key).withColumn("terms", _terms(rate))
+        known = self.sizes.join(theta.where("theta is not null").select(self.key, "slot", "theta"), self.key).withColumn("terms", _terms(rate))
         dense = F.col("m") <= (F.col("terms") if self.dense_upto is None else F.lit(self.dense_upto))
         return settle(known.select(self.key, "slot", "theta", "m", "c", "terms", dense.alias("dense")))
 
@@ -248,16 +248,45 @@ def likelihood_grid(
 def tune(
     groups: Groups, start: Sequence[float], free: Sequence[bool] = (True, False, False), tolerance: float = TOLERANCE, most: int = 500
 ) -> DataFrame:
-    """Ascend the likelihood of all groups at once: ``(key, slot, theta, lml)``.
-
-    Each round evaluates one proposal per group still moving, along its gradient in a metric learned from the last
-    two points (the step of Barzilai and Borwein); one that does not raise the likelihood shortens the
-    group's step. A group is done when three accepted steps in a row change its likelihood by less than ``tolerance`` of
-    itself, or its step has shrunk to nothing; the rounds end when all groups are.
+    """Ascend the likelihood of every group: ``(key, slot, theta, lml)``.
+
+    A group that is solved from its cells climbs inside its task, by the same ascent as other fits; one that
+    does not settle there has NULL parameters and leaves the others alone. Groups that are solved as series need
+    new sums for every l, so they climb together, one proposal each a round, in a metric learned from
+    the last two points (the step of Barzilai and Borwein); a proposal that does not raise a group's likelihood
+    shortens its step. Such a group is done when three accepted steps in a row change its likelihood by
+    less than ``tolerance`` of itself, or its step has shrunk to nothing.
     """
     key = groups.key
     mask = [1.0 if f else 0.0 for f in free]
-    first = likelihoods(groups, constant_theta(groups, [start]))
+    ways = groups.ways(constant_theta(groups, [start]))
+
+    def climb(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = [rows[c].to_numpy(dtype=float) for c in ("x", "n", "ybar", "ss")]
+        at = np.array(rows["theta"].iloc[0])
+
+        def objective(step: np.ndarray) -> tuple[float, np.ndarray]:
+            value, grad = dense_likelihood(*cell, at + step * mask)
+            return value, grad * mask
+
+        try:
+            step, trace, _ = ascent(np.zeros(len(mask)), objective, tolerance, most, first_step=0.5)
+            best, value = at + step * mask, trace[-1]
+        except (NotConverged, np.linalg.LinAlgError):
+            best, value = None, None
+        return pd.DataFrame([(rows[key].iloc[0], rows["slot"].iloc[0], best, value)], columns=[key, "slot", "theta", "lml"])
+
+    schema = f"`{key}` {groups.key_type}, slot int, theta array<double>, lml double"
+    alone = stage(groups.dense_cells(ways).groupBy(key, "slot").applyInPandas(climb, schema))
+    others = ways.where(~F.col("dense")).select(key, "slot", "theta")
+    if others.isEmpty():
+        return alone
+    return alone.unionByName(_climb_together(groups, others, mask, tolerance, most))
+
+
+def _climb_together(groups: Groups, start: DataFrame, mask: Sequence[float], tolerance: float, most: int) -> DataFrame:
+    key = groups.key
+    first = likelihoods(groups, start)
     best = stage(first.withColumns({"rate": F.lit(None).cast("double"), "shrink": F.lit(1.0), "quiet": F.lit(0)}))
     for _ in range(most):
         moves = (F.col("quiet") < QUIET_STEPS) & (F.col("shrink") > 1e-6)
