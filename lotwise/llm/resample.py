@@ -7,7 +7,8 @@ without replacement in proportion to their weights; the noise is a hash of the k
 A log ratio summed over a long text swamps any noise, so it counts as that of ``EFFECTIVE`` n-grams at most: longer texts
 are scaled down to their mean per n-gram times that number.
 
-Counts cover all documents. NULL, empty and blank texts have no n-grams and the log weight 0. Repeated rows share
+Raw counts cover all documents; target counts cover the target documents, or ``TARGET`` of them chosen by a hash of
+their key when there are more, so that their keys can be broadcast and no text is shuffled. NULL, empty and blank texts have no n-grams and the log weight 0. Repeated rows share
 noise and fate; a tie at the edge is settled by the key. Without target texts all weights are 0.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from lotwise.llm.corpus import DOUBLE, LONG, slices, with_text_columns, written
 
 BUCKETS = 1 << 16
+# Labelled documents that the target model is fitted on, at most.
+TARGET = 20_000
 EFFECTIVE = 200
 # Added to every bucket's count.
 SMOOTHING = 1.0
@@ -69,12 +72,12 @@ class Ratio:
         return total * np.minimum(1.0, EFFECTIVE / np.maximum(n, 1)), n
 
 
-def fit(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text") -> Ratio:
-    """Counts n-grams over all documents (raw) and over those whose key is in ``target_keys``."""
-    keys = target_keys.select(F.col(key).alias("__key")).where("__key is not null").distinct().withColumn("__target", F.lit(True))
-    # The keys meet the documents' keys alone; texts are read beside them and never shuffled by a hot key.
+def fit(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", sample: int = TARGET) -> Ratio:
+    """Counts n-grams over all documents (raw) and over those of at most ``sample`` keys in ``target_keys``."""
+    keys = target_keys.select(F.col(key).alias("__key")).where("__key is not null").distinct()
+    chosen = keys.orderBy(F.xxhash64("__key"), "__key").limit(sample).withColumn("__target", F.lit(True))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    marked = rows.join(keys, "__key", "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
+    marked = rows.join(F.broadcast(chosen), "__key", "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
