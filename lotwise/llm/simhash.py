@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.components import components
-from lotwise.llm.corpus import LONG, with_text_columns, written
+from lotwise.llm.corpus import LONG, unused, with_text_columns, written
 
 MOST_BITS = 2
 WORDS = 3
@@ -158,8 +158,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Of rows that repeat a key one stays. Rows without a key cannot be named and stay as they are.
     """
     found = near_copies(docs.where(F.col(key).isNotNull()), key, text, words).where(F.col(key) == F.col("root"))
-    kept = written(found.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")), "kept")
+    (rows,) = unused(docs, "__rows")
+    kept = written(found.groupBy(key).agg(F.count(F.lit(1)).alias(rows)), "kept")
     mine = docs.join(kept, key)
-    once = mine.where("__rows = 1").select(*docs.columns)
-    again = mine.where("__rows > 1").select(*docs.columns).dropDuplicates([key])
+    once = mine.where(F.col(rows) == 1).select(*docs.columns)
+    again = mine.where(F.col(rows) > 1).select(*docs.columns).dropDuplicates([key])
     return once.unionByName(again).unionByName(docs.where(F.col(key).isNull()))

@@ -19,9 +19,8 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints):
-    """{id: root} by comparing all pairs."""
-    ids = sorted(prints)
+def joined(ids, edges):
+    """{id: root} of given edges."""
     root = {i: i for i in ids}
 
     def top(i):
@@ -29,13 +28,17 @@ def plain_components(prints):
             i = root[i]
         return i
 
-    for a, b in combinations(ids, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2:
-            x, y = sorted((top(a), top(b)))
-            root[y] = x
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
     return {i: top(i) for i in ids}
 
 
+def plain_components(prints):
+    """{id: root} by comparing all pairs."""
+    return joined(prints, [(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 2])
+
+
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=2))
 @settings(max_examples=300, deadline=None)
 def test_fingerprints_two_bits_apart_share_a_key(x, bits):
@@ -87,14 +90,25 @@ def test_links_through_pairs_and_through_hubs_reach_the_same(spark):
     frame = spark.createDataFrame([(s,) for s in signed], "fp long")
     want = plain_components({s: s % 2**64 for s in signed})
     for paired in (2, 7, 1000):
-        found = {r.node: r.root for r in simhash.components(simhash.links(frame, paired)).collect()}
-        assert {s: found.get(s, s) for s in signed} == want
+        edges = [(r.a, r.b) for r in simhash.links(frame, paired).collect()]
+        assert all(((a ^ b) % 2**64).bit_count() <= 2 for a, b in edges)
+        assert joined(signed, edges) == want
+
+
+def test_components_of_long_chains_stars_and_repeated_edges(spark):
+    rnd = random.Random(1)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(100)] + [(5, 5), (7, None), (2000, 1999)]
+    edges += [(b, a) for a, b in edges]
+    rnd.shuffle(edges)
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({n for e in edges for n in e if n is not None})
+    assert found == joined(nodes, [e for e in edges if None not in e])
 
 
 def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame(
         [(2, "a b c d", "x"), (1, "A b c d", "y"), (1, "A b c d", "y"), (5, "other words are here", "z"), (None, "a b c d", "n"), (8, None, "e"), (9, "", "e")],
-        "doc_id long, text string, fp string",
+        "doc_id long, text string, __rows string",
     )
     kept = sorted(simhash.one_of_each(docs).collect(), key=repr)
     assert [tuple(r) for r in kept] == [(1, "A b c d", "y"), (5, "other words are here", "z"), (8, None, "e"), (None, "a b c d", "n")]
