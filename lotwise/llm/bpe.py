@@ -15,15 +15,14 @@ from hashlib import sha256
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lotwise.llm.corpus import BINARY, STRING, with_text_columns
+from lotwise.llm.corpus import BINARY, LONG, STRING, with_text_columns
 from lotwise.llm.vocabulary import ByteVocabulary
 
 # Fixed value: the pattern that cuts text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Words remembered by a worker, and the text bytes it cuts into words at a time.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 BATCH_BYTES = 2 << 20
 NEVER = np.iinfo(np.int64).max
 
@@ -147,11 +146,25 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids alone."""
-    coded = encode(docs.select(key, text), path, text, "__ids").select(key, "__ids")
-    return decode(coded, path, "__ids", "__decoded").select(
-        key,
-        (F.length("__ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("__ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every document: encoded, then decoded from the ids alone.
+
+    Both ways run in one pass, some texts at a time, and only digests leave it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(ByteVocabulary.read(path))
+
+    def prepare():
+        encoder = _encoder(shared.value)
+
+        def work(found: list[bytes]) -> list:
+            packed = encoder.encode(found)
+            decoded = encoder.decode(packed)
+            return [
+                [len(p) // 4 for p in packed],
+                [sha256(p).hexdigest() for p in packed],
+                [sha256(d.encode()).hexdigest() for d in decoded],
+            ]
+
+        return work
+
+    fields = [("n_tokens", *LONG), ("ids_sha256", *STRING), ("decoded_sha256", *STRING)]
+    return with_text_columns(docs.select(key, text), text, fields, prepare, BATCH_BYTES).select(key, *[f[0] for f in fields])

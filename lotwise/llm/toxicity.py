@@ -35,7 +35,7 @@ LEAST_DOCS = 4
 FOLDS = 5
 RIDGE = 1.0
 # Tokens remembered by a worker, text bytes cut at a time.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 BATCH_BYTES = 4 << 20
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 

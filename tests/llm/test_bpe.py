@@ -64,6 +64,10 @@ def test_documents_with_null_empty_repeated_and_clashing_names(spark, library):
         packed = b"".join(n.to_bytes(4, "little") for n in ids)
         assert tuple(rows[i]) == (i, len(ids), sha256(packed).hexdigest(), sha256((t or "").encode()).hexdigest())
     assert bpe.round_trip(docs.limit(0), PATH).collect() == []
+    coded = bpe.decode(bpe.encode(docs.drop("ids"), PATH).drop("text"), PATH).collect()
+    for r in coded:
+        t = texts[r.doc_id] or ""
+        assert (list(memoryview(bytes(r.ids)).cast("I")), r.decoded) == (library.encode(t, add_special_tokens=False).ids, t)
 
 
 def test_query_equals_the_library(spark, tiny, library):
