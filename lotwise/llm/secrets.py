@@ -1,6 +1,7 @@
 """Secret scan in SQL functions: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least twelve key characters with a digit. The forest judges its length, its changes
+A candidate is what an announcing word assigns, whatever its length and characters, or a run of at least twelve key
+characters with a digit. The forest judges its length, its changes
 between character classes, how much of it dictionary words cover, whether it reads like a path, address or host,
 and the words beside it. The forest is fitted by Spark's own trainer on labelled findings, at most ``SAMPLE`` of them, and
 applied as arrays of nodes that a higher-order function walks: scanning is one projection of the documents, with no
@@ -36,7 +37,23 @@ BESIDE = 40
 KEY_CHARACTERS = r"A-Za-z0-9+/_@.\-"
 CANDIDATE = rf"(?<![{KEY_CHARACTERS}])(?=[A-Za-z+/_@.\-]*+[0-9])[{KEY_CHARACTERS}]{{12,}}+={{0,2}}"
 # Words that announce a secret.
-ANNOUNCING = "password passwd pwd passphrase secret token apikey api_key access_key private_key credential bearer auth".split()
+ANNOUNCING = """password passwd pwd passphrase passcode secret token apikey api_key api-key access_key access-key accesskey private_key private-key
+    privatekey secret_key secret-key secretkey credential credentials bearer auth authorization""".split()
+# What stands before an announced value: the word and its endings, a sign of assignment, and perhaps a scheme and a quote.
+_TOLD = "|".join(sorted(ANNOUNCING, key=len, reverse=True))
+_ENDINGS = "s?(?:[_-][A-Za-z0-9]{1,16}(?:[_-][A-Za-z0-9]{1,16})?)?"
+_SIGN = rf"""(?i:{_TOLD}){_ENDINGS}\\?["'`]?\]?\s{{0,4}}(?:[=:]{{1,2}}>?|>)\s{{0,8}}(?:(?i:bearer|basic|token)\s{{1,2}})?\\?["'`]?"""
+# Cheap looks back come first: only few places are behind a sign or a scheme.
+_BEHIND = rf"""(?<=[=:>\s"'`])(?<=[=:>][\s\\"'`]{{0,9}}|(?i:bearer|basic|token)\s{{1,3}}["'`]?)(?:(?<={_SIGN})|(?<=\b(?i:bearer)\s{{1,3}}["'`]?))"""
+# Not a value: blanks, quotes, marks that end one, a scheme, or another announcing word with its sign.
+_STARTS = rf"""(?![\s"'`,;=>)\]}}\\]|(?i:bearer|basic|token)\s|[\w.-]{{0,24}}(?i:{_TOLD}){_ENDINGS}\s{{0,4}}[=:])"""
+# Quoted values end at the same quote of the line, others at a blank, quote, tag or the next assignment, without the marks of a sentence.
+_QUOTED = "|".join([r"""(?<=\\")[^\r\n]+?(?=\\")""", *[rf"""(?<={q})[^\r\n]+?(?<!(?<!\\)\\)(?={q})""" for q in "\"'`"]])
+_PLAIN = r"""[^\s"'`]+?(?=[,;.)\]}]{0,3}(?:[\s"'`]|\z)|</|[,;&?][\w.-]{1,40}[=:])"""
+ANNOUNCED = f"{_BEHIND}{_STARTS}(?:{_QUOTED}|{_PLAIN})"
+ANY = f"{ANNOUNCED}|{CANDIDATE}"
+# Formats that are secrets wherever they stand.
+FORMATS = r"""^((AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|[rs]k_(live|test)_[A-Za-z0-9]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36}|AIza[\w-]{35}|SG[.][\w-]{16,}[.][\w-]{16,}|eyJ[\w-]{8,}[.]eyJ[\w-]+[.][\w-]+)$"""
 FEATURES = (
     "length", "class_changes", "digit_share", "upper_share", "hex", "distinct_share", "covered", "path_marks", "address", "dotted_numbers",
     "announced", "assigned", "quoted",
@@ -70,7 +87,12 @@ def _features(dictionary: list[str]) -> str:
 
 def _listed(matches: str, parts: str) -> str:
     """SQL of the candidates with what stands beside them."""
-    return f"""transform({matches}, (m, i) -> struct(m as value, right({parts}[i], {BESIDE}) as before, left({parts}[i + 1], 1) as after))"""
+    # A short stretch is led by the candidates and stretches before it; none of them is empty but a stretch behind a closing "=".
+    lead = f"""array_join(transform(slice({matches}, greatest(i - {BESIDE}, 0) + 1, least(i, {BESIDE})),
+        (x, k) -> concat(right({parts}[greatest(i - {BESIDE}, 0) + k], {BESIDE}), right(x, {BESIDE}))), '')"""
+    before = f"right(if(length({parts}[i]) >= {BESIDE}, {parts}[i], concat({lead}, {parts}[i])), {BESIDE})"
+    after = f"left(if({parts}[i + 1] = '', coalesce(get({matches}, i + 1), ''), {parts}[i + 1]), 1)"
+    return f"transform({matches}, (m, i) -> struct(m as value, {before} as before, {after} as after))"
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,9 +103,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def _cut(docs: DataFrame, text: str, matches: str, parts: str) -> DataFrame:
     """The candidates of each text and the stretches between them (NULL where there is none)."""
-    pattern = F.lit(CANDIDATE)
+    pattern = F.lit(ANY)
     found = docs.withColumn(matches, F.coalesce(F.regexp_extract_all(text, pattern, F.lit(0)), F.array().cast("array<string>")))
-    return found.withColumn(parts, F.when(F.size(matches) > 0, F.split(F.col(text), CANDIDATE, -1)))
+    return found.withColumn(parts, F.when(F.size(matches) > 0, F.split(F.col(text), ANY, -1)))
 
 
 def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> list[str]:
@@ -97,21 +119,42 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> l
 def labelled_findings(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(value, before, after, label): what is known about candidates, for want of a table of reviewed findings.
 
-    Half are the corpus's own candidates, labelled by strict formats. The others are written around hashes of keys:
-    random strings announced as secrets, and dictionary words, paths, versions, numbers, addresses and commit hashes in
-    the same and other places. At most ``SAMPLE`` rows, those of smallest hash.
+    Half are the corpus's own candidates that a rule decides; the others of the corpus stay out, as nothing is known about them.
+    The second half is written around hashes of keys: random strings announced as secrets, tokens of known formats, and dictionary
+    words, placeholders, paths, versions, numbers, addresses and commit hashes in the same and other places. At most ``SAMPLE``
+    rows, those of smallest hash.
     """
-    strict = rf"""value rlike '^(AKIA|ASIA)[A-Z0-9]{{16}}$' or
-        (lower(before) rlike '({"|".join(ANNOUNCING)})\\s*[=:]\\s*["\']?$' and value rlike '^([0-9a-f]{{16,}}|[A-Za-z0-9+/_-]{{24,}}={{0,2}})$')"""
-    own = candidates(docs, key, text).select("value", "before", "after", F.expr(f"cast({strict} as int)").alias("label"))
-    own = own.distinct().orderBy(F.xxhash64("value", "before"), "value", "before", "after").limit(SAMPLE // 2)
+    listed = "array('" + "','".join(words) + "')" if words else "cast(array() as array<string>)"
+    told = f"""lower(before) rlike '({_TOLD})s?[^a-z0-9]*[=:>][^a-z0-9]*((bearer|basic|token)[^a-z0-9]+)?$' or lower(before) rlike 'bearer[^a-z0-9]+$'"""
+    mixed = " and ".join(f"value rlike '{k}'" for k in ("[a-z]", "[A-Z]", "[0-9]", "[!#$%&*?^~]"))
+    label = rf"""case
+        when value rlike '{FORMATS.replace(chr(92), chr(92) * 2)}' then 1
+        when value rlike '^[0-9]+([.:/-][0-9]+){{1,9}}$' or value rlike '^[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}$' then 0
+        when array_contains({listed}, lower(value)) or value rlike '^([$%]?[{{][^}}]*[}}]+|[$][A-Z_]+|<[^>]*>|[*]+|[xX]+|[.]+|(?i:null|none|true|false))$' then 0
+        when {told} then case
+            when value rlike '^[0-9a-f]{{16,}}$' or (value rlike '^[A-Za-z0-9+/_.-]{{24,}}={{0,2}}$' and value rlike '[0-9]') then 1
+            when length(value) between 8 and 64 and value not like '% %' and {mixed} then 1 end
+        when value rlike '^[0-9]+$' then 0
+        when value rlike '^[0-9a-f]+$' and lower(before) rlike '(commit|checksum|revision|digest|etag|md5|sha1|sha256)[^a-z0-9]*$' then 0
+        when length(value) < 200 and value rlike '^[/~]?([A-Za-z]?[a-z]+|v?[0-9]{{1,4}})([/._-]([A-Za-z]?[a-z]+|v?[0-9]{{1,4}}))+$' then 0
+    end"""
+    own = candidates(docs, key, text).select("value", "before", "after", F.expr(label).alias("label"))
+    own = own.where("label is not null").distinct().orderBy(F.xxhash64("value", "before"), "value", "before", "after").limit(SAMPLE // 2)
     if not words:
         return own
     keys = docs.select(F.xxhash64(key).alias("h")).distinct().orderBy("h").limit(MADE_FROM)
-    listed = "array('" + "','".join(words) + "')"
     pick = lambda n: f"element_at({listed}, cast(pmod(xxhash64(h, {n}), {len(words)}) as int) + 1)"
-    seed = keys.selectExpr("h", f"{pick(1)} as a", f"{pick(2)} as b", "md5(cast(h as string)) as m", "sha1(cast(h as string)) as s", "pmod(h, 90) + 10 as n")
+    seed = keys.selectExpr("h", f"{pick(1)} as a", f"{pick(2)} as b", "md5(cast(h as string)) as m", "sha1(cast(h as string)) as s", "pmod(h, 90) + 10 as n",
+        "translate(base64(unhex(sha2(cast(h as string), 256))), '+/=', 'xY') as r")
     made = """
+        'password: ' | left(r, 10) | ' ' | 1;          'pwd=' | concat(initcap(a), '$', n, '!', left(r, 3)) | ' ' | 1;     'passwd=' | concat(left(r, 4), '%', right(r, 5)) | ' ' | 1;
+        'secret=\\'' | concat(left(r, 7), '!', substr(r, 8, 3), '#', substr(r, 11, 2)) | '\\'' | 1;  'passphrase: "' | substr(translate(r, '0123456789', '!#*qWeKzvJ'), 3, 14) | '"' | 1;
+        'Bearer ' | r | ' ' | 1;  'Authorization: Bearer ' | concat('eyJ', left(r, 20), '.eyJ', substr(r, 5, 30), '.', right(r, 28)) | ' ' | 1;  'auth_token_prod=' | left(r, 32) | ' ' | 1;
+        concat(a, ' ') | concat('ghp_', left(r, 36)) | ' ' | 1;  concat(a, ' ') | concat('sk_live_', left(r, 24)) | ' ' | 1;  'key "' | concat('AIza', left(r, 35)) | '"' | 1;
+        concat(a, ' ') | concat('eyJ', left(r, 24), '.eyJ', substr(r, 7, 32), '.', right(r, 22)) | ' ' | 1;  concat(a, ' is ') | concat(left(s, 11), '-', substr(s, 12, 12), '-', left(r, 24)) | ' ' | 1;
+        'password: ' | b | ' ' | 0;  'token=' | concat(a, '_', b) | ' ' | 0;  'auth: ' | initcap(a) | ' ' | 0;  'secret: "' | concat(a, ' ', b) | '"' | 0;  'bearer ' | a | ' ' | 0;
+        'password: ' | concat('${', a, '}') | ' ' | 0;  'api_key=' | concat('<', a, '-', b, '>') | ' ' | 0;  'pwd=' | repeat('*', n % 9 + 3) | ' ' | 0;  'password="' | repeat('x', n % 9 + 3) | '"' | 0;
+        'tokens: ' | concat(n, '') | ' ' | 0;  'token = ' | concat(a, '.', b, '()') | ' ' | 0;  'secret=' | concat('$', upper(a), '_', upper(b)) | ' ' | 0;  'token_limit: ' | concat(n, '00') | ' ' | 0;
         'token = "' | s | '"' | 1;          'password=' | left(m, 18) | ' ' | 1;      'secret: ' | base64(unhex(m)) | ' ' | 1;
         concat(a, ' ') | concat('AKIA', translate(upper(left(m, 16)), '0189', 'QXYZ')) | ' ' | 1;
         'api_key="' | concat(left(s, 20), upper(right(s, 12))) | '"' | 1;
@@ -122,7 +165,7 @@ def labelled_findings(docs: DataFrame, words: list[str], key: str = "doc_id", te
     """
     rows = [[p.strip() for p in row.split(" | ")] for row in made.split(";")]
     each = ", ".join(f"struct({v} as value, concat({w}, ' ', {before}) as before, {after} as after, {label} as label)" for (before, v, after, label), w in zip(rows, ["a", "b"] * len(rows), strict=False))
-    other = seed.select(F.explode(F.expr(f"array({each})")).alias("f")).select("f.*").where(F.length("value") >= 12)
+    other = seed.select(F.explode(F.expr(f"array({each})")).alias("f")).select("f.*").where(F.expr(f"length(value) >= 12 or {told}"))
     return own.unionByName(other.orderBy(F.xxhash64("value", "before"), "value", "before").limit(SAMPLE // 2))
 
 

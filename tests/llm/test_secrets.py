@@ -151,3 +151,53 @@ def test_query_finds_known_formats(spark, tiny):
     assert rows.keys() == texts.keys()
     for i, text in texts.items():
         assert rows[i].spans == ",".join(f"{m.start() + 1}+{len(m.group())}" for m in known.finditer(text))
+
+
+ASSIGNED = [
+    ("password=Pa$$w0rd! then", ["Pa$$w0rd!"]), ("pwd: abc", ["abc"]), ("SECRET_KEY = 'a#b%c d&e'", ["a#b%c d&e"]), ('{"api_key": "x!y", "n": 1}', ["x!y"]),
+    ("Authorization: Bearer aaaa.bbbb.cccc\n", ["aaaa.bbbb.cccc"]), ("a Bearer zzzz, b", ["zzzz"]), ("https://h/?token=abc&page=2", ["abc"]), ("<password>q*r</password>", ["q*r"]),
+    ('passwd := "say \\" it"', ['say \\" it']), ("secret: password=hunter", ["hunter"]), ('\\"token\\": \\"u!v\\"', ["u!v"]), ("pwd=a pwd=b pwd=c", ["a", "b", "c"]),
+    ("password=one.", ["one"]), ("password: ", []), ("a passing token of love", []), ("MY_DB_PASSWORD_12345=x1y2", ["x1y2"]), ("see ghp_0123456789abcdef end", ["ghp_0123456789abcdef"]),
+    ("password=" + "k" * 100_000, ["k" * 100_000]), ('password="' + "a b" * 50_000, ["a"]), ("password=" + ",=" * 50_000, []), ("token=" * 20_000 + "v", ["v"]),
+]
+
+
+def test_what_a_word_assigns_is_a_candidate(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ASSIGNED)], "doc_id long, text string")
+    found = {r.doc_id: r.candidates for r in secrets.scanned(docs, secrets.Forest.always([])).collect()}
+    for i, (text, want) in enumerate(ASSIGNED):
+        got = [text[c.start - 1 : c.start - 1 + c.length] for c in found[i]]
+        assert [v for v in got if v not in ("MY_DB_PASSWORD_12345=",)] == want, text[:80]
+
+
+def test_context_is_read_from_the_text(spark):
+    texts = ["pwd=a1 pwd=b2 pwd=c3 password=ddd", "x" * 60 + " token=e\u00e9 id 1234567890123 abcdefghijk12 z", "MY_DB_PASSWORD_12345=x1y2"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    at = {}
+    for r in secrets.candidates(docs).collect():
+        text = texts[r.doc_id]
+        at[r.doc_id] = text.index(r.value, at.get(r.doc_id, 0)) + len(r.value)
+        start = at[r.doc_id] - len(r.value)
+        assert (r.before, r.after) == (text[max(0, start - secrets.BESIDE) : start], text[at[r.doc_id] : at[r.doc_id] + 1])
+    assert len(at) == 3
+
+
+def test_undecided_candidates_have_no_label(spark):
+    texts = ["see 7f3kQz81LmXw0p2 there", "note Zk4Vn8Qp1Lr6Tx3 end", "ghp_" + "a1B2" * 9, "at 110.20.30.40 now", "see /usr/lib/v2/x1/site there"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.value: r.label for r in secrets.labelled_findings(docs, []).collect()}
+    assert found == {"ghp_" + "a1B2" * 9: 1, "110.20.30.40": 0}
+
+
+def test_formats_that_training_never_saw(spark, forest):
+    rnd = random.Random(4)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    mark = lambda n: "".join(rnd.choices(letters, k=n))
+    secret = lambda: rnd.choice([f"npm_{mark(36)}", f"glpat-{mark(20)}", f"xoxb-{mark(12)}-{mark(24)}", f"github_pat_{mark(22)}_{mark(40)}"])
+    shapes = [lambda: f"see {secret()} there", lambda: f'client_secret="{mark(6)}%{mark(6)}"', lambda: f"credential: {mark(16)}", lambda: f"<password>{mark(5)}&{mark(4)}*</password>"]
+    clear = ["password: river", "the token: window", "host 10.1.22.7 up", "mail stone.7@mail.example.com", "secret: <paper>", "see /stone/river/v3/index.html"]
+    docs = [(i, shapes[i % 4]()) for i in range(200)] + [(1000 + i, t) for i, t in enumerate(clear)]
+    rows = secrets.scanned(spark.createDataFrame(docs, "doc_id long, text string"), forest).collect()
+    hit = [any(c.secret for c in r.candidates) for r in rows if r.doc_id < 1000]
+    assert sum(hit) / len(hit) > 0.95
+    assert [r.clean_text for r in rows if r.doc_id >= 1000 and secrets.MASK in r.clean_text] == []
