@@ -236,7 +236,9 @@ class Forest:
 def fit(findings: DataFrame, words: list[str]) -> Forest:
     """A forest from labelled findings (value, before, after, label); rows with a NULL among them are left out."""
     rows = findings.select(F.struct("value", "before", "after").alias("c"), F.col("label").cast("double")).where("c.value is not null and c.before is not null and c.after is not null and label is not null")
-    known = written(rows.select("label", F.expr(_features(words)).alias("f")).orderBy("f", "label").limit(SAMPLE).coalesce(1), "findings")
+    # The bounded sample is drawn by hash; rows are put in order only after it.
+    rows = rows.orderBy(F.xxhash64("c"), "c", "label").limit(SAMPLE)
+    known = written(rows.select("label", F.expr(_features(words)).alias("f")).orderBy("f", "label").coalesce(1), "findings")
     kinds = [r[0] for r in known.select("label").distinct().collect()]
     if len(kinds) < 2:
         return Forest.always(words, kinds[0] if kinds else 1.0)

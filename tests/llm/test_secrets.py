@@ -201,3 +201,11 @@ def test_formats_that_training_never_saw(spark, forest):
     hit = [any(c.secret for c in r.candidates) for r in rows if r.doc_id < 1000]
     assert sum(hit) / len(hit) > 0.95
     assert [r.clean_text for r in rows if r.doc_id >= 1000 and secrets.MASK in r.clean_text] == []
+
+
+def test_the_sample_of_findings_has_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE", 200)
+    rows = [(f"{i:06d}ab" + "c" * 4, "see ", " ", 0) for i in range(1000)] + [(sha1(str(i).encode()).hexdigest(), "token=", " ", 1) for i in range(1000)]
+    forest = secrets.fit(spark.createDataFrame(rows, "value string, before string, after string, label int"), [])
+    assert len(forest.roots) == secrets.TREES
+    assert judged(forest, features([], "f" * 20 + "0123456789" * 2, "token=", " ")) > 0.5 > judged(forest, features([], "000001abcccc", "see ", " "))
