@@ -7,8 +7,8 @@ without replacement in proportion to their weights; the noise is a hash of the k
 A log ratio summed over a long text swamps any noise, so it counts as that of ``EFFECTIVE`` n-grams at most: longer texts
 are scaled down to their mean per n-gram times that number.
 
-Raw counts cover all documents; target counts cover the target documents, or ``TARGET`` of them chosen by a hash of
-their key when there are more, so that their keys can be broadcast and no text is shuffled. NULL, empty and blank texts have no n-grams and the log weight 0. Repeated rows share
+Raw counts cover all documents and target counts all target documents. The keys of these are cut by hash into blocks of
+about ``BLOCK_KEYS``, each broadcast in a pass of its own, so that no text is shuffled. NULL, empty and blank texts have no n-grams and the log weight 0. Repeated rows share
 noise and fate; a tie at the edge is settled by the key. Without target texts all weights are 0.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lotwise.llm.corpus import DOUBLE, LONG, slices, with_text_columns, written
 
 BUCKETS = 1 << 16
-# Labelled documents that the target model is fitted on, at most.
-TARGET = 20_000
+# Keys of target documents that are broadcast at a time, about.
+BLOCK_KEYS = 200_000
 EFFECTIVE = 200
 # Added to every bucket's count.
 SMOOTHING = 1.0
@@ -72,30 +72,34 @@ class Ratio:
         return total * np.minimum(1.0, EFFECTIVE / np.maximum(n, 1)), n
 
 
-def fit(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", sample: int = TARGET) -> Ratio:
-    """Counts n-grams over all documents (raw) and over those of at most ``sample`` keys in ``target_keys``."""
-    keys = target_keys.select(F.col(key).alias("__key")).where("__key is not null").distinct()
-    chosen = keys.orderBy(F.xxhash64("__key"), "__key").limit(sample).withColumn("__target", F.lit(True))
+def fit(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", most: int = BLOCK_KEYS) -> Ratio:
+    """Counts n-grams over all documents (raw) and over those with a key in ``target_keys``, about ``most`` keys at a time."""
+    keys = written(target_keys.select(F.col(key).alias("__key")).where("__key is not null").distinct(), "target_keys")
+    blocks = max(1, -(-keys.count() // most))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    marked = rows.join(F.broadcast(chosen), "__key", "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
+    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        every, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part, found in slices(batch, "text", BATCH_BYTES):
                 owner, bucket = hashed_ngrams(found)
                 mine = part.column(1).to_numpy(zero_copy_only=False)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
-
-    found = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    got = found.toArrow()  # at most BUCKETS rows
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
-    at = got["bucket"].to_numpy()
-    raw[at] += got["raw"].to_numpy()
-    target[at] += got["target"].to_numpy()
+                every += np.bincount(bucket, minlength=BUCKETS)
+                good += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
+        seen = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(every[seen]), pa.array(good[seen])], names=["bucket", "raw", "target"])
+
+    for block in range(blocks):
+        chosen = keys.where(F.pmod(F.xxhash64("__key"), F.lit(blocks)) == block).withColumn("__target", F.lit(True))
+        # The first pass counts all documents, the others only those of their block.
+        marked = rows.join(F.broadcast(chosen), "__key", "inner" if block else "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
+        found = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        got = found.toArrow()  # at most BUCKETS rows
+        at = got["bucket"].to_numpy()
+        if not block:
+            raw[at] += got["raw"].to_numpy()
+        target[at] += got["target"].to_numpy()
     if target.sum() <= BUCKETS * SMOOTHING:
         return Ratio(np.zeros(BUCKETS))
     return Ratio(np.log(target / target.sum()) - np.log(raw / raw.sum()))

@@ -102,3 +102,16 @@ def test_query_keeps_good_documents(spark):
     assert out.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
     share = {r.quality: r.s for r in out.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("selected").cast("int")).alias("s")).collect()}
     assert share[1] > 0.95 and share[0] < 0.3
+
+
+def test_all_target_documents_count_block_by_block(spark, docs):
+    keys = docs.where("score").select("doc_id")
+    rows = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "g1 g2", True)], docs.schema))
+    want, parts = resample.fit(rows, keys), resample.fit(rows, keys.union(keys), most=50)
+    assert np.array_equal(want.log_ratio, parts.log_ratio)
+
+
+def test_no_default_bound_on_target_documents(spark):
+    docs = spark.range(21_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    got = resample.fit(docs, docs.select("doc_id"))
+    assert np.array_equal(got.log_ratio, np.zeros(resample.BUCKETS))
