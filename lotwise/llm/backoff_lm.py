@@ -1,14 +1,15 @@
-"""Language-model scores by a weighted backoff automaton over the whole corpus.
+"""Language-model scores equal to those of a weighted backoff automaton over the whole corpus.
 
-States are contexts, arcs seen n-grams, and a failure arc drops a context's oldest word. With c the training count,
+No automaton is built or walked: ``Chunk.scores`` looks up the counts of every order at every position at once. In the
+automaton that it equals, states are contexts, arcs seen n-grams, and a failure arc drops a context's oldest word. With c the training count,
 an arc weighs log10((c(context word) + M * p(word | shorter context)) / (c(context) + M)) and a failure arc
 log10(M / (c(context) + M)), so that probabilities add up to one; single words have (c + 0.5) / (N + 0.5 * (V + 1)),
 where one unknown word stands for all. Reading a text from left to right, the state after a word is the longest
 known context it ends, and weights add up.
 
-The automaton of a corpus fits no machine, so each chunk of documents gets the part it can reach. A chunk sends
+The counts of a corpus fit no machine, so each chunk of documents gets those it can reach. A chunk sends
 the hashes of its distinct n-grams, with their training counts, to buckets by hash; a bucket adds up and answers
-with total counts in the same order; the chunk builds its states and arcs from them. Repeated n-grams travel
+with total counts in the same order; the chunk works out its scores from them. Repeated n-grams travel
 once per chunk, however common. N and V come from a pass before. Chunks and buckets grow in number with the text.
 
 Words are runs of anything but the six ASCII blanks, A-Z in lower case; every text ends with one more token. NULL, empty
