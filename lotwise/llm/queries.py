@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import ann, backoff_lm, bpe, decontaminate, resample, secrets, sharding, simhash, token_counts, toxicity
+from lotwise.llm import ann, backoff_lm, bpe, decontaminate, merkle, resample, secrets, sharding, simhash, token_counts, toxicity
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -97,3 +97,56 @@ def op9_resample(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return merkle.manifest(docs, tampered=merkle.tampered_fifth("doc_id", "text"))
+
+
+def _field(column: str) -> str:
+    return f"case when {column} is null then '-' else concat(strlen(cast({column} as varchar)), ':', {column}) end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+
+
+_LOWERED = f"translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}')"
+# The reflected polynomial of CRC-32, bit by bit over the bytes of the decimal doc_id.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''),
+      lambda c: ascii(c)::bigint)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"""
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Levels, siblings and paths of the trees of ``nodes`` (tree, pos, n, hash)."""
+    return f"""{name}_levels as (select tree, 0 as level, pos, n, hash from {nodes}
+    union all select tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(hash, '' order by pos))
+      from {name}_levels where n > 1 group by tree, level, pos // 16, n),
+  {name}_sides as (select tree, level, pos, concat(coalesce(string_agg(hash, '') over before, ''), '|',
+      coalesce(string_agg(hash, '') over behind, '')) as side from {name}_levels where n > 1
+    window before as (partition by tree, level, pos // 16 order by pos rows between unbounded preceding and 1 preceding),
+      behind as (partition by tree, level, pos // 16 order by pos rows between 1 following and unbounded following)),
+  {name}_roots as (select tree, hash from {name}_levels where n = 1),
+  {name}_paths as (select l.tree, l.pos, list(s.side order by s.level) filter (s.side is not null) as sides from {nodes} l
+    left join {name}_sides s on l.tree = s.tree and s.pos = l.pos // cast(pow(16, s.level) as bigint) group by l.tree, l.pos)"""
+
+
+ORACLES["op11_merkle"] = f"""with recursive marked as (select doc_id, case when source is null then '-' else '=' || source end as tree,
+    {_leaf('text')} as hash, case when doc_id is not null and {_CRC} % 5 = 0 then {_leaf(_LOWERED)} end as changed from documents),
+  leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, hash) - 1 as pos,
+    count(*) over (partition by tree) as n from marked),
+  {_tree("inner", "leaves")},
+  members as (select 'whole' as tree, tree as member, hash, row_number() over (order by tree) - 1 as pos, count(*) over () as n
+    from inner_roots),
+  {_tree("outer", "members")},
+  whole as (select l.doc_id, l.hash as leaf, coalesce(l.changed, l.hash) as own, m.hash as subroot, r.hash as root,
+      list_concat(coalesce(p.sides, []), coalesce(t.sides, [])) as sides
+    from leaves l join inner_paths p on l.tree = p.tree and l.pos = p.pos join members m on m.member = l.tree
+    join outer_paths t on t.pos = m.pos join outer_roots r on r.tree = m.tree),
+  folds as (select *, list_reduce(list_prepend(own, sides),
+      lambda a, s: sha256(concat(split_part(s, '|', 1), a, split_part(s, '|', 2)))) as folded_root from whole)
+  select doc_id, leaf, subroot, root, sha256(replace(array_to_string(sides, ''), '|', '')) as proof_sha256, folded_root,
+    folded_root = root as verified from folds"""
