@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import ann, backoff_lm, bpe, decontaminate, merkle, resample, secrets, sharding, simhash, token_counts, toxicity
+from lotwise.llm import alignment, ann, backoff_lm, bpe, decontaminate, licenses, merkle, resample, secrets, sharding, simhash, token_counts, toxicity
 from lotwise.llm.vocabulary import ByteVocabulary
 from lotwise.sources.tables import table
 
@@ -150,3 +150,54 @@ ORACLES["op11_merkle"] = f"""with recursive marked as (select doc_id, case when
       lambda a, s: sha256(concat(split_part(s, '|', 1), a, split_part(s, '|', 2)))) as folded_root from whole)
   select doc_id, leaf, subroot, root, sha256(replace(array_to_string(sides, ''), '|', '')) as proof_sha256, folded_root,
     folded_root = root as verified from folds"""
+
+
+@query
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(table(spark, folder, "documents"))
+
+
+def _template_rows() -> str:
+    """(template, at, gram, length, own, label, base), as the operator's own table has them."""
+    rows = []
+    for number, t in enumerate(licenses.TEMPLATES):
+        words = t.words
+        own = min(licenses.K, len(words))
+        rows += [
+            f"({number}, {i}, '{' '.join(words[i : i + own])}', {len(words)}, {own}, '{t.label}', {t.base})"
+            for i in range(len(words) - own + 1)
+        ]
+    return ", ".join(rows)
+
+
+_LICENSE_WORDS = f"list_filter(string_split_regex(coalesce({_LOWERED}, ''), '{licenses.GAPS}'), lambda w: w <> '')"
+ORACLES["op12_licenses"] = f"""with places(template, place, gram, length, own, label, base) as (values {_template_rows()}),
+  docs as (select row_number() over () as id, doc_id, {_LICENSE_WORDS} as words from documents),
+  starts as (select id, words, unnest(range(len(words))) as start from docs),
+  sizes as (select distinct own from places),
+  grams as (select id, start, own, array_to_string(words[start + 1 : start + own], ' ') as gram from starts, sizes
+    where start + own <= len(words)),
+  diagonals as (select id, template, label, base, length, p.own, start - place as diagonal, list(distinct place) as places
+    from grams g join places p on g.gram = p.gram and g.own = p.own group by all),
+  firsts as (select *, case when base or diagonal - lag(diagonal) over (partition by id, template order by diagonal) <= {licenses.NEAR}
+      and not base then 0 else 1 end as first from diagonals),
+  numbered as (select *, sum(first) over (partition by id, template order by diagonal) as span from firsts),
+  merged as (select id, template, label, base, length, own, span, list_distinct(flatten(list(places))) as places,
+      max(len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + own)))))) as alone,
+      min(diagonal + list_min(places)) as start, max(diagonal + list_max(places) + own) as stop
+    from numbered group by id, template, label, base, length, own, span),
+  shares as (select *, greatest(alone, case when stop - start <= length * {licenses.LOOSE} then
+      len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + own))))) else 0 end) / length::double as share from merged),
+  verified as (select *, share >= case when base then 1.0 else {licenses.SHARE} end as verified from shares),
+  found as (select id, count_if(base and verified) as n_base, min(start) filter (base and verified) as first_word,
+      max(start) filter (base and verified) as last_word, string_agg(distinct label, ',' order by label) filter (base and verified) as base_labels,
+      string_agg(distinct label, ',' order by label) filter (verified) as labels, max(share) as score from verified group by id)
+  select doc_id, len(words) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word,
+    coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score
+  from docs left join found using (id)"""
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary, pieces = ByteVocabulary.read(tokenizer_path("byte_bpe_50k.json")), alignment.Pieces.read(tokenizer_path("piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, folder, "documents"), vocabulary, pieces)
