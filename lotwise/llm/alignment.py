@@ -24,15 +24,18 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.bpe import Encoder
+from lotwise.llm.bpe import PATTERN, Encoder
 from lotwise.llm.corpus import slices, written
 from lotwise.llm.vocabulary import ByteVocabulary
 
 # Text bytes that a task works on at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+# Texts with a longer run of characters without a blank are merged in rounds: the ready-made encoder is quadratic in it.
+LONG_RUN = 1_000
 # Texts of more than this share of all rows are hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -59,25 +62,46 @@ class Pieces:
         return cls(model, tuple(known))
 
 
+def ready_made(vocabulary: ByteVocabulary) -> tiktoken.Encoding | None:
+    """The installed encoder of such vocabularies, if their ids follow the order of their merges, as it expects."""
+    by_bytes = {t: i for i, t in enumerate(vocabulary.tokens) if t and t.decode("utf-8", "replace") not in vocabulary.added}
+    merged = [by_bytes.get(vocabulary.tokens[a] + vocabulary.tokens[b], -1) for a, b in vocabulary.merges]
+    if sorted(merged) != merged or len(by_bytes) != len(merged) + 256:
+        return None
+    return tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=by_bytes, special_tokens={})
+
+
 class Aligner:
     """Both tokenizers, and the alignment of texts that they cover byte by byte."""
 
     def __init__(self, vocabulary: ByteVocabulary, pieces: Pieces) -> None:
-        self.first = Encoder(replace(vocabulary, added={}))
+        self.first, self.quick = Encoder(replace(vocabulary, added={})), ready_made(vocabulary)
         self.second = sentencepiece.SentencePieceProcessor(model_proto=pieces.model)
         self.bytes_a, self.bytes_b = vocabulary.tokens, pieces.tokens
         self.length_a, self.length_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        width = len(str(most))
+        # The digits of every id, right-aligned, with room for the mark behind them, and which of them are shown.
+        self.digits = np.array([list(f"{i:0{width}d},".encode()) for i in range(most)], np.uint8)
+        self.shown = np.array([[j >= width - len(str(i)) for j in range(width + 1)] for i in range(most)], bool)
+
+    def encoded(self, text: bytes) -> np.ndarray:
+        """The first side's ids."""
+        told = text.decode()
+        if self.quick is None or max(map(len, told.split()), default=0) > LONG_RUN:
+            return np.frombuffer(self.first.encode([text])[0], "<u4").astype(np.int64)
+        return np.array(self.quick.encode_ordinary(told), np.int64)
 
     def tokens(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of both sides; none for a text that a side does not give back."""
         spaced = [b" " + t if t else b"" for t in texts]
-        firsts = [np.frombuffer(p, "<u4").astype(np.int64) for p in self.first.encode(spaced)]
+        firsts = [self.encoded(s) for s in spaced]
         seconds = [np.array(s, np.int64) for s in self.second.encode([t.decode() for t in texts], num_threads=1)]
         for i, whole in enumerate(spaced):
-            for ids, known in ((firsts[i], self.bytes_a), (seconds[i], self.bytes_b)):
-                if b"".join(map(known.__getitem__, ids.tolist())) != whole:
-                    firsts[i] = seconds[i] = np.zeros(0, np.int64)
-                    break
+            # The first side merges the bytes themselves, so its length tells; the second may know a piece by other bytes.
+            told = b"".join(map(self.bytes_b.__getitem__, seconds[i].tolist()))
+            if told != whole or self.length_a[firsts[i]].sum() != len(whole):
+                firsts[i] = seconds[i] = np.zeros(0, np.int64)
         return firsts, seconds
 
     def aligned(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
@@ -86,40 +110,33 @@ class Aligner:
         a, b = np.concatenate([*firsts, np.zeros(0, np.int64)]), np.concatenate([*seconds, np.zeros(0, np.int64)])
         # The texts lie one after the other; both sides cover the same bytes, so a text ends with a common end.
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        _, at_a, at_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        told = groups_text(a, b, at_a, at_b)
+        near = np.minimum(np.searchsorted(end_b, end_a), max(len(end_b) - 1, 0))
+        at_a = np.flatnonzero(end_b[near] == end_a) if len(a) else np.zeros(0, np.int64)
+        at_b = near[at_a]
+        told, ends = self.groups_text(a, b, at_a, at_b)
         starts_a, starts_b = (np.cumsum([0, *map(len, side)]) for side in (firsts, seconds))
         cuts = np.searchsorted(at_a, starts_a)
         # Where a text's part of the digits begins: the groups before it are told completely.
-        places = np.append(0, told[1])[cuts]
+        places = np.append(0, ends)[cuts]
         for i in range(len(texts)):
-            g = slice(cuts[i], cuts[i + 1])
-            n = cuts[i + 1] - cuts[i]
-            digits = told[0][places[i] : places[i + 1] - 1]
-            name = sha256(digits).hexdigest() if n else ""
+            g, n = slice(cuts[i], cuts[i + 1]), cuts[i + 1] - cuts[i]
+            name = sha256(told[places[i] : places[i + 1] - 1]).hexdigest() if n else ""
             yield starts_a[i + 1] - starts_a[i], starts_b[i + 1] - starts_b[i], n, name, a[at_a[g]], b[at_b[g]]
 
-
-def groups_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """``a1,a2|b1;a3|b2,b3;`` of all groups, whose last tokens are given, and where each group's part ends."""
-    if not len(last_a):
-        return b"", np.zeros(0, np.int64)
-    group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
-    # Tokens of A stand before those of B of their group.
-    place_a = np.arange(len(a)) + np.append(0, last_b + 1)[group_a]
-    place_b = np.arange(len(b)) + (last_a + 1)[group_b]
-    ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
-    ids[place_a], ids[place_b] = a, b
-    mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
-    width = len(str(int(ids.max())))
-    powers = 10 ** np.arange(width - 1, -1, -1)
-    shown = np.empty((len(ids), width + 1), np.uint8)
-    shown[:, :-1] = ids[:, None] // powers % 10 + ord("0")
-    shown[:, -1] = mark
-    there = np.ones_like(shown, bool)
-    there[:, : width - 1] = ids[:, None] >= powers[:-1]
-    ends = np.cumsum(there.sum(1))
-    return shown[there].tobytes(), ends[place_b[last_b]]
+    def groups_text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """``a1,a2|b1;a3|b2,b3;`` of all groups, whose last tokens are given, and where each group's part ends."""
+        if not len(last_a):
+            return b"", np.zeros(0, np.int64)
+        # Tokens of A stand before those of B of their group.
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        place_a = np.arange(len(a)) + np.repeat(last_b + 1 - size_b, size_a)
+        place_b = np.arange(len(b)) + np.repeat(last_a + 1, size_b)
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        text, shown = self.digits[ids], self.shown[ids]
+        text[place_a[last_a], -1], text[place_b[last_b], -1] = ord("|"), ord(";")
+        ends = np.cumsum(shown.sum(1))
+        return text[shown].tobytes(), ends[place_b[last_b]]
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -127,7 +144,7 @@ _ALIGNERS: dict[str, Aligner] = {}
 
 def _aligner(vocabulary: ByteVocabulary, pieces: Pieces) -> Aligner:
     """One aligner per worker process and pair of vocabularies."""
-    mark = sha256(repr((vocabulary.tokens, vocabulary.merges, pieces.tokens)).encode()).hexdigest()
+    mark = sha256(b"\0".join(vocabulary.tokens) + pieces.model).hexdigest()
     if mark not in _ALIGNERS:
         _ALIGNERS[mark] = Aligner(vocabulary, pieces)
     return _ALIGNERS[mark]
