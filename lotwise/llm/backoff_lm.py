@@ -1,16 +1,18 @@
-"""Language-model scores equal to those of a weighted backoff automaton over the whole corpus.
+"""Language-model scores by a weighted backoff automaton over the whole corpus.
 
-No automaton is built or walked: ``Chunk.scores`` looks up the counts of every order at every position at once. In the
-automaton that it equals, states are contexts, arcs seen n-grams, and a failure arc drops a context's oldest word. With c the training count,
-an arc weighs log10((c(context word) + M * p(word | shorter context)) / (c(context) + M)) and a failure arc
+States are the contexts seen in training, arcs the seen n-grams, and a failure arc drops a context's oldest word. With c
+the training count, an arc weighs log10((c(context word) + M * p(word | shorter context)) / (c(context) + M)) and a failure arc
 log10(M / (c(context) + M)), so that probabilities add up to one; single words have (c + 0.5) / (N + 0.5 * (V + 1)),
-where one unknown word stands for all. Reading a text from left to right, the state after a word is the longest
-known context it ends, and weights add up.
+where one unknown word stands for all. Reading a text from left to right, a word without an arc at the state takes failure
+arcs until there is one (the empty context takes every word), the state after a word is the longest known context that it ends,
+and the weights of all arcs taken add up.
 
 The counts of a corpus fit no machine, so each chunk of documents gets those it can reach. A chunk sends
 the hashes of its distinct n-grams, with their training counts, to buckets by hash; a bucket adds up and answers
-with total counts in the same order; the chunk works out its scores from them. Repeated n-grams travel
-once per chunk, however common. N and V come from a pass before. Chunks and buckets grow in number with the text.
+with total counts in the same order; from them the chunk builds its part of the automaton and walks its texts side by side.
+Long texts are walked in pieces: a piece reads the few words before it first, after which its state is that of the whole text.
+Repeated n-grams travel once per chunk, however common. N and V come from a pass before. Chunks and buckets grow in number
+with the text. A chunk is a hash of key, text and input partition, so no key and no text that many rows repeat fills one.
 
 Words are runs of anything but the six ASCII blanks, A-Z in lower case; every text ends with one more token. NULL, empty
 and blank texts are that token alone. Equal rows get equal scores. Rows with a NULL key belong to training.
@@ -36,6 +38,8 @@ PRIOR = 200.0
 # Text bytes of a chunk of documents, and words counted by a task before it sends them on.
 CHUNK_BYTES = 16 << 20
 HELD_WORDS = 1_000_000
+# Tokens of a text that are walked in a row.
+PIECE = 512
 # Neither an empty word nor a blank one can be in a text.
 END, BEGIN = (np.uint64(xxhash.xxh64_intdigest(w)) for w in (b"", b" "))
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -90,28 +94,26 @@ class Chunk:
         words = np.append(END, np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids)))
         hashed = words[flat]
         place = np.arange(len(flat)) - np.repeat(last - self.sizes + 1, self.sizes)
-        grams, self.valid = [hashed], [np.ones(len(flat), bool)]
+        self.order, self.flat, self.first = order, flat, last - self.sizes + 1
+        # Where an n-gram ends: from the text's second word on for three words, as the begin is the first one.
+        self.valid = [np.flatnonzero(place >= n - 2) for n in range(1, order + 1)]
+        grams, distinct = hashed, [(words, flat)]
         for n in range(2, order + 1):
-            before = np.empty_like(hashed)
-            before[1:] = grams[-1][:-1]
-            if n == 2:
-                before[place == 0] = BEGIN
-            grams.append(longer(before, hashed))
-            self.valid.append(place >= n - 2)
-        distinct = [(words, flat)]
-        for gram in grams[1:]:
-            distinct.append(np.unique(gram, return_inverse=True))
-        every = np.concatenate([d[0] for d in distinct])
-        self.keys, where = np.unique(every, return_inverse=True)
+            before = np.full_like(hashed, BEGIN)
+            before[1:] = np.where(place[1:] > 0, grams[:-1], BEGIN)
+            grams = longer(before, hashed)
+            distinct.append(np.unique(grams[self.valid[n - 1]], return_inverse=True))
+        self.keys, where = np.unique(np.concatenate([d[0] for d in distinct]), return_inverse=True)
         starts = np.cumsum([0, *[len(d[0]) for d in distinct]])
+        # Of each n-gram's places, the number of its key.
         self.at = [where[s + d[1]] for s, d in zip(starts, distinct, strict=False)]
-        self.end, self.place = int(where[0]), place
+        self.word, self.end = where[: len(words)], int(where[0])
 
     def counts(self, training: np.ndarray) -> np.ndarray:
         """Of each distinct n-gram in the training texts."""
         mine, total = training[self.owner], np.zeros(len(self.keys), np.int64)
         for at, valid in zip(self.at, self.valid, strict=True):
-            total += np.bincount(at[mine & valid], minlength=len(self.keys))
+            total += np.bincount(at[mine[valid]], minlength=len(self.keys))
         return total
 
     def scores(self, total: np.ndarray, n_tokens: int, n_words: int, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,19 +121,89 @@ class Chunk:
         total = total.astype(float)
         sum_ = lambda values: np.bincount(self.owner, values, minlength=len(self.sizes))
         known = total[self.at[0]]
-        base = np.log10((known + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
-        score = base
-        for n in range(1, len(self.at)):
-            # The context ends one token earlier; before the first one lies the begin, seen once per text like the end.
-            context = np.empty(len(score))
-            context[1:] = total[self.at[n - 1]][:-1]
-            if n == 1:
-                context[self.place == 0] = total[self.end]
-            seen = total[self.at[n]]
-            arc = np.log10((seen + prior * 10.0**score) / (context + prior))
-            failure = np.log10(prior / (context + prior)) + score
-            score = np.where(self.valid[n], np.where(seen > 0, arc, failure), score)
-        return sum_(known > 0).astype(np.int64), sum_(base), sum_(score)
+        single = np.log10((total[self.word] + 0.5) / (n_tokens + 0.5 * (n_words + 1)))
+        walked = Automaton(self, total, single, prior).walk(self)
+        return sum_(known > 0).astype(np.int64), sum_(single[self.flat]), sum_(walked)
+
+
+class Automaton:
+    """The states, arcs and failure arcs that the texts of a chunk can reach.
+
+    A state is the number of its context's key; behind them come the empty context and the begin of a text.
+    """
+
+    def __init__(self, chunk: Chunk, total: np.ndarray, single: np.ndarray, prior: float) -> None:
+        n = len(chunk.keys)
+        self.empty, self.begin, self.words = n, n + 1, len(chunk.word)
+        self.single = single
+        log_p, fails = np.zeros(n), np.full(n + 2, self.empty)
+        log_p[chunk.word] = single
+        seen = np.concatenate([total, [0.0, total[chunk.end]]])
+        # The empty context takes every word; only seen words are contexts.
+        self.after = np.where((total[chunk.word] > 0) & (chunk.order > 1), chunk.word, self.empty)
+        keys, weights, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        number = np.empty(len(chunk.flat), np.int64)  # of the n-gram one word shorter, by place
+        number[chunk.valid[0]] = chunk.at[0]
+        for order in range(2, chunk.order + 1):
+            places, at = chunk.valid[order - 1], chunk.at[order - 1]
+            gram, one = np.unique(at, return_index=True)
+            place = places[one]
+            shorter = number[place]
+            context = number[place - 1] if order > 2 else np.where(np.isin(place, chunk.first), self.begin, number[place - 1])
+            arcs = total[gram] > 0
+            gram, place, shorter, context = gram[arcs], place[arcs], shorter[arcs], context[arcs]
+            log_p[gram] = np.log10((total[gram] + prior * 10.0 ** log_p[shorter]) / (seen[context] + prior))
+            keys.append(context * self.words + chunk.flat[place])
+            weights.append(log_p[gram])
+            longest = order == chunk.order
+            ends.append(shorter if longest else gram)
+            if not longest:
+                fails[gram] = shorter
+            number = number.copy()
+            number[places] = at
+        arc = np.concatenate(keys)
+        by_key = np.argsort(arc)
+        # One key beyond all real ones keeps the search in bounds.
+        self.keys = np.append(arc[by_key], np.iinfo(np.int64).max)
+        self.weights, self.ends = (np.concatenate(v)[by_key] for v in (weights, ends))
+        self.fails, self.fail_weights = fails, np.log10(prior / (seen + prior))
+
+    def walk(self, chunk: Chunk) -> np.ndarray:
+        """The weight that each token adds. All texts, and pieces of long ones, go on by a token at a time."""
+        pieces = -(-chunk.sizes // PIECE)
+        text = np.repeat(np.arange(len(chunk.sizes)), pieces)
+        start = chunk.first[text] + PIECE * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        stop = np.minimum(start + PIECE, (chunk.first + chunk.sizes)[text])
+        # The words before a piece decide its state.
+        at = np.maximum(start - (chunk.order - 1), chunk.first[text])
+        long_first = np.argsort(at - stop, kind="stable")
+        start, stop, at, first = start[long_first], stop[long_first], at[long_first], chunk.first[text][long_first]
+        state = np.where((at == first) & (chunk.order > 1), self.begin, self.empty)
+        lengths, out = stop - at, np.zeros(len(chunk.flat))
+        for step in range(int(lengths.max(initial=0))):
+            going = int(np.searchsorted(-lengths, -step))
+            place = at[:going] + step
+            word, weight, now = chunk.flat[place], np.zeros(going), state[:going].copy()
+            todo = np.arange(going)
+            while len(todo):
+                free = now[todo] == self.empty
+                done = todo[free]
+                weight[done] += self.single[word[done]]
+                now[done] = self.after[word[done]]
+                todo = todo[~free]
+                wanted = now[todo] * self.words + word[todo]
+                found = np.searchsorted(self.keys, wanted)
+                taken = self.keys[found] == wanted
+                done, arc = todo[taken], found[taken]
+                weight[done] += self.weights[arc]
+                now[done] = self.ends[arc]
+                todo = todo[~taken]
+                weight[todo] += self.fail_weights[now[todo]]
+                now[todo] = self.fails[now[todo]]
+            state[:going] = now
+            own = place >= start[:going]
+            out[place[own]] = weight[own]
+        return out
 
 
 def corpus_size(docs: DataFrame, text: str, buckets: int) -> tuple[int, int]:
@@ -188,7 +260,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
     chunks = max(1, -(-size // chunk_bytes))
     n_tokens, n_words = corpus_size(rows.where(~F.col("held")), "text", chunks)
     # One exchange of the texts serves both the counting and the scoring side.
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    mixed = F.xxhash64("key", "text", F.spark_partition_id())
+    dealt = rows.withColumn("chunk", F.pmod(mixed, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = Chunk(_texts(table), order)

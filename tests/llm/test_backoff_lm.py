@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from lotwise.llm import backoff_lm
 
@@ -53,9 +54,10 @@ def made():
     return docs + [(100, None), (101, ""), (102, " \n"), (103, docs[0][1].upper()), (None, "no key w1"), (104, "w1 " * 20_000), (104, "w1 " * 20_000)]
 
 
-@pytest.mark.parametrize("order, chunk_bytes", [(1, 10**9), (2, 4_000), (3, 30_000)])
+@pytest.mark.parametrize("order, chunk_bytes", [(1, 10**9), (2, 4_000), (3, 30_000), (4, 10**9), (5, 9_000)])
 def test_scores_equal_the_plain_model(spark, order, chunk_bytes):
     docs = made()
+    random.Random(order).shuffle(docs)
     frame = spark.createDataFrame([(*d, 1, "x") for d in docs], SCHEMA).repartition(3)
     text_of = {}
     for k, t in docs:
@@ -69,6 +71,35 @@ def test_scores_equal_the_plain_model(spark, order, chunk_bytes):
         assert math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-9)
 
 
+def test_keys_and_scores_do_not_depend_on_the_order_of_rows():
+    rnd = random.Random(2)
+    found = [(t or "").encode() for _, t in made()]
+    for order in range(1, 6):
+        one = backoff_lm.Chunk(found, order)
+        total = one.counts(np.arange(len(found)) % 3 > 0)
+        scores = one.scores(total, 900, 40, 3.0)
+        for _ in range(10):
+            turn = list(range(len(found)))
+            rnd.shuffle(turn)
+            other = backoff_lm.Chunk([found[i] for i in turn], order)
+            assert (other.keys == one.keys).all()
+            assert (other.counts(np.array(turn) % 3 > 0) == total).all()
+            for a, b in zip(other.scores(total, 900, 40, 3.0), scores):
+                assert np.allclose(a, b[turn])
+
+
+def test_pieces_of_long_texts_carry_their_state(monkeypatch):
+    found = [b"a b c a b d " * 50, b"a", b"", b"c a b " * 7]
+    for order in range(1, 5):
+        chunk = backoff_lm.Chunk(found, order)
+        total = chunk.counts(np.ones(4, bool))
+        monkeypatch.setattr(backoff_lm, "PIECE", 10**6)
+        whole = chunk.scores(total, 400, 5, 2.0)[2]
+        for piece in (1, 2, 7):
+            monkeypatch.setattr(backoff_lm, "PIECE", piece)
+            assert np.allclose(chunk.scores(total, 400, 5, 2.0)[2], whole, rtol=1e-12)
+
+
 def test_probabilities_add_up():
     docs = [(i, t) for i, t in enumerate(["a b a", "b b", "a", "c a b", "a b"])]
     vocabulary = {w.decode() for _, t in docs if not held(_) for w in t.encode().split()}
