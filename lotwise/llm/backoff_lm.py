@@ -85,28 +85,34 @@ class Chunk:
     def __init__(self, found: list[bytes], order: int) -> None:
         ids: dict[bytes, int] = defaultdict(count(1).__next__)
         get = ids.__getitem__
-        sequences = [np.fromiter(map(get, t.lower().split()), np.int64) for t in found]
+        sequences = [np.fromiter(map(get, t.lower().split()), np.int32) for t in found]
         self.sizes = np.array([len(s) + 1 for s in sequences], np.int64)
-        self.owner = np.repeat(np.arange(len(found)), self.sizes)
+        self.owner = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
         last = np.cumsum(self.sizes) - 1
-        flat = np.zeros(int(self.sizes.sum()), np.int64)  # 0: the end
-        flat[np.setdiff1d(np.arange(len(flat)), last, assume_unique=True)] = np.concatenate([*sequences, flat[:0]])
+        flat = np.zeros(int(self.sizes.sum()), np.int32)  # 0: the end
+        inner = np.ones(len(flat), bool)
+        inner[last] = False
+        flat[inner] = np.concatenate([*sequences, flat[:0]])
+        del sequences
         words = np.append(END, np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids)))
         hashed = words[flat]
-        place = np.arange(len(flat)) - np.repeat(last - self.sizes + 1, self.sizes)
         self.order, self.flat, self.first = order, flat, last - self.sizes + 1
+        place = (np.arange(len(flat)) - np.repeat(self.first, self.sizes)).astype(np.int32)
         # Where an n-gram ends: from the text's second word on for three words, as the begin is the first one.
-        self.valid = [np.flatnonzero(place >= n - 2) for n in range(1, order + 1)]
+        self.valid = [np.flatnonzero(place >= n - 2).astype(np.int32) for n in range(1, order + 1)]
         grams, distinct = hashed, [(words, flat)]
         for n in range(2, order + 1):
             before = np.full_like(hashed, BEGIN)
             before[1:] = np.where(place[1:] > 0, grams[:-1], BEGIN)
             grams = longer(before, hashed)
-            distinct.append(np.unique(grams[self.valid[n - 1]], return_inverse=True))
+            keys, at = np.unique(grams[self.valid[n - 1]], return_inverse=True)
+            distinct.append((keys, at.astype(np.int32)))
+            del before, at
+        del grams, hashed
         self.keys, where = np.unique(np.concatenate([d[0] for d in distinct]), return_inverse=True)
-        starts = np.cumsum([0, *[len(d[0]) for d in distinct]])
+        starts, where = np.cumsum([0, *[len(d[0]) for d in distinct]]), where.astype(np.int32)
         # Of each n-gram's places, the number of its key.
-        self.at = [where[s + d[1]] for s, d in zip(starts, distinct, strict=False)]
+        self.at = [where[s:][d[1]] for s, d in zip(starts, distinct, strict=False)]
         self.word, self.end = where[: len(words)], int(where[0])
 
     def counts(self, training: np.ndarray) -> np.ndarray:
@@ -142,16 +148,19 @@ class Automaton:
         # The empty context takes every word; only seen words are contexts.
         self.after = np.where((total[chunk.word] > 0) & (chunk.order > 1), chunk.word, self.empty)
         keys, weights, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-        number = np.empty(len(chunk.flat), np.int64)  # of the n-gram one word shorter, by place
-        number[chunk.valid[0]] = chunk.at[0]
+        number = chunk.at[0].copy()  # of the n-gram one word shorter, by place
+        begins = np.zeros(len(number), bool)
+        begins[chunk.first] = True
         for order in range(2, chunk.order + 1):
             places, at = chunk.valid[order - 1], chunk.at[order - 1]
-            gram, one = np.unique(at, return_index=True)
-            place = places[one]
-            shorter = number[place]
-            context = number[place - 1] if order > 2 else np.where(np.isin(place, chunk.first), self.begin, number[place - 1])
-            arcs = total[gram] > 0
-            gram, place, shorter, context = gram[arcs], place[arcs], shorter[arcs], context[arcs]
+            one = np.full(n, -1, np.int32)  # a place of each n-gram
+            one[at] = places
+            gram = np.flatnonzero((one >= 0) & (total > 0))
+            place = one[gram].astype(np.int64)
+            shorter = number[place].astype(np.int64)
+            context = number[place - 1].astype(np.int64)
+            if order == 2:
+                context[begins[place]] = self.begin
             log_p[gram] = np.log10((total[gram] + prior * 10.0 ** log_p[shorter]) / (seen[context] + prior))
             keys.append(context * self.words + chunk.flat[place])
             weights.append(log_p[gram])
@@ -159,7 +168,6 @@ class Automaton:
             ends.append(shorter if longest else gram)
             if not longest:
                 fails[gram] = shorter
-            number = number.copy()
             number[places] = at
         arc = np.concatenate(keys)
         by_key = np.argsort(arc)
