@@ -9,6 +9,8 @@ import numpy as np
 # A fit ends when its value changes by less than this share of itself, several steps in a row.
 TOLERANCE = 1e-6
 QUIET_STEPS = 3
+# How much a Newton step is damped at first, as a share of each parameter's own curvature; and how that changes.
+DAMPING, MORE, LESS = 0.1, 8.0, 0.125
 # Curvature pairs kept.
 MEMORY = 20
 
@@ -68,6 +70,64 @@ def ascent(
     raise NotConverged(f"the value still changed after {most} steps")
 
 
+def newton(
+    theta: np.ndarray,
+    expansion: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]],
+    tolerance: float = TOLERANCE,
+    most: int = 200,
+) -> tuple[np.ndarray, list[float], np.ndarray]:
+    """Maximise by damped Newton steps: the parameters, the value of each step, the last gradient.
+
+    ``expansion`` gives value, gradient and second derivatives, all from one pass. Parameters are measured by their own
+    curvature; where the value curves the wrong way the step goes uphill all the same. A step that does not help is
+    damped more, and the next ones too, until steps do what was promised. Ends when an undamped step promises less than
+    ``tolerance`` squared of the value, which leaves no slope that the parameters' own scales would notice.
+    """
+    value, gradient, second = expansion(theta)
+    trace, damping = [float(value)], DAMPING
+    for _ in range(most):
+        bend = -(second + second.T) / 2
+        own = np.abs(np.diag(bend))
+        own = np.sqrt(np.maximum(own, 1e-12 * max(own.max(initial=0.0), 1e-300)))
+        curve, axes = np.linalg.eigh(bend / np.outer(own, own))
+        size, along = np.abs(curve), axes.T @ (gradient / own)
+        if 0.5 * float((along**2 / np.maximum(size, 1e-10)).sum()) <= tolerance**2 * max(abs(value), 1e-300):
+            return theta, trace, gradient
+        while True:
+            way = axes @ (along / (size + damping)) / own
+            promised = float(gradient @ way - 0.5 * way @ bend @ way)
+            with np.errstate(all="ignore"):
+                found = _expanded(expansion, theta + way)
+            if found is not None and found[0] >= value + 1e-4 * abs(promised):
+                break
+            damping *= MORE
+            if damping > 1e12:  # the value's own rounding hides what is left to gain
+                return theta, trace, gradient
+        if found[0] - value > 0.5 * promised:
+            damping = max(damping * LESS, 1e-9)
+        theta, (value, gradient, second) = theta + way, found
+        trace.append(float(value))
+    raise NotConverged(f"the value still changed after {most} steps")
+
+
+def slopes(function: Callable[[np.ndarray], np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Derivatives of a vector function that costs nothing, by central differences: one row per parameter."""
+    out = []
+    for i, v in enumerate(at):
+        step = np.zeros(len(at))
+        step[i] = 1e-5 * max(1.0, abs(v))
+        out.append((np.asarray(function(at + step)) - np.asarray(function(at - step))) / (2 * step[i]))
+    return np.array(out)
+
+
+def _expanded(expansion, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+    try:
+        found = expansion(theta)
+    except np.linalg.LinAlgError:
+        return None
+    return found if np.isfinite(found[0]) and all(np.isfinite(f).all() for f in found[1:]) else None
+
+
 def _tried(value_and_gradient, theta: np.ndarray) -> tuple[float, np.ndarray] | None:
     """A step that leaves the domain (overflow, no Cholesky factor) counts as one that does not help."""
     try:

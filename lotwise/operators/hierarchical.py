@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import linear, softplus_link
-from lotwise.operators.ascent import TOLERANCE, ascent
+from lotwise.operators.ascent import TOLERANCE, newton, slopes
 from lotwise.operators.blocks import sum_blocks
 
 # Feature groups of the price study.
@@ -37,6 +37,8 @@ FEATURE_GROUPS = {
 }
 FACTORS = tuple(FEATURE_GROUPS)
 OBSERVATION_SCALE = 2.0
+# Weights beyond this are no candidates: their squared errors overflow.
+FAR = 1e50
 NODES, NODE_WEIGHTS = (lambda x, w: (x * np.sqrt(2.0), w / np.sqrt(np.pi)))(*np.polynomial.hermite.hermgauss(12))
 
 
@@ -89,37 +91,57 @@ def _moment_block(block: np.ndarray, _payload) -> np.ndarray:
     return (rows.T @ rows).ravel()
 
 
-def _split(block: np.ndarray, lay: Layout) -> dict[str, np.ndarray]:
-    at, out = 0, {}
-    for f in FACTORS:
-        out[f] = block[:, at : at + len(lay.groups[f])]
-        at += len(lay.groups[f])
-    return out
-
-
-def _factor_means(x: dict[str, np.ndarray], loc: np.ndarray, at: dict[str, slice]) -> dict[str, np.ndarray]:
-    means = {f: x[f] @ loc[at[f]] + loc[at[f"b_{f}"]] for f in FACTORS}
-    means["performance"] = means["performance"] + loc[at["pq"]] * means["quality"]
-    return means
-
+def _argument(lay: Layout, loc: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The likelihood's argument as a linear form of ``[x, 1]`` and its variance, and their derivatives.
 
-def _likelihood_block(block: np.ndarray, payload) -> np.ndarray:
-    """Per draw: Σ of the expected log-likelihood, its derivative in the argument's variance, and
-    its derivative in the argument's mean times (1, every feature)."""
-    lay, loc, draws = payload
-    x, y, at = block[:, :-1], block[:, -1], lay.slices()
-    means = _factor_means(_split(x, lay), loc, at)
+    Given the price weights, the argument of a row is Gaussian: its mean is linear in the features, its variance the
+    same for all rows. The derivatives have a row per weight; those of the price weights follow the others.
+    """
+    at, d = lay.slices(), len(lay.columns)
+    (perf, stat, sen, bias), pq = price, loc[at["pq"]][0]
+    reach = {"quality": perf * pq, "performance": perf, "status": stat, "seniority": sen, "levy": 1.0}
+    # What one more unit of pq, perf, stat and sen adds to the reach of factors.
+    more = [{"quality": perf}, {"quality": pq, "performance": 1.0}, {"status": 1.0}, {"seniority": 1.0}]
+    rows = [at["pq"].start, *range(at["price"].start, at["price"].start + 3)]
+    form, slope, start = np.zeros(d + 2), np.zeros((lay.size, d + 2)), 0
+    for f in FACTORS:
+        cols = np.arange(start, start + len(lay.groups[f]))
+        w, b = loc[at[f]], loc[at[f"b_{f}"]][0]
+        form[cols] = reach[f] * w
+        form[d] += reach[f] * b
+        slope[np.arange(at[f].start, at[f].stop), cols] = reach[f]
+        slope[at[f"b_{f}"].start, d] = reach[f]
+        for row, adds in zip(rows, more, strict=True):
+            slope[row, cols] += adds.get(f, 0.0) * w
+            slope[row, d] += adds.get(f, 0.0) * b
+        start += len(cols)
+    form[d] += bias
+    form[d + 1] = perf**2 + stat**2 + sen**2 + 1.0
+    slope[at["price"].start + 3, d] = 1.0
+    slope[rows[1:], d + 1] = 2 * np.array([perf, stat, sen])
+    return form, slope
+
+
+def _likelihood_block(block: np.ndarray, forms: Sequence[np.ndarray]) -> np.ndarray:
+    """Per linear form: Σ over rows of the expected log-likelihood, of its derivatives in the argument's mean times ``[x, 1]``
+    and in its variance, and of the second derivatives."""
+    x, y = np.column_stack([block[:, :-1], np.ones(len(block))]), block[:, -1]
     out = []
-    for perf, stat, sen, bias in draws:
-        m = perf * means["performance"] + stat * means["status"] + sen * means["seniority"] + means["levy"] + bias
-        sd = np.sqrt(perf**2 + stat**2 + sen**2 + 1.0)
-        z = m[:, None] + sd * NODES
-        error = y[:, None] - (np.logaddexp(0.0, z) + 1.0)
-        slope = error / OBSERVATION_SCALE**2 * 0.5 * (1.0 + np.tanh(0.5 * z))
-        in_m = slope @ NODE_WEIGHTS
-        in_v = slope @ (NODE_WEIGHTS * NODES) / (2 * sd)
+    for form in forms:
+        v = form[-1]
+        sd = np.sqrt(v)
+        z = (x @ form[:-1])[:, None] + sd * NODES
+        small = np.exp(-np.abs(z))
+        rise = np.where(z >= 0, 1.0, small) / (1.0 + small)
+        error = y[:, None] - (np.maximum(z, 0.0) + np.log1p(small) + 1.0)
+        first = error * rise / OBSERVATION_SCALE**2
+        second = (error * rise * (1.0 - rise) - rise**2) / OBSERVATION_SCALE**2
+        in_v = first @ (NODE_WEIGHTS * NODES) / (2 * sd)
+        in_vv = second @ (NODE_WEIGHTS * NODES**2) / (4 * v) - in_v / (2 * v)
+        mixed = second @ (NODE_WEIGHTS * NODES) / (2 * sd)
         value = -0.5 * (error**2 @ NODE_WEIGHTS) / OBSERVATION_SCALE**2
-        out += [[value.sum(), in_v.sum(), in_m.sum()], in_m @ x]
+        curve = (x * (second @ NODE_WEIGHTS)[:, None]).T @ x
+        out += [[value.sum()], (first @ NODE_WEIGHTS) @ x, [in_v.sum()], curve.ravel(), mixed @ x, [in_vv.sum()]]
     return np.concatenate(out)
 
 
@@ -177,56 +199,59 @@ def prior_terms(theta: np.ndarray, mom: ColumnMoments, lay: Layout) -> tuple[flo
     return value, np.concatenate([in_loc, in_var * 2 * var])
 
 
+def likelihood_sums(
+    df: DataFrame, target: str, forms: Sequence[np.ndarray], lay: Layout
+) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Per linear form of ``[x, 1]`` with its variance last: Σ over rows of the expected log-likelihood (without constants), and
+    its first and second derivatives in the form. One pass."""
+    d = len(lay.columns)
+    cols = [F.col(c).alias(f"x{i}") for i, c in enumerate(lay.columns)] + [F.col(target).alias("y")]
+    width = 1 + (d + 2) + (d + 1) ** 2 + (d + 1) + 1
+    flat = sum_blocks(df.select(*cols), [*[f"x{i}" for i in range(d)], "y"], width * len(forms), _likelihood_block, list(forms))
+    out = []
+    for part in flat.reshape(len(forms), width):
+        curve = np.empty((d + 2, d + 2))
+        curve[:-1, :-1] = part[d + 3 : d + 3 + (d + 1) ** 2].reshape(d + 1, d + 1)
+        curve[:-1, -1] = curve[-1, :-1] = part[-d - 2 : -1]
+        curve[-1, -1] = part[-1]
+        out.append((float(part[0]), part[1 : d + 3], curve))
+    return out
+
+
 def likelihood_terms(
     df: DataFrame, target: str, theta: np.ndarray, noise: np.ndarray, mom: ColumnMoments, lay: Layout
-) -> tuple[float, np.ndarray]:
-    """Expected log-likelihood averaged over the draws (``particles × 4`` normals), with gradient.
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expected log-likelihood averaged over the draws (``particles × 4`` normals), with gradient and second derivatives.
 
     One pass over the rows.
     """
-    p, at = lay.size, lay.slices()
-    loc, scale = theta[:p], np.exp(theta[p:])
-    price = at["price"]
-    draws = loc[price] + scale[price] * noise
-    width = 3 + len(lay.columns)
-    d = len(lay.columns)
-    cols = [F.col(c).alias(f"x{i}") for i, c in enumerate(lay.columns)] + [F.col(target).alias("y")]
-    flat = sum_blocks(
-        df.select(*cols), [*[f"x{i}" for i in range(d)], "y"], width * len(draws), _likelihood_block, (lay, loc, draws)
-    )
-    constant = -mom.n * (0.5 * np.log(2 * np.pi) + np.log(OBSERVATION_SCALE))
-    value, in_loc, in_log_scale = constant, np.zeros(p), np.zeros(p)
-    for (perf, stat, sen, _bias), eps, part in zip(draws, noise, flat.reshape(len(draws), width), strict=True):
-        ll, in_v, in_m = part[:3]
-        x, start = {}, 3
-        for f in FACTORS:
-            x[f] = part[start : start + len(lay.groups[f])]
-            start += len(lay.groups[f])
-        # Σ in_m · factor mean, by linearity
-        score = {f: float(x[f] @ loc[at[f]] + in_m * loc[at[f"b_{f}"]][0]) for f in FACTORS}
-        score["performance"] += loc[at["pq"]][0] * score["quality"]
-        g = np.zeros(p)
-        reach = {
-            "quality": perf * loc[at["pq"]][0],
-            "performance": perf,
-            "status": stat,
-            "seniority": sen,
-            "levy": 1.0,
-        }
-        for f, w in reach.items():
-            g[at[f]] = w * x[f]
-            g[at[f"b_{f}"]] = w * in_m
-        g[at["pq"]] = perf * score["quality"]
-        g[price] = [
-            score["performance"] + 2 * perf * in_v,
-            score["status"] + 2 * stat * in_v,
-            score["seniority"] + 2 * sen * in_v,
-            in_m,
-        ]
-        value += ll / len(draws)
-        in_loc += g / len(draws)
-        in_log_scale[price] += g[price] * eps * scale[price] / len(draws)
-    return value, np.concatenate([in_loc, in_log_scale])
+    p, price = lay.size, lay.slices()["price"]
+
+    def forms(theta: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        loc, scale = theta[:p], np.exp(theta[p:])
+        out = []
+        for eps in noise:
+            moved = eps * scale[price]
+            form, slope = _argument(lay, loc, loc[price] + moved)
+            in_scale = np.zeros_like(slope)
+            in_scale[price] = moved[:, None] * slope[price]
+            out.append((form, np.vstack([slope, in_scale])))
+        return out
+
+    now = forms(theta)
+    if not max(np.abs(form).max() for form, _ in now) < FAR:
+        raise np.linalg.LinAlgError("a step beyond all numbers")
+    sums = likelihood_sums(df, target, [form for form, _ in now], lay)
+    value = -mom.n * (0.5 * np.log(2 * np.pi) + np.log(OBSERVATION_SCALE))
+    gradient, second, pulls = np.zeros(2 * p), np.zeros((2 * p, 2 * p)), []
+    for (_, slope), (part, pull, curve) in zip(now, sums, strict=True):
+        value += part / len(noise)
+        gradient += slope @ pull / len(noise)
+        second += slope @ curve @ slope.T / len(noise)
+        pulls.append(pull / len(noise))
+    # What the forms themselves bend by.
+    bent = slopes(lambda t: sum(slope @ pull for (_, slope), pull in zip(forms(t), pulls, strict=True)), theta)
+    return value, gradient, second + bent
 
 
 @dataclass(frozen=True)
@@ -235,6 +260,7 @@ class FactorModel:
     loc: np.ndarray
     scale: np.ndarray
     trace: tuple[float, ...] = ()
+    gradient: np.ndarray | None = None
 
     def posterior(self, spark: SparkSession) -> DataFrame:
         """``(param, idx, feature, loc, scale)``"""
@@ -245,6 +271,18 @@ class FactorModel:
             rows.append((param, idx, feature, float(loc), float(scale)))
         return spark.createDataFrame(rows, "param string, idx int, feature string, loc double, scale double")
 
+    def rest(self, spark: SparkSession, slack: float = 1e-2) -> DataFrame:
+        """``(param, idx, feature, part, at_rest)``: whether the bound would change by less than ``slack`` if a mean moved by
+        its deviation, or a scale by itself, as its slope at the end of the fit says."""
+        slope = np.abs(self.gradient) * np.concatenate([self.scale, np.ones(len(self.scale))])
+        seen: dict[str, int] = {}
+        rows = []
+        for i, (param, feature) in enumerate(self.layout.names()):
+            idx = seen[param] = seen.get(param, -1) + 1
+            for part, at in (("loc", i), ("scale", i + len(self.loc))):
+                rows.append((param, idx, feature, part, bool(slope[at] < slack)))
+        return spark.createDataFrame(rows, "param string, idx int, feature string, part string, at_rest boolean")
+
     def weights(self, spark: SparkSession) -> DataFrame:
         """Posterior mean per feature and per factor, biases left out."""
         return self.posterior(spark).where(~F.col("param").startswith("b")).select("param", "feature", "loc")
@@ -278,21 +316,43 @@ def hierarchical_fit(
     particles: int = 16,
     seed: int = 42,
 ) -> FactorModel:
-    """Maximise the bound, full batch, until it stands still. Cache ``df``: each step reads it once.
+    """Maximise the bound, full batch, by Newton steps. Cache ``df``: each step reads it once.
 
-    The price weights' draws are the same normals at every step, so the bound is one smooth function.
+    The price weights' draws are the same normals at every step, so the bound is one smooth function, and the sums of
+    one pass hold its second derivatives: there are as many as weights squared, however many rows. Factors and price weights can
+    change sign together without changing the bound; the start, factors that raise the price, settles the sign.
     """
     lay = layout(groups)
-    mom = column_moments(df, lay)
-    # Draws in opposite pairs average to the mean exactly.
+    mom, noise = column_moments(df, lay), draws(particles, seed)
+    level = df.agg(F.avg(target)).first()[0] or 1.0
+    theta, trace, gradient = newton(start(mom, lay, level - 1.0), lambda t: bound_expansion(df, target, t, noise, mom, lay), tolerance)
+    return FactorModel(lay, theta[: lay.size], np.exp(theta[lay.size :]), tuple(trace), gradient)
+
+
+def draws(particles: int = 16, seed: int = 42) -> np.ndarray:
+    """Normals for the price weights, in opposite pairs: they average to zero exactly."""
     half = np.random.default_rng(seed).standard_normal((particles // 2, 4))
-    noise = np.concatenate([half, -half])
+    return np.concatenate([half, -half])
+
 
-    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        prior, in_prior = prior_terms(theta, mom, lay)
-        fit, in_fit = likelihood_terms(df, target, theta, noise, mom, lay)
-        return prior + fit, in_prior + in_fit
+def start(mom: ColumnMoments, lay: Layout, level: float = 0.0) -> np.ndarray:
+    """The mean price alone, and factors that raise it a little; weights as sure as their priors and column sums make them."""
+    at, loc, var = lay.slices(), np.zeros(lay.size), np.full(lay.size, 1.0 / (1.0 + mom.n))
+    price = at["price"].start
+    loc[[at["pq"].start, *range(price, price + 3)]] = 0.1
+    loc[[at["b_levy"].start, price + 3]] = level / 2
+    squares, first = mom.squares(), 0
+    for f in FACTORS:
+        size = len(lay.groups[f])
+        var[at[f]] = 1.0 / (1.0 + squares[first : first + size])
+        first += size
+    return np.concatenate([loc, 0.5 * np.log(var)])
 
-    start = np.zeros(2 * lay.size)  # means 0, scales 1
-    theta, trace, _ = ascent(start, objective, tolerance)
-    return FactorModel(lay, theta[: lay.size], np.exp(theta[lay.size :]), tuple(trace))
+
+def bound_expansion(
+    df: DataFrame, target: str, theta: np.ndarray, noise: np.ndarray, mom: ColumnMoments, lay: Layout
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """The bound with gradient and second derivatives; one pass."""
+    prior, in_prior = prior_terms(theta, mom, lay)
+    fit, in_fit, second = likelihood_terms(df, target, theta, noise, mom, lay)
+    return prior + fit, in_prior + in_fit, second + slopes(lambda t: prior_terms(t, mom, lay)[1], theta)

@@ -101,14 +101,53 @@ def factor_bound(spark, folder):
     mom = hier.column_moments(train, LAYOUT)
     theta = np.concatenate([FIXED.loc, np.zeros(LAYOUT.size)])
     prior, _ = hier.prior_terms(theta, mom, LAYOUT)
-    fit, _ = hier.likelihood_terms(train, "price_k", theta, np.zeros((1, 4)), mom, LAYOUT)
+    fit = hier.likelihood_terms(train, "price_k", theta, np.zeros((1, 4)), mom, LAYOUT)[0]
     return rounded(spark.createDataFrame([("prior", float(prior)), ("likelihood", float(fit))], "term string, value double"), 2)
 
 
+# Per node: weight, place, and the slope and curve of the log-likelihood there, for the argument m with deviation sd.
+_STEPS = "unnest([" + ", ".join(f"{{'w': {float(w)!r}::double, 't': {float(x)!r}::double}}" for x, w in zip(hier.NODES, hier.NODE_WEIGHTS, strict=True)) + "])"
+_FEATURES = list(dict.fromkeys(LAYOUT.columns))
+
+
+@query(
+    f"""with {SCORES.replace("split = 'test'", "split = 'train'")}, z as (select *, 0.18*p + 0.19*s + 0.20*e + l + 0.21 as m,
+      {_Z} as sd, {_STEPS} as node from fp),
+    n as (select *, node.w as w, node.t as t, m + node.t * sd as z from z),
+    r as (select *, 1 / (1 + exp(-z)) as rise, price_k - 1 - (greatest(z, 0) + ln(1 + exp(-abs(z)))) as err from n),
+    d as (select *, err * rise / 4 as one, (err * rise * (1 - rise) - rise * rise) / 4 as two from r)
+    select 'level' as feature, round(sum(w * one), 3) as slope, round(sum(w * two), 3) as curve from d union all
+    select 'variance', round(sum(w * t * one / (2 * sd)), 3),
+      round(sum(w * (two * t * t / (4 * sd * sd) - one * t / (4 * pow(sd, 3)))), 3) from d union all """
+    + " union all ".join(f"select '{c}', round(sum(w * one * {c}), 3), round(sum(w * two * {c} * {c}), 3) from d" for c in _FEATURES)
+)
+def factor_slopes(spark, folder):
+    """First and second derivatives of the expected likelihood in the argument, at fixed weights: what a Newton step is made of."""
+    train = _ready(spark, folder).train.select(*_FEATURES, "price_k")
+    form, _ = hier._argument(LAYOUT, FIXED.loc, FIXED.loc[LAYOUT.slices()["price"]])
+    ((_, pull, curve),) = hier.likelihood_sums(train, "price_k", [form], LAYOUT)
+    names = [*LAYOUT.columns, "level", "variance"]
+    rows = {n: (n, float(pull[i]), float(curve[i, i])) for i, n in enumerate(names)}
+    return rounded(spark.createDataFrame(list(rows.values()), "feature string, slope double, curve double"), 3)
+
+
 def _fitted(spark, folder):
     ready = _ready(spark, folder)
-    train = stage(ready.train.select(*ready.features, ready.target)).persist()
-    return hier.hierarchical_fit(train, ready.target)
+    return hier.hierarchical_fit(stage(ready.train.select(*ready.features, ready.target)), ready.target)
+
+
+def _resting() -> str:
+    seen, rows = {}, []
+    for param, feature in LAYOUT.names():
+        seen[param] = seen.get(param, -1) + 1
+        rows += [f"('{param}', {seen[param]}, '{feature}', '{what}', true)" for what in ("loc", "scale")]
+    return ", ".join(rows)
+
+
+@query(f"select * from (values {_resting()}) t(param, idx, feature, part, at_rest)")
+def factor_stationarity(spark, folder):
+    """A certificate of the fit: no mean and no scale of a weight has a slope that moving by its own deviation would notice."""
+    return _fitted(spark, folder).rest(spark)
 
 
 @query()

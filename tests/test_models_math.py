@@ -139,17 +139,22 @@ def test_hierarchical_gradient_by_finite_differences(spark):
     def value(t):
         loc, scale = t[: lay.size], np.exp(t[lay.size :])
         draws = loc[lay.slices()["price"]] + scale[lay.slices()["price"]] * noise
-        flat = hier._likelihood_block(data, (lay, loc, draws)).reshape(2, -1)
+        flat = hier._likelihood_block(data, [hier._argument(lay, loc, d)[0] for d in draws]).reshape(2, -1)
         const = -mom.n * (0.5 * np.log(2 * np.pi) + np.log(2.0))
         return hier.prior_terms(t, mom, lay)[0] + const + flat[:, 0].mean()
 
     v1, g1 = hier.prior_terms(theta, mom, lay)
-    v2, g2 = hier.likelihood_terms(df, "y", theta, noise, mom, lay)
+    v2, g2, second = hier.likelihood_terms(df, "y", theta, noise, mom, lay)
     assert v1 + v2 == pytest.approx(value(theta))
     for i in range(len(theta)):
         step = np.zeros(len(theta))
         step[i] = 1e-5
         assert (g1 + g2)[i] == pytest.approx((value(theta + step) - value(theta - step)) / 2e-5, rel=1e-4, abs=1e-4)
+    for i in (0, 4, 6, lay.slices()["price"].start, lay.size + lay.slices()["price"].start):
+        step = np.zeros(len(theta))
+        step[i] = 1e-4
+        up, down = (hier.likelihood_terms(df, "y", theta + sign * step, noise, mom, lay)[1] for sign in (1, -1))
+        assert np.allclose(second[i], (up - down) / 2e-4, rtol=1e-4, atol=1e-3)
 
 
 def test_hierarchical_bound_agrees_with_sampling(spark):
@@ -165,7 +170,8 @@ def test_hierarchical_bound_agrees_with_sampling(spark):
     xs = {f: x[:, [names.index(c) for c in GROUPS[f]]] for f in hier.FACTORS}
     lp = lambda v, m, s=1.0: -0.5 * ((v - m) / s) ** 2 - np.log(s) - 0.5 * np.log(2 * np.pi)
     total = []
-    guide = hier._factor_means(xs, loc, at)
+    guide = {f: xs[f] @ loc[at[f]] + loc[at[f"b_{f}"]] for f in hier.FACTORS}
+    guide["performance"] = guide["performance"] + loc[at["pq"]] * guide["quality"]
     for _ in range(6000):
         w = loc + scale * rng.standard_normal(lay.size)
         out = (lp(w, 0.0) - lp(w, loc, scale)).sum()
@@ -187,6 +193,10 @@ def test_hierarchical_fit_raises_the_bound_and_scores(spark):
     df, _, _ = hier_rows(spark, 150)
     model = hier.hierarchical_fit(df, "y", GROUPS)
     assert model.trace[-1] > model.trace[0] and abs(model.trace[-1] - model.trace[-2]) < 1e-6 * abs(model.trace[-1])
+    # At the tolerance in use, no parameter has a slope left that one deviation of it would notice.
+    lay = hier.layout(GROUPS)
+    own_scale = np.concatenate([model.scale, np.ones(lay.size)])
+    assert np.abs(model.gradient * own_scale).max() < 1e-2 and len(model.trace) < 40
     assert model.posterior(spark).count() == hier.layout(GROUPS).size
     scored = model.price(df)
     assert scored.where("pred <= 1 or pred is null").isEmpty()

@@ -75,6 +75,22 @@ def test_ascent_ends_at_an_optimum_or_says_so():
         ascent.ascent(np.array([3.0, -2.0, 1.0]), bowl, 1e-10, most=2)
 
 
+def test_newton_leaves_saddles_and_ends_at_an_optimum_or_says_so():
+    def saddle(t):
+        x, y = t
+        value = -((x * x - 1) ** 2) - (y - x) ** 2
+        gradient = np.array([-4 * x * (x * x - 1) + 2 * (y - x), -2 * (y - x)])
+        return value, gradient, np.array([[-12 * x * x + 4 - 2, 2.0], [2.0, -2.0]])
+
+    theta, trace, gradient = ascent.newton(np.array([1e-3, 0.3]), saddle)
+    assert np.allclose(np.abs(theta), 1.0, atol=1e-5) and theta[0] * theta[1] > 0 and np.abs(gradient).max() < 1e-4
+    assert all(b >= a for a, b in zip(trace, trace[1:]))
+    with pytest.raises(ascent.NotConverged):
+        ascent.newton(np.array([1e-3, 0.3]), saddle, most=2)
+    square = ascent.slopes(lambda t: np.array([t[0] * t[1], t[1] ** 2]), np.array([2.0, 3.0]))
+    assert np.allclose(square, [[3.0, 0.0], [2.0, 6.0]])
+
+
 def test_the_factor_fit_ends_where_the_gradient_is_small(spark):
     rng = np.random.default_rng(8)
     names = ["q0", "q1", "p0", "s0", "e0", "l0"]
@@ -82,14 +98,18 @@ def test_the_factor_fit_ends_where_the_gradient_is_small(spark):
     x = rng.normal(size=(200, 6))
     y = np.logaddexp(0, 3 + 2 * x[:, 4]) + 1 + 0.3 * rng.normal(size=200)
     df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*names, "y"])).cache()
-    model = hier.hierarchical_fit(df, "y", groups, tolerance=1e-9)
+    model = hier.hierarchical_fit(df, "y", groups)
     lay = hier.layout(groups)
-    half = np.random.default_rng(42).standard_normal((8, 4))
     theta = np.concatenate([model.loc, np.log(model.scale)])
     mom = hier.column_moments(df, lay)
-    _, in_prior = hier.prior_terms(theta, mom, lay)
-    _, in_fit = hier.likelihood_terms(df, "y", theta, np.concatenate([half, -half]), mom, lay)
-    start = hier.prior_terms(np.zeros(2 * lay.size), mom, lay)[1] + hier.likelihood_terms(df, "y", np.zeros(2 * lay.size), np.concatenate([half, -half]), mom, lay)[1]
-    assert np.abs(in_prior + in_fit).max() < 1e-2 * np.abs(start).max()
+    value, gradient, second = hier.bound_expansion(df, "y", theta, hier.draws(), mom, lay)
+    assert np.allclose(gradient, model.gradient, atol=1e-6) and value == model.trace[-1]
+    assert np.linalg.eigvalsh(-second).min() > 0
+    # No step along any axis goes up.
+    for i in range(0, 2 * lay.size, 3):
+        for side in (-0.01, 0.01):
+            moved = theta.copy()
+            moved[i] += side
+            assert hier.bound_expansion(df, "y", moved, hier.draws(), mom, lay)[0] < value
     steepest = {n: abs(v) for n, v in zip(lay.names(), model.loc) if n[1]}
     assert max(steepest, key=steepest.get) == ("w_seniority", "e0")
