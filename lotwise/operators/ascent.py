@@ -9,6 +9,8 @@ import numpy as np
 # A fit ends when its value changes by less than this share of itself, several steps in a row.
 TOLERANCE = 1e-6
 QUIET_STEPS = 3
+# Steps after which a metric is measured again, and its first damping.
+METRIC_STEPS, METRIC_DAMPING = 15, 0.1
 # How much a Newton step is damped at first, as a share of each parameter's own curvature; and how that changes.
 DAMPING, MORE, LESS = 0.1, 8.0, 0.125
 # Curvature pairs kept.
@@ -21,28 +23,41 @@ class NotConverged(RuntimeError):
 
 def ascent(
     theta: np.ndarray,
-    value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]],
+    value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray | Callable[[], np.ndarray]]],
     tolerance: float = TOLERANCE,
     most: int = 2_000,
     first_step: float = 0.1,
+    metric: Callable[[np.ndarray, float], Callable[[np.ndarray], np.ndarray]] | None = None,
 ) -> tuple[np.ndarray, list[float], np.ndarray]:
     """Maximise by L-BFGS with backtracking: the parameters, the value of each step, the last gradient.
 
     Ends when ``QUIET_STEPS`` steps in a row change the value by less than ``tolerance`` of itself, or when
     no step along the gradient raises it any more. ``most`` steps without that raise ``NotConverged``.
+
+    The gradient may be a function without arguments: it is then asked for only where a step is taken. ``metric`` makes, from
+    parameters and a damping, a function that turns a gradient into a step, such as the inverse of a Gauss-Newton
+    matrix; the pairs of L-BFGS refine it, and every ``METRIC_STEPS`` steps it is measured again, damped
+    more where steps were refused, less where none was.
     """
-    value, gradient = value_and_gradient(theta)
+    value, gradient = _asked(value_and_gradient(theta))
     trace, pairs, quiet = [float(value)], [], 0
+    turn, damping, age, refused = None, METRIC_DAMPING, 0, 0
     for _ in range(most):
         size = float(np.abs(gradient).max(initial=0.0))
         if size == 0.0:
             return theta, trace, gradient
+        if metric is not None and (turn is None or age >= METRIC_STEPS):
+            damping *= 2.0 if refused > METRIC_STEPS // 4 else 0.5 if age and not refused else 1.0
+            turn, pairs, age, refused = metric(theta, damping), [], 0, 0
         way, kept = gradient.copy(), []
         for s, g in reversed(pairs):
             a = (s @ way) / (s @ g)
             kept.append(a)
             way -= a * g
-        way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else first_step / size
+        if turn is not None:
+            way = turn(way)
+        else:
+            way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else first_step / size
         for (s, g), a in zip(pairs, reversed(kept), strict=True):
             way += (a - (g @ way) / (s @ g)) * s
         slope = float(gradient @ way)
@@ -52,8 +67,9 @@ def ascent(
                 found = _tried(value_and_gradient, theta + step * way)
             if found is not None and found[0] >= value + 1e-4 * step * slope:
                 break
-            step, found = step / 2, None
-        if found is None:
+            step, found, refused = step / 2, None, refused + 1
+        found = found and _asked(found)
+        if found is None or not np.isfinite(found[1]).all():
             if not pairs:
                 return theta, trace, gradient
             pairs = []  # the curvature misleads: start again along the gradient
@@ -64,6 +80,7 @@ def ascent(
         change = abs(found[0] - value) / max(abs(value), abs(found[0]), 1e-300)
         theta, (value, gradient) = theta + s, found
         trace.append(float(value))
+        age += 1
         quiet = quiet + 1 if change < tolerance else 0
         if quiet >= QUIET_STEPS:
             return theta, trace, gradient
@@ -128,10 +145,14 @@ def _expanded(expansion, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarr
     return found if np.isfinite(found[0]) and all(np.isfinite(f).all() for f in found[1:]) else None
 
 
-def _tried(value_and_gradient, theta: np.ndarray) -> tuple[float, np.ndarray] | None:
+def _asked(found: tuple) -> tuple[float, np.ndarray]:
+    return found[0], found[1]() if callable(found[1]) else found[1]
+
+
+def _tried(value_and_gradient, theta: np.ndarray) -> tuple | None:
     """A step that leaves the domain (overflow, no Cholesky factor) counts as one that does not help."""
     try:
         value, gradient = value_and_gradient(theta)
     except np.linalg.LinAlgError:
         return None
-    return (value, gradient) if np.isfinite(value) and np.isfinite(gradient).all() else None
+    return (value, gradient) if np.isfinite(value) and (callable(gradient) or np.isfinite(gradient).all()) else None

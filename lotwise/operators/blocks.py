@@ -7,6 +7,7 @@ one numpy vector, and Spark adds the vectors chunk by chunk. Only the sum reache
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,16 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 # Up to so many tasks their vectors are added at once.
 FEW_TASKS = 64
+# The columns as numbers and the tasks of frames that are summed again and again, as fits do: planned once.
+_PLANNED: WeakKeyDictionary[DataFrame, dict[tuple[str, ...], tuple[DataFrame, int]]] = WeakKeyDictionary()
+
+
+def _numbers(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
+    plans = _PLANNED.setdefault(df, {})
+    if tuple(cols) not in plans:
+        numbers = df.selectExpr(*[f"cast(`{c}` as double) as `{c}`" for c in cols])
+        plans[tuple(cols)] = numbers, numbers.rdd.getNumPartitions()
+    return plans[tuple(cols)]
 
 
 def sum_blocks(
@@ -46,9 +57,8 @@ def sum_blocks(
             task = TaskContext.get().partitionId()
             yield pd.DataFrame({"chunk": range(len(parts)), "task": task, "part": parts})
 
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    numbers, tasks = _numbers(df, cols)
     partial = numbers.mapInPandas(fold, "chunk int, task int, part array<double>")
-    tasks = numbers.rdd.getNumPartitions()
     if tasks > FEW_TASKS:
         group = F.pmod("task", F.lit(round(tasks**0.5)))
         near = partial.groupBy("chunk", group.alias("task")).agg(Summarizer.sum(array_to_vector("part")).alias("part"))

@@ -8,7 +8,7 @@ back for a second pass, which pushes it through the kernel (and the net) row blo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import assemble, band, linspace
-from lotwise.operators.ascent import TOLERANCE, ascent
+from lotwise.operators.ascent import TOLERANCE, NotConverged, ascent, newton, slopes
 from lotwise.operators.blocks import sum_blocks
 from lotwise.operators.encode import Scaler
 from lotwise.operators.lookup import column_means
 
 Net = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+# A deep kernel's fit ends at this change of the bound. The net has kinks and hundreds of weights: beyond it hundreds of further
+# steps gain about a thousandth of the bound each hundred, by learning the noise of the rows.
+DEEP_TOLERANCE = 2e-5
 
 
 # --- kernel and feature map on row blocks ---------------------------------------------------
@@ -185,11 +188,23 @@ def _gradient_block(block: np.ndarray, payload) -> np.ndarray:
     return _push_back(g, x, h)
 
 
+def bound_then_gradient(
+    df: DataFrame, features: Sequence[str], target: str, h: Hyper, learn_inducing: bool
+) -> tuple[float, Callable[[], np.ndarray]]:
+    """The bound, from one pass over the rows, and what gives its gradient in ``h.pack(...)`` by another one."""
+    value, grads = collapsed_bound(row_sums(df, features, target, h), h)
+    return value, lambda: _gradient(df, features, target, h, grads, learn_inducing)
+
+
 def bound_and_gradient(
     df: DataFrame, features: Sequence[str], target: str, h: Hyper, learn_inducing: bool
 ) -> tuple[float, np.ndarray]:
     """Bound and its gradient in ``h.pack(...)``; two passes over the rows."""
-    value, grads = collapsed_bound(row_sums(df, features, target, h), h)
+    value, gradient = bound_then_gradient(df, features, target, h, learn_inducing)
+    return value, gradient()
+
+
+def _gradient(df, features, target, h: Hyper, grads: dict, learn_inducing: bool) -> np.ndarray:
     d, zsize = len(h.scale), net_forward(h.z, h.net).size
     size = d + 1 + zsize + (sum(w.size for w in h.net) if h.net else 0)
     flat = sum_blocks(df, [*features, target], size, _gradient_block, (h, grads["a"], grads["b"]))
@@ -206,7 +221,78 @@ def bound_and_gradient(
             w1, b1, w2, _ = h.net
             parts.append((((in_pz @ w2.T) * (h.z @ w1 + b1 > 0)) @ w1.T).ravel())
         parts.append(flat[d + 1 + zsize :] + net_backward(in_pz, h.z, h.net))
-    return value, np.concatenate(parts)
+    return np.concatenate(parts)
+
+
+# --- Gauss-Newton sums of a deep kernel ------------------------------------------------------
+
+
+def _fit_slopes(x: np.ndarray, h: Hyper, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Derivatives of each row's fitted value ``k(x)·weights``: in log scales, log variance and net, one row each; with the
+    weighted kernel and the rows' hidden-layer pull ``x / scale² · w2'``, from which those in inducing points follow.
+
+    Inducing points pass the net as well: what the net does to them is in its derivatives.
+    """
+    w1, b1, w2, _ = h.net
+    n, s2 = len(x), h.scale**2
+    hidden, hidden_z = np.maximum(x @ w1 + b1, 0.0), np.maximum(h.z @ w1 + b1, 0.0)
+    on, on_z = hidden > 0, hidden_z > 0
+    px, pz = net_forward(x, h.net), net_forward(h.z, h.net)
+    e = rbf_block(px, pz, h.scale, h.variance) * weights
+    row, near = e.sum(1)[:, None], e @ pz
+    outer = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(len(a), -1)
+    in_scale = (row * px**2 + e @ pz**2 - 2 * px * near) / s2
+    in_px = (near - row * px) / s2
+    pull, pull_z = (px / s2) @ w2.T, (pz / s2) @ w2.T
+    back = (in_px @ w2.T) * on
+    in_w2 = outer(hidden, in_px) + outer(e @ hidden_z, px / s2) - e @ outer(hidden_z, pz / s2)
+    in_w1 = outer(x, back) + (e @ outer(h.z, on_z)) * np.tile(pull, (1, x.shape[1])) - e @ outer(h.z, on_z * pull_z)
+    in_b1 = back + (e @ on_z.astype(float)) * pull - e @ (on_z * pull_z)
+    # A shift of all learned features changes no distance.
+    return np.hstack([in_scale, row, in_w1, in_b1, in_w2, np.zeros((n, px.shape[1]))]), e, pull
+
+
+def _curvature_block(block: np.ndarray, payload) -> np.ndarray:
+    """Σ of the outer products of those derivatives: scales, variance and net together, each inducing point by itself."""
+    h, weights = payload
+    slope, e, pull = _fit_slopes(block[:, :-1], h, weights)
+    w1, b1, w2, _ = h.net
+    on, pull_z = (h.z @ w1 + b1 > 0).astype(float), (net_forward(h.z, h.net) / h.scale**2) @ w2.T
+    square, m = e**2, len(h.z)
+    # Σ e² (pull - pull_z)(pull - pull_z)' per inducing point, in the hidden layer.
+    both = (square.T @ (pull[:, :, None] * pull[:, None, :]).reshape(len(block), -1)).reshape(m, pull.shape[1], -1)
+    once = square.T @ pull
+    cross = once[:, :, None] * pull_z[:, None, :]
+    hidden = both - cross - cross.transpose(0, 2, 1) + square.sum(0)[:, None, None] * pull_z[:, :, None] * pull_z[:, None, :]
+    left = on[:, :, None] * w1.T[None]
+    points = left.transpose(0, 2, 1) @ hidden @ left
+    return np.concatenate([(slope.T @ slope).ravel(), points.ravel()])
+
+
+def deep_metric(df: DataFrame, features: Sequence[str], target: str, h: Hyper, damping: float) -> Callable[[np.ndarray], np.ndarray]:
+    """What turns a gradient in ``h.pack(True)`` into a Gauss-Newton step; two passes, sums of fixed size.
+
+    The net, scales and variance share one matrix; inducing points have one each, the noise its own curvature n / 2.
+    """
+    s = row_sums(df, features, target, h)
+    weights = _inverse(h.kuu() + s.a / h.noise)[0] @ s.b / h.noise
+    d, m = h.z.shape[1], len(h.z)
+    wide = len(h.scale) + 1 + sum(w.size for w in h.net)
+    flat = sum_blocks(df, [*features, target], wide * wide + m * d * d, _curvature_block, (h, weights)) / h.noise
+    one, points = flat[: wide * wide].reshape(wide, wide), flat[wide * wide :].reshape(m, d, d)
+    one = one + np.diag(damping * (np.diag(one) + np.diag(one).mean()) + 1e-8)
+    size = np.einsum("maa->m", points)
+    own = np.maximum(np.einsum("maa->ma", points), 0.0) + size[:, None] / d
+    points = points + (damping * own + 1e-2)[:, :, None] * np.eye(d)
+    inverse, points = _inverse(one)[0], np.linalg.inv(points)
+    at, stop = len(h.scale) + 1, len(h.scale) + 2 + h.z.size
+
+    def turn(g: np.ndarray) -> np.ndarray:
+        shared = inverse @ np.concatenate([g[:at], g[stop:]])
+        moved = np.einsum("mab,mb->ma", points, g[at + 1 : stop].reshape(m, d)).ravel()
+        return np.concatenate([shared[:at], [2 * g[at] / max(s.n, 1.0)], moved, shared[at:]])
+
+    return turn
 
 
 @dataclass(frozen=True)
@@ -216,6 +302,7 @@ class SparseGP:
     mean_weights: np.ndarray  # B⁻¹ b / σ²
     variance_form: np.ndarray  # Kuu⁻¹ − B⁻¹
     trace: tuple[float, ...] = ()
+    gradient: np.ndarray | None = None
 
     def predict(self, df: DataFrame, include_noise: bool = False, mean: str = "gp_mean", var: str = "gp_var") -> DataFrame:
         """Predictive mean and latent variance per row; only the features leave the JVM."""
@@ -258,11 +345,15 @@ def condition(df: DataFrame, features: Sequence[str], target: str, h: Hyper, tra
 
 
 def _fit(df, features, target, h, tolerance, learn_inducing) -> SparseGP:
-    def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        return bound_and_gradient(df, features, target, h.unpack(theta, learn_inducing), learn_inducing)
+    def objective(theta: np.ndarray) -> tuple[float, Callable[[], np.ndarray]]:
+        return bound_then_gradient(df, features, target, h.unpack(theta, learn_inducing), learn_inducing)
+
+    def metric(theta: np.ndarray, damping: float) -> Callable[[np.ndarray], np.ndarray]:
+        return deep_metric(df, features, target, h.unpack(theta, True), damping)
 
-    theta, trace, _ = ascent(h.pack(learn_inducing), objective, tolerance)
-    return condition(df, features, target, h.unpack(theta, learn_inducing), trace)
+    second_order = metric if h.net is not None and learn_inducing else None
+    theta, trace, gradient = ascent(h.pack(learn_inducing), objective, tolerance, metric=second_order)
+    return replace(condition(df, features, target, h.unpack(theta, learn_inducing), trace), gradient=gradient)
 
 
 def inducing_points(df: DataFrame, features: Sequence[str], m: int = 300, seed: int = 42) -> np.ndarray:
@@ -272,6 +363,48 @@ def inducing_points(df: DataFrame, features: Sequence[str], m: int = 300, seed:
     return centres[np.lexsort(centres.T[::-1])]
 
 
+def _assigned(block: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Per centre: the rows nearest to it (the first of equally near ones), and their sums."""
+    square = (block**2).sum(1)[:, None] - 2 * block @ centres.T + (centres**2).sum(1)
+    nearest = square.argmin(1)
+    out = np.zeros((len(centres), block.shape[1] + 1))
+    np.add.at(out, nearest, np.column_stack([np.ones(len(block)), block]))
+    return out.ravel()
+
+
+def lloyd(df: DataFrame, features: Sequence[str], centres: np.ndarray, most: int = 500) -> np.ndarray:
+    """Moves centres to the mean of their rows until none moves any more; one pass a step. A centre without rows stays."""
+    for _ in range(most):
+        size = len(centres) * (centres.shape[1] + 1)
+        found = sum_blocks(df, features, size, _assigned, centres).reshape(len(centres), -1)
+        moved = np.where(found[:, :1] > 0, found[:, 1:] / np.maximum(found[:, :1], 1.0), centres)
+        if np.abs(moved - centres).max() < 1e-12:
+            return moved
+        centres = moved
+    raise NotConverged(f"centres still moved after {most} steps")
+
+
+def amplitude_fit(df: DataFrame, features: Sequence[str], target: str, h: Hyper) -> SparseGP:
+    """Fits kernel variance and noise where scales, inducing points and net are given.
+
+    Both only scale the sums over the rows, so these are made once and the fit itself reads no row.
+    """
+    unit = replace(h, variance=1.0)
+    one, base = row_sums(df, features, target, unit), unit.kernel(h.z)
+
+    def terms(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        v, noise = np.exp(theta)
+        now = replace(h, variance=float(v), noise=float(noise))
+        value, g = collapsed_bound(RowSums(v**2 * one.a, v * one.b, one.yy, one.n), now)
+        in_v = 2 * v * float((g["a"] * one.a).sum()) + float(g["b"] @ one.b) + float((g["kuu"] * base).sum()) + g["variance"]
+        return value, np.array([in_v * v, g["noise"] * noise])
+
+    start = np.log([h.variance, h.noise])
+    theta, trace, gradient = newton(start, lambda t: (*terms(t), slopes(lambda u: terms(u)[1], t)))
+    fitted = replace(h, variance=float(np.exp(theta[0])), noise=float(np.exp(theta[1])))
+    return replace(condition(df, features, target, fitted, trace), gradient=gradient)
+
+
 def sparse_gp_fit(
     df: DataFrame,
     features: Sequence[str],
@@ -296,13 +429,16 @@ def deep_kernel_gp_fit(
     features: Sequence[str],
     target: str,
     z: np.ndarray,
-    tolerance: float = TOLERANCE,
+    tolerance: float = DEEP_TOLERANCE,
     hidden: int = 32,
     jitter: float = 0.1,
     learn_inducing: bool = True,
     seed: int = 0,
 ) -> SparseGP:
-    """Kernel over learned features; inducing points stay in input space and pass through the net."""
+    """Kernel over learned features; inducing points stay in input space and pass through the net.
+
+    Steps are Gauss-Newton ones refined by L-BFGS: first-order steps alone need over a thousand passes.
+    """
     d = len(features)
     h = Hyper(np.ones(d), 1.0, 1.0, z, jitter, init_net(d, hidden, d, seed))
     return _fit(df, features, target, h, tolerance, learn_inducing)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -199,15 +200,25 @@ def prior_terms(theta: np.ndarray, mom: ColumnMoments, lay: Layout) -> tuple[flo
     return value, np.concatenate([in_loc, in_var * 2 * var])
 
 
+_NUMBERED: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+
+def _numbered(df: DataFrame, lay: Layout, target: str) -> DataFrame:
+    """The columns by position, as a feature can be in two groups; one frame for all steps of a fit."""
+    plans, key = _NUMBERED.setdefault(df, {}), (*lay.columns, target)
+    if key not in plans:
+        plans[key] = df.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(lay.columns)], F.col(target).alias("y"))
+    return plans[key]
+
+
 def likelihood_sums(
     df: DataFrame, target: str, forms: Sequence[np.ndarray], lay: Layout
 ) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """Per linear form of ``[x, 1]`` with its variance last: Σ over rows of the expected log-likelihood (without constants), and
     its first and second derivatives in the form. One pass."""
     d = len(lay.columns)
-    cols = [F.col(c).alias(f"x{i}") for i, c in enumerate(lay.columns)] + [F.col(target).alias("y")]
     width = 1 + (d + 2) + (d + 1) ** 2 + (d + 1) + 1
-    flat = sum_blocks(df.select(*cols), [*[f"x{i}" for i in range(d)], "y"], width * len(forms), _likelihood_block, list(forms))
+    flat = sum_blocks(_numbered(df, lay, target), [*[f"x{i}" for i in range(d)], "y"], width * len(forms), _likelihood_block, list(forms))
     out = []
     for part in flat.reshape(len(forms), width):
         curve = np.empty((d + 2, d + 2))

@@ -32,6 +32,10 @@ def train_test(df: DataFrame, key: str, seed: str = "42", test_one_in: int = 5)
 
 
 def random_rows(df: DataFrame, k: int, key: Sequence[str], seed: str = "42") -> DataFrame:
-    """``k`` rows without replacement in the order of a keyed hash; a distributed top-k."""
+    """``k`` rows without replacement in the order of a keyed hash; a distributed top-k.
+
+    Rows that share a key are ordered by their other columns, so the sample is repeatable even where the key is not unique.
+    """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(seed))
-    return df.orderBy(F.md5(text), *key).limit(k)
+    others = [f"`{c}`" for c in df.columns if c not in key]
+    return df.orderBy(F.md5(text), *key, *others).limit(k)

@@ -207,15 +207,87 @@ def deep_kernel_sums(spark, folder):
 
 @query(
     f"""with {SCALED} select order_key, line_no, round(x1, 6) + 0.0 as x, price as y from sc where split = 'train'
-    order by md5(concat_ws('|', cast(order_key as varchar), cast(line_no as varchar), '42')), order_key, line_no limit 300"""
+    order by md5(concat_ws('|', cast(order_key as varchar), cast(line_no as varchar), '42')), order_key, line_no, price, x1 limit 300"""
 )
 def gp_sweep_points(spark, folder):
     """Train points drawn beside the sweep: a repeatable sample on the swept feature's scale."""
     train, _, _ = _scaled(spark, folder)
-    points = sample.random_rows(train, 300, list(KEYS))
+    points = sample.random_rows(train.select(*KEYS, "price", "engine"), 300, list(KEYS))
     return rounded(points.select(*KEYS, F.col("engine").alias("x"), F.col("price").alias("y")))
 
 
+_BOUND = """select round(-0.5 * n * ln(2 * pi()) - 0.5 * (ln(p11*p22 - p12*p12) - ln(u11*u11 - u12*u12)
+      + n * ln(0.5)) - 0.5 * (yy / 0.5 - (b1*b1*i11 + 2*b1*b2*i12 + b2*b2*i22) / 0.25)
+      - 0.5 * (n - (j11*a11 + 2*j12*a12 + j11*a22)) / 0.5, 3) as bound from iv"""
+
+
+@query(f"with {DEEP_POSTERIOR} {_BOUND}")
+def deep_kernel_bound(spark, folder):
+    """The bound that a deep-kernel fit from the fixed net would begin at."""
+    train, _, _ = _scaled(spark, folder)
+    deep = gp.Hyper(FIXED.scale, 1.0, 0.5, FIXED.z, 0.1, NET)
+    value, _ = gp.bound_then_gradient(train, PAIR, "log_price", deep, True)
+    return rounded(spark.createDataFrame([(value,)], "bound double"), 3)
+
+
+# --- fits that SQL can follow ----------------------------------------------------------------
+
+# The bound as a function of log variance a and log noise b, from the sums st of a unit kernel.
+_TRIED = """select a, b{more}, -0.5 * n * ln(2 * pi()) - 0.5 * (ln(p11*p22 - p12*p12) - ln(u11*u11 - u12*u12) + n * b)
+        - 0.5 * (yy / s - (f1*f1*p22 - 2*f1*f2*p12 + f2*f2*p11) / (p11*p22 - p12*p12) / (s * s))
+        - 0.5 * (n * v - (u11*g11 - 2*u12*g12 + u11*g22) / (u11*u11 - u12*u12)) / s as value
+      from (select *, u11 + g11 / s as p11, u12 + g12 / s as p12, u11 + g22 / s as p22
+        from (select *, v + 0.1 as u11, v * exp(-0.5 * (4 + 4 / 2.25::double)) as u12, v*v*a11 as g11, v*v*a12 as g12,
+            v*v*a22 as g22, v*b1 as f1, v*b2 as f2
+          from (select *, exp(a) as v, exp(b) as s from {source})))"""
+_BEGIN = "(select st.*, 0::double as a, ln(0.5::double) as b from st)"
+_AROUND = """(select st.*, r.a + x * r.step as a, r.b + y * r.step as b, r.step, r.turn, r.value as was
+          from search r, st, (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)) o(x, y)
+          where r.step > 1e-7)"""
+
+
+@query(
+    f"""with recursive {SCALED}, search as (
+      select a, b, 0.5::double as step, value, 0 as turn from ({_TRIED.format(more="", source=_BEGIN)})
+      union all
+      select arg_max(a, value), arg_max(b, value), case when max(value) > any_value(was) then any_value(step) else any_value(step) / 2 end,
+        max(value), any_value(turn) + 1
+      from ({_TRIED.format(more=", step, turn, was", source=_AROUND)}) having count(*) > 0)
+    select round(exp(a), 4) as variance, round(exp(b), 4) as noise, round(value, 3) as bound from search order by turn desc limit 1"""
+)
+def sparse_gp_amplitudes(spark, folder):
+    """Kernel variance and noise of a sparse process fitted to the train rows, scales and inducing points given."""
+    train, _, _ = _scaled(spark, folder)
+    model = gp.amplitude_fit(train, PAIR, "log_price", FIXED)
+    row = (round(model.hyper.variance, 4), round(model.hyper.noise, 4), round(model.trace[-1], 3))
+    return spark.createDataFrame([row], "variance double, noise double, bound double")
+
+
+# Three centres that SQL can follow from a fixed start.
+CENTRES = np.array([[-1.0, -1.0], [0.0, 1.0], [1.0, -1.0]])
+
+
+@query(
+    f"""with recursive {HEAD}, t as (select x1, x2 from sc where split = 'train'),
+    steps as (
+      select 0 as turn, [{{'i': 0, 'x': -1::double, 'y': -1::double}}, {{'i': 1, 'x': 0, 'y': 1}}, {{'i': 2, 'x': 1, 'y': -1}}] as centres,
+        false as rest
+      union all
+      select turn + 1, list({{'i': i, 'x': x, 'y': y}} order by i), max(greatest(abs(x - old.x), abs(y - old.y))) < 1e-12
+      from (select turn, i, any_value(centres[i + 1]) as old, avg(x1) as x, avg(x2) as y
+        from (select turn, centres, x1, x2, list_sort(list_transform(centres,
+              lambda c: {{'d': pow(x1 - c.x, 2) + pow(x2 - c.y, 2), 'i': c.i}}))[1].i as i
+          from steps, t where not rest) group by turn, i) group by turn having count(*) > 0)
+    select c.i as centre, round(c.x, 5) as engine, round(c.y, 5) as age from (select unnest(centres) as c from steps where rest)"""
+)
+def settled_centres(spark, folder):
+    """Inducing points at rest: another step of k-means leaves them where they are."""
+    train, _, _ = _scaled(spark, folder)
+    centres = gp.lloyd(stage(train.select(*PAIR)), PAIR, CENTRES)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(centres)]
+    return rounded(spark.createDataFrame(rows, "centre int, engine double, age double"), 5)
+
+
 # --- repeated hold-outs ----------------------------------------------------------------------
 
 RUNS = 10

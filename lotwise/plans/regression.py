@@ -120,36 +120,92 @@ def _coded(spark, folder):
     return flow.coded_rows(encoded(spark, folder), "order_key", edges=EDGES).select(*CANDIDATES, "price")
 
 
-@query(
-    f"""with {CODED}, {mutual_information_sql(CANDIDATES, KINDS, "price", 10, "coded")}, scores as (
+RANKED = (
+    f"""{CODED}, {mutual_information_sql(CANDIDATES, KINDS, "price", 10, "coded")}, scores as (
       select 'mutual_information' as ranking, feature, mi as score from mi union all """
     + " union all ".join(f"select 'correlation', '{c}', abs(corr({c}, price)) from coded" for c in CANDIDATES)
     + f"""), placed as (select ranking, feature, cast(row_number() over (partition by ranking order by score desc, feature) as int)
-      as position from scores) select ranking, position, feature from placed where position <= {CHOSEN}"""
+      as position from scores), ranked as (select ranking, position, feature from placed where position <= {CHOSEN})"""
 )
+
+
+@query(f"with {RANKED} select ranking, position, feature from ranked")
 def ranked_features(spark, folder):
     """The features that either ranking chooses for a smaller model."""
     return _rankings(stage(_coded(spark, folder), "candidates"))
 
 
-@query()
+_D = len(CANDIDATES)
+_XS = "[" + ", ".join(CANDIDATES) + "]"
+# Gauss-Jordan on the moment matrix, one pivot a turn: a row per model, the right-hand side as the last column.
+FITTED = (
+    RANKED
+    + ", scales as (select "
+    + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in flow.NUMERIC)
+    + """ from coded where split = 'train' and leather is not null), ready as (select split, price, ln(1 + price) as y, """
+    + ", ".join(f"({c} - m_{c}) / s_{c} as {c}" if c in flow.NUMERIC else f"cast({c} as double) as {c}" for c in CANDIDATES)
+    + """ from coded, scales where leather is not null), sums as (select avg(y) as my, ["""
+    + ", ".join(f"avg({c})" for c in CANDIDATES)
+    + "] as mx, ["
+    + ", ".join(
+        "[" + ", ".join(f"covar_pop({a}, {b}) * count(*)" + (" + 1" if a == b else "") for b in [*CANDIDATES, "y"]) + "]" for a in CANDIDATES
+    )
+    + f"""] as m from ready where split = 'train'),
+  names as (select unnest({CANDIDATES!r}) as feature, unnest(range(1, {_D + 1})) as i),
+  picks as (select 'all' as model, list(i order by i) as pick from names union all
+    select ranking, list(i order by position) from ranked join names using (feature) group by ranking),
+  turns as (select model, pick, 1 as k, list_transform(pick, lambda i: list_append(list_transform(pick, lambda j: m[i][j]), m[i][{_D + 1}])) as m
+      from picks, sums
+    union all select model, pick, k + 1, list_transform(m, lambda r, i: case when i = k then r
+      else list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) end) from turns where k <= len(pick)),
+  weights as (select model, pick, list_transform(m, lambda r, i: r[len(pick) + 1] / r[i]) as w from turns where k = len(pick) + 1),
+  models as (select model, pick, w, my - list_dot_product(w, list_transform(pick, lambda i: mx[i])) as bias from weights, sums)"""
+)
+
+
+@query(
+    f"""with recursive {FITTED}, scored as (select model, price,
+      exp(list_dot_product(w, list_transform(pick, lambda i: {_XS}[i])) + bias) - 1 as pred from ready, models where split = 'test')
+    select model, round(avg(abs(price - pred)), 3) as mae, round(sqrt(avg(pow(price - pred, 2))), 3) as rmse,
+      round(1 - sum(pow(price - pred, 2)) / (count(*) * var_pop(price)), 6) as r2 from scored group by model"""
+)
 def ridge_model_comparison(spark, folder):
     """All features, and the ones each ranking chooses: test metrics.
 
-    One moment pass serves the three fits.
+    One moment pass serves the three fits; the encoded rows are made once for rankings and fits.
     """
-    chosen = _rankings(stage(_coded(spark, folder), "candidates")).orderBy("ranking", "position").collect()
-    ready = flow.ridge_rows(encoded(spark, folder), "order_key", edges=EDGES)
+    found, _ = _compared(spark, folder)
+    return rounded(found.withColumns({"mae": F.round("mae", 3), "rmse": F.round("rmse", 3)}))
+
+
+@query(
+    f"""with recursive {FITTED} select model, feature, round(value, 5) as coefficient from (
+      select model, unnest(list_transform(pick, lambda i: {CANDIDATES!r}[i])) as feature, unnest(w) as value from models
+      union all select model, 'intercept', bias from models)"""
+)
+def ridge_model_coefficients(spark, folder):
+    """Coefficients of the 13-feature ridge and of its two subsets."""
+    _, models = _compared(spark, folder)
+    rows = [(n, f, float(w)) for n, m in models.items() for f, w in [*zip(m.features, m.weights, strict=True), ("intercept", m.intercept)]]
+    return rounded(spark.createDataFrame(rows, "model string, feature string, coefficient double"), 5)
+
+
+def _compared(spark, folder):
+    whole = stage(encoded(spark, folder).select("order_key", "maker", *[c for c in CANDIDATES if c != "maker_encoded"], "drive_P", "price"))
+    coded = flow.coded_rows(whole, "order_key", edges=EDGES).select(*CANDIDATES, "price")
+    chosen = _rankings(stage(coded, "candidates")).orderBy("ranking", "position").collect()
+    ready = flow.ridge_rows(whole, "order_key", edges=EDGES)
     train, test = stage(ready.train.select(*ready.features, ready.target)), ready.test
     m = linear.moments(train, ready.features, ready.target)
     fits = {"all": ready.features}
     for ranking in ("mutual_information", "correlation"):
         fits[ranking] = tuple(r["feature"] for r in chosen if r["ranking"] == ranking)
+    models = {name: linear.ridge_fit(m.subset(features)) for name, features in fits.items()}
     scored = test
-    for name, features in fits.items():
-        scored = linear.ridge_fit(m.subset(features)).predict(scored, f"log_{name}")
+    for name, model in models.items():
+        scored = model.predict(scored, f"log_{name}")
     long = scored.withColumns({n: F.expm1(f"log_{n}") for n in fits}).unpivot(["price"], list(fits), "model", "pred")
-    return rounded(evaluate.evaluate(long, "price", "pred", ["model"]))
+    return evaluate.evaluate(long, "price", "pred", ["model"]), models
 
 
 @query(
