@@ -21,7 +21,7 @@ and blank texts are that token alone. Equal rows get equal scores. Rows with a N
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -30,14 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.corpus import slices, texts
+from lotwise.llm.corpus import slices
 
 ORDER = 2
 # M: how many sightings the shorter context's answer is worth.
 PRIOR = 200.0
 # Text bytes of a chunk of documents, and words counted by a task before it sends them on.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 HELD_WORDS = 1_000_000
+# Text bytes of a chunk that are unpacked at a time.
+SLICE_BYTES = 1 << 20
 # Tokens of a text that are walked in a row.
 PIECE = 512
 # Neither an empty word nor a blank one can be in a text.
@@ -82,12 +84,12 @@ def cut_by_bucket(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterato
 class Chunk:
     """The n-grams of some texts: distinct hashes, and which one ends at each token."""
 
-    def __init__(self, found: list[bytes], order: int) -> None:
+    def __init__(self, found: Iterable[bytes], order: int) -> None:
         ids: dict[bytes, int] = defaultdict(count(1).__next__)
         get = ids.__getitem__
         sequences = [np.fromiter(map(get, t.lower().split()), np.int32) for t in found]
         self.sizes = np.array([len(s) + 1 for s in sequences], np.int64)
-        self.owner = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
+        self.owner = np.repeat(np.arange(len(sequences), dtype=np.int32), self.sizes)
         last = np.cumsum(self.sizes) - 1
         flat = np.zeros(int(self.sizes.sum()), np.int32)  # 0: the end
         inner = np.ones(len(flat), bool)
@@ -95,6 +97,7 @@ class Chunk:
         flat[inner] = np.concatenate([*sequences, flat[:0]])
         del sequences
         words = np.append(END, np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids)))
+        del ids, get
         hashed = words[flat]
         self.order, self.flat, self.first = order, flat, last - self.sizes + 1
         place = (np.arange(len(flat)) - np.repeat(self.first, self.sizes)).astype(np.int32)
@@ -105,10 +108,13 @@ class Chunk:
             before = np.full_like(hashed, BEGIN)
             before[1:] = np.where(place[1:] > 0, grams[:-1], BEGIN)
             grams = longer(before, hashed)
+            del before
+            if n == order:
+                del hashed, place
             keys, at = np.unique(grams[self.valid[n - 1]], return_inverse=True)
             distinct.append((keys, at.astype(np.int32)))
-            del before, at
-        del grams, hashed
+            del at
+        del grams
         self.keys, where = np.unique(np.concatenate([d[0] for d in distinct]), return_inverse=True)
         starts, where = np.cumsum([0, *[len(d[0]) for d in distinct]]), where.astype(np.int32)
         # Of each n-gram's places, the number of its key.
@@ -317,8 +323,10 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, out)
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t for c in table["text"].chunks for t in texts(c)]
+def _texts(table: pa.Table) -> Iterator[bytes]:
+    for batch in table.select(["text"]).to_batches():
+        for _, found in slices(batch, "text", SLICE_BYTES):
+            yield from found
 
 
 def _flags(table: pa.Table, name: str) -> np.ndarray:
