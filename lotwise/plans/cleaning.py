@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import kernels, numeric, parse
 from lotwise.operators import clean, encode, lookup, profile, quantile, sample
 from lotwise.operators.hierarchical import FEATURE_GROUPS
-from lotwise.operators.pairwise import pairwise_kernel
+from lotwise.operators.pairwise import near_pairs, pairwise_kernel, reach_of
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import (
     BAND,
@@ -342,6 +342,19 @@ def squared_exponential_block(spark, folder):
     return kernel_query(kernels.squared_exponential(0.5))(spark, folder)
 
 
+@query(
+    f"""select o_orderkey as order_key, count(*) as n_near, round(sum(exp(-0.5 * pow(o_totalprice - l_extendedprice, 2))), 6) as density
+    from orders join lineitem on l_extendedprice between o_totalprice - {reach_of(0.5)!r} and o_totalprice + {reach_of(0.5)!r}
+    group by o_orderkey"""
+)
+def near_price_density(spark, folder):
+    """Kernel sums between two large tables: line prices around each order's price. Farther pairs are below rounding."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").alias("total"))
+    lines = table(spark, folder, "lineitem").select(F.col("l_extendedprice").alias("price"))
+    pairs = near_pairs(lines, ["price"], orders, ["total"], kernels.squared_exponential(0.5), reach_of(0.5))
+    return rounded(pairs.groupBy("order_key").agg(F.count(F.lit(1)).alias("n_near"), F.sum("k").alias("density")))
+
+
 @query(
     f"""with {CENTRES} select order_key, line_no, centre,
     round(2 * exp(-0.7 * (pow(sin(pi() * (x1-c1) / 3), 2) + pow(sin(pi() * (x2-c2) / 3), 2))), 6) as k

@@ -10,7 +10,9 @@ NAMES = [
     "metric_log_rows", "clean_table_csv_round_trip", "null_counts", "distinct_counts", "describe_listings",
     "outlier_counts", "correlation_triangle", "grouped_quantiles_by_bracketing", "ridge_metrics",
     "relevance_linear_posterior", "repeated_ridge_holdouts", "gp_price_bands", "deep_kernel_sums", "group_posterior",
-    "factor_model_price", "periodic_plus_noise_block", "row_density",
+    "factor_model_price", "periodic_plus_noise_block", "row_density", "factor_slopes", "factor_stationarity", "gp_sweep_points",
+    "deep_kernel_bound", "sparse_gp_amplitudes", "settled_centres", "ridge_model_comparison", "ridge_model_coefficients",
+    "near_price_density",
 ]
 
 

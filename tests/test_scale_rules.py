@@ -3,7 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
-from lotwise.operators import ascent, blocks, grouped_gp as gg, hierarchical as hier, profile
+from lotwise.functions import kernels
+from lotwise.operators import ascent, blocks, gp, grouped_gp as gg, hierarchical as hier, pairwise, profile, sample
 from pyspark.sql import functions as F
 
 
@@ -113,3 +114,76 @@ def test_the_factor_fit_ends_where_the_gradient_is_small(spark):
             assert hier.bound_expansion(df, "y", moved, hier.draws(), mom, lay)[0] < value
     steepest = {n: abs(v) for n, v in zip(lay.names(), model.loc) if n[1]}
     assert max(steepest, key=steepest.get) == ("w_seniority", "e0")
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_near_pairs_equal_all_pairs_that_matter(spark, d):
+    rng = np.random.default_rng(d)
+    kernel = kernels.squared_exponential(2.0)
+    reach = pairwise.reach_of(2.0)
+    a, b = rng.normal(size=(300, d)) * 6, rng.normal(size=(200, d)) * 6
+    a[:100] = a[0]  # a crowded place
+    a[5, 0], names, others = np.nan, [f"x{i}" for i in range(d)], [f"z{i}" for i in range(d)]
+    left = spark.createDataFrame(pd.DataFrame(a, columns=names).assign(i=range(300))).union(spark.createDataFrame([(None,) * d + (999,)], ", ".join(f"x{i} double" for i in range(d)) + ", i long"))
+    right = spark.createDataFrame(pd.DataFrame(b, columns=others).assign(j=range(200)))
+    got = pairwise.near_pairs(left, names, right, others, kernel, reach).select("i", "j", "k").toPandas()
+    square = ((a[:, None] - b[None]) ** 2).sum(2)
+    i, j = np.nonzero(square <= reach**2)
+    want = {(x, y): np.exp(-2.0 * square[x, y]) for x, y in zip(i.tolist(), j.tolist())}
+    assert len(got) == len(want) > 0 and all(np.isclose(k, want[x, y], atol=1e-15) for x, y, k in got.itertuples(index=False))
+    assert np.exp(-2.0 * square[square > reach**2]).max() < 2e-16
+
+
+def test_near_pairs_of_two_large_sides_have_no_limit(spark):
+    left = spark.range(10_001).selectExpr("id as i", "cast(id as double) as x")
+    right = spark.range(10_001).selectExpr("id as j", "id + 0.25 as z")
+    found = pairwise.near_pairs(left, ["x"], right, ["z"], kernels.squared_exponential(1.0), 1.0)
+    assert found.count() == 20_001 and "LocalTableScan" not in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        pairwise.near_pairs(left, ["x"], left, ["x"], kernels.squared_exponential(1.0), 1.0)
+
+
+def test_fits_that_use_second_derivatives_end_at_rest(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = np.sin(2 * x[:, 0]) + 0.3 * rng.normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=["a", "b", "y"])).cache()
+    z = x[:10]
+    h = gp.Hyper(np.array([1.0, 1.5]), 1.0, 0.5, z, 0.1)
+    model = gp.amplitude_fit(df, ["a", "b"], "y", h)
+    best = model.hyper
+
+    def bound(v, noise):
+        now = gp.Hyper(h.scale, v, noise, z, 0.1)
+        k = now.kernel(x)
+        return gp.collapsed_bound(gp.RowSums(k.T @ k, k.T @ y, float(y @ y), 400.0), now)[0]
+
+    assert np.abs(model.gradient).max() < 1e-3 and np.isclose(bound(best.variance, best.noise), model.trace[-1])
+    for side in (0.98, 1.02):
+        assert bound(best.variance * side, best.noise) < model.trace[-1] and bound(best.variance, best.noise * side) < model.trace[-1]
+    centres = gp.lloyd(df, ["a", "b"], z[:4])
+    nearest = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    assert np.allclose(centres, [x[nearest == i].mean(0) for i in range(4)])
+    # The metric of a deep kernel is a Gauss-Newton matrix: an uphill direction for any gradient.
+    deep = gp.Hyper(np.ones(2), 1.0, 0.5, z, 0.1, gp.init_net(2, 5, 2, 3))
+    _, gradient = gp.bound_and_gradient(df, ["a", "b"], "y", deep, True)
+    turn = gp.deep_metric(df, ["a", "b"], "y", deep, 0.1)
+    assert gradient @ turn(gradient) > 0
+    slope, _, _ = gp._fit_slopes(x[:20], deep, np.arange(10.0))
+    theta, at = deep.pack(True), [*range(3), *range(4 + z.size, len(deep.pack(True)))]
+    for column, i in list(enumerate(at))[::4]:
+        step = np.zeros(len(theta))
+        step[i] = 1e-6
+        up, down = (deep.unpack(theta + s * step, True).kernel(x[:20]) @ np.arange(10.0) for s in (1, -1))
+        assert np.allclose(slope[:, column], (up - down) / 2e-6, atol=1e-5)
+    fitted = gp.deep_kernel_gp_fit(df, ["a", "b"], "y", z, hidden=5, seed=3)
+    assert fitted.trace[-1] > fitted.trace[0] + 50 and np.abs(fitted.gradient).max() < 0.05 * np.abs(gradient).max()
+
+
+def test_samples_of_repeated_keys_do_not_depend_on_row_order(spark):
+    rows = [(i % 50, 1, float(i)) for i in range(400)]
+    one, two = (
+        {tuple(r) for r in sample.random_rows(spark.createDataFrame(order, "a int, b int, v double").repartition(n), 33, ["a", "b"]).collect()}
+        for n, order in ((1, rows), (7, rows[::-1]))
+    )
+    assert one == two and len(one) == 33
