@@ -23,6 +23,7 @@ STRING = (T.StringType(), pa.string())
 BOOL = (T.BooleanType(), pa.bool_())
 BINARY = (T.BinaryType(), pa.binary())
 LONGS = (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
+STRINGS = (T.ArrayType(T.StringType()), pa.list_(pa.string()))
 INTS = (T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))
 
 

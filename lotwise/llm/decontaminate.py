@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.corpus import INTS, LONG, STRING, unused, with_text_columns
+from lotwise.llm.corpus import INTS, LONG, STRINGS, unused, with_text_columns
 from lotwise.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -127,7 +127,7 @@ class Windows:
 
 def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> list[DataFrame]:
     """The benchmark in parts of about ``most`` text bytes: each is broadcast on its own."""
-    whole = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
+    whole = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull())
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // most))
     return [whole.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) for b in range(n)]
@@ -140,12 +140,11 @@ def _searched(docs: DataFrame, block: DataFrame, text: str, window: int, names:
         windows = shared.value
 
         def work(found: list[bytes]) -> list:
-            words, spans, items = windows.search(found)
-            return [words, spans, [",".join(i) for i in items]]
+            return list(windows.search(found))
 
         return work
 
-    fields = [(names[0], *LONG), (names[1], *INTS), (names[2], *STRING)]
+    fields = [(names[0], *LONG), (names[1], *INTS), (names[2], *STRINGS)]
     return with_text_columns(docs, text, fields, prepare, SHARD_BYTES)
 
 
@@ -163,7 +162,8 @@ def contamination(
 ) -> DataFrame:
     """(key, n_words, n_hit, n_items, items, spans, contaminated) of every document.
 
-    ``items`` holds the ids of items with occurring windows, sorted as strings; ``spans`` the merged hits as
+    ``items`` holds the ids of items with occurring windows, sorted as strings and joined by commas; ``n_items`` counts the ids, which
+    may be empty or hold commas themselves. Items without an id are left out. ``spans`` the merged hits as
     [start, end, start, end, ...] in words.
     """
     names = ("__words", "__spans", "__items")
@@ -178,7 +178,7 @@ def contamination(
             all_ = all_.unionByName(other)
         joined = all_.groupBy(key, "__mark", "__words").agg(
             F.flatten(F.collect_list("__spans")).alias("__spans"),
-            F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split("__items", ","), lambda x: x != ""))))), ",").alias("__items"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
             (F.count(F.lit(1)) / len(parts)).cast("int").alias("__rows"),
         )
         pairs = F.expr("array_sort(transform(sequence(1, cast(size(__spans) / 2 as int)), i -> struct(__spans[2 * i - 2] as a, __spans[2 * i - 1] as b)))")
@@ -196,8 +196,8 @@ def contamination(
         key,
         F.col("__words").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.when(F.col("__items") == "", 0).otherwise(F.size(F.split("__items", ","))).cast("long").alias("n_items"),
-        F.col("__items").alias("items"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.array_join("__items", ",").alias("items"),
         F.col("__spans").alias("spans"),
         _contaminated(F.col("__words"), n_hit).alias("contaminated"),
     )

@@ -36,21 +36,21 @@ def rendezvous(key: str, weights: Sequence[float]) -> Column:
     return (-best["order"]).cast("int")
 
 
-def with_slots(rows: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
+def with_slots(rows: DataFrame, shard: str, key: str, also: Sequence[str] = (), slot: str = "slot") -> DataFrame:
     """Numbers the rows of each shard from 0 without a gap, whatever its size.
 
-    A shard's rows are cut by a hash of the key into buckets of about ``SLOT_ROWS``; a bucket begins where those before it
-    end. Keys order the rows of a bucket.
+    A shard's rows are cut by a hash of the key, and of the columns ``also``, into buckets of about ``SLOT_ROWS``; a bucket begins
+    where those before it end. So rows that share a key but not these columns do not share a bucket. Keys order the rows of a bucket.
     """
     total = rows.count()
     buckets = max(1, -(-total // SLOT_ROWS))
-    cut = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int"))
+    cut = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), key, *also), F.lit(buckets)).cast("int"))
     held = cut.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = held.select(
         F.col(shard).alias("__shard"), F.col("__bucket").alias("__at"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__first")
     )
-    inside = Window.partitionBy(shard, "__bucket").orderBy(key)
+    inside = Window.partitionBy(shard, "__bucket").orderBy(key, *also)
     numbered = cut.withColumn("__number", F.row_number().over(inside))
     placed = numbered.join(begins, (F.col(shard) == F.col("__shard")) & (F.col("__bucket") == F.col("__at")))
     return placed.withColumn(slot, F.col("__first") + F.col("__number") - 1).drop(
@@ -72,6 +72,6 @@ def sharded(docs: DataFrame, weights: Sequence[float], grown_weights: Sequence[f
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, grown_weights).alias("grown_shard"),
     )
-    return with_slots(rows, "shard", key).select(
+    return with_slots(rows, "shard", key, ["text_crc32", "size"]).select(
         key, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"), "grown_shard"
     )

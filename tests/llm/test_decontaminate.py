@@ -1,3 +1,4 @@
+import pytest
 import random
 import re
 from collections import defaultdict
@@ -125,3 +126,12 @@ def test_query_equals_brute_force(spark, tiny):
     assert any(w[-1] for w in want)
     mine = sorted((tuple(r) for r in QUERIES["op10_decontaminate"](spark, tiny).collect()), key=repr)
     assert mine == sorted(((k, n, h, i, sha256(x.encode()).hexdigest(), c) for k, n, h, i, x, _, c in want), key=repr)
+
+
+@pytest.mark.parametrize("most", [10**9, 40])
+def test_item_ids_may_be_empty_hold_commas_or_be_missing(spark, monkeypatch, most):
+    benchmark = spark.createDataFrame([("a,b", "one two three"), ("", "four five"), ("c", "six"), (None, "seven")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three six"), (2, "four five"), (3, "seven"), (4, None)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", ("item_id", "text", most))
+    got = {r.doc_id: (r.n_items, r["items"], r.n_hit) for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert got == {1: (2, "a,b,c", 4), 2: (1, "", 2), 3: (0, "", 0), 4: (0, "", 0)}

@@ -54,3 +54,34 @@ def test_query_over_the_whole_table(spark, tiny):
     held = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
     assert all(r.n == r.last + 1 == r.slots for r in held)
     assert out.where("grown_shard != shard and grown_shard != 16").count() == 0
+
+
+def plain_shard(spark, key, weights):
+    """The law by plain arithmetic over Spark's published hash."""
+    import math
+
+    text = "\0" if key is None else str(key)
+    first = spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+    best = None
+    for shard, weight in enumerate(weights):
+        mixed = spark.range(1).select(F.xxhash64(F.lit(first).cast("long"), F.lit(shard))).first()[0] % 2**64 >> 11
+        claim = -weight / math.log((mixed + 0.5) / 2**53)
+        if weight and (best is None or claim > best[0]):
+            best = (claim, shard)
+    return best[1]
+
+
+def test_choice_equals_a_plain_one(spark):
+    keys, weights = [None, 0, 7, -3, 123456789012], [1.0, 0.0, 2.5, 1.0]
+    frame = spark.createDataFrame([(k,) for k in keys], "id long")
+    got = {r.id: r.shard for r in frame.select("id", sharding.rendezvous("id", weights).alias("shard")).collect()}
+    assert got == {k: plain_shard(spark, k, weights) for k in keys}
+
+
+def test_rows_of_one_key_are_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(2_000)], "doc_id long, text string")
+    got = sharding.sharded(docs, [1] * 4, [1] * 5).collect()
+    assert sorted(r.slot for r in got) == list(range(2_000)) and len({r.shard for r in got}) == 1
+    sizes = Counter(hash((r.text_crc32, r.size)) % 40 for r in got)
+    assert len(sizes) > 30
