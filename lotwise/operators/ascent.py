@@ -13,6 +13,8 @@ QUIET_STEPS = 3
 METRIC_STEPS, METRIC_DAMPING = 15, 0.1
 # How much a Newton step is damped at first, as a share of each parameter's own curvature; and how that changes.
 DAMPING, MORE, LESS = 0.1, 8.0, 0.125
+# What a step outside the domain raises: no Cholesky factor, a variance that is zero in floating point.
+OUTSIDE = (np.linalg.LinAlgError, ZeroDivisionError)
 # Curvature pairs kept.
 MEMORY = 20
 
@@ -140,7 +142,7 @@ def slopes(function: Callable[[np.ndarray], np.ndarray], at: np.ndarray) -> np.n
 def _expanded(expansion, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
     try:
         found = expansion(theta)
-    except np.linalg.LinAlgError:
+    except OUTSIDE:
         return None
     return found if np.isfinite(found[0]) and all(np.isfinite(f).all() for f in found[1:]) else None
 
@@ -153,6 +155,6 @@ def _tried(value_and_gradient, theta: np.ndarray) -> tuple | None:
     """A step that leaves the domain (overflow, no Cholesky factor) counts as one that does not help."""
     try:
         value, gradient = value_and_gradient(theta)
-    except np.linalg.LinAlgError:
+    except OUTSIDE:
         return None
     return (value, gradient) if np.isfinite(value) and (callable(gradient) or np.isfinite(gradient).all()) else None
