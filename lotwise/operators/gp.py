@@ -25,8 +25,8 @@ from lotwise.operators.encode import Scaler
 from lotwise.operators.lookup import column_means
 
 Net = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-# A deep kernel's fit ends at this change of the bound. The net has kinks and hundreds of weights: beyond it hundreds of further
-# steps gain about a thousandth of the bound each hundred, by learning the noise of the rows.
+# A deep kernel's fit ends at this change of the bound, three steps in a row. Its bound has no sharp end: the net has hundreds of
+# weights, and each hundred further steps gain about a thousandth of the bound by learning the noise of the rows.
 DEEP_TOLERANCE = 2e-5
 
 
