@@ -22,7 +22,9 @@ from lotwise.functions.numeric import assemble, band, linspace
 from lotwise.operators.ascent import TOLERANCE, NotConverged, ascent, newton, slopes
 from lotwise.operators.blocks import sum_blocks
 from lotwise.operators.encode import Scaler
+from lotwise.operators.evaluate import evaluate
 from lotwise.operators.lookup import column_means
+from lotwise.operators.sample import hash_bucket
 
 Net = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 # A deep kernel's fit ends at this change of the bound, three steps in a row. Its bound has no sharp end: the net has hundreds of
@@ -390,7 +392,13 @@ def amplitude_fit(df: DataFrame, features: Sequence[str], target: str, h: Hyper)
     Both only scale the sums over the rows, so these are made once and the fit itself reads no row.
     """
     unit = replace(h, variance=1.0)
-    one, base = row_sums(df, features, target, unit), unit.kernel(h.z)
+    fitted, trace, gradient = _amplitudes(row_sums(df, features, target, unit), h)
+    return replace(condition(df, features, target, fitted, trace), gradient=gradient)
+
+
+def _amplitudes(one: RowSums, h: Hyper) -> tuple[Hyper, list[float], np.ndarray]:
+    """``h`` with the best variance and noise, given the sums of a kernel of variance 1; trace and last gradient."""
+    base = replace(h, variance=1.0).kernel(h.z)
 
     def terms(theta: np.ndarray) -> tuple[float, np.ndarray]:
         v, noise = np.exp(theta)
@@ -401,8 +409,74 @@ def amplitude_fit(df: DataFrame, features: Sequence[str], target: str, h: Hyper)
 
     start = np.log([h.variance, h.noise])
     theta, trace, gradient = newton(start, lambda t: (*terms(t), slopes(lambda u: terms(u)[1], t)))
-    fitted = replace(h, variance=float(np.exp(theta[0])), noise=float(np.exp(theta[1])))
-    return replace(condition(df, features, target, fitted, trace), gradient=gradient)
+    return replace(h, variance=float(np.exp(theta[0])), noise=float(np.exp(theta[1]))), trace, gradient
+
+
+# Test sides of the runs are bits of a double.
+MOST_RUNS = 50
+
+
+def _runs_block(block: np.ndarray, payload) -> np.ndarray:
+    """The sums of every run's train rows under the run's own scaling, one run after the other."""
+    h, means, scales = payload
+    tests = block[:, -1].astype(np.int64)
+    return np.concatenate([_sum_block((block[tests >> r & 1 == 0, :-1] - m) / s, h) for r, (m, s) in enumerate(zip(means, scales, strict=True))])
+
+
+def fitted_holdouts(
+    df: DataFrame, features: Sequence[str], log_target: str, key: str, h: Hyper, runs: int = 10, test_one_in: int = 5
+) -> DataFrame:
+    """Repeated hold-outs of a fitted process: ``(run, variance, noise, bound, mae, rmse, r2)``, metrics of exp(target).
+
+    Every run scales features and target on its own train rows, fits kernel variance and noise to them (each run starting
+    from the one before) and is scored on its test rows. Scales, inducing points and net are those of ``h``, in scaled units.
+    The runs are a dimension of the sums, so three scans of ``df`` serve all of them. Rows with a NULL are left out.
+    """
+    if runs > MOST_RUNS:
+        raise ValueError(f"at most {MOST_RUNS} runs at a time")
+    cols, seeds = [*features, log_target], range(1, runs + 1)
+    tested = [hash_bucket(F.col(key), test_one_in, str(r)) == 0 for r in seeds]
+    side = sum((F.when(t, float(1 << i)).otherwise(0.0) for i, t in enumerate(tested)), F.lit(0.0))
+    rows = df.select(key, *cols).dropna().select(*cols, side.alias("tests"))
+
+    left = F.array(*[F.when(F.shiftright(F.col("tests").cast("long"), r - 1) % 2 == 0, r) for r in seeds])
+    trained = rows.select(*cols, F.explode(F.array_compact(left)).alias("run"))
+    moments = trained.groupBy("run").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    at = {r["run"]: r for r in moments.collect()}  # one row per run
+    if len(at) < runs:
+        raise ValueError("a run has no train rows")
+    means = np.array([[at[r][f"m{i}"] for i in range(len(cols))] for r in seeds])
+    scales = np.array([[at[r][f"s{i}"] or 1.0 for i in range(len(cols))] for r in seeds])
+
+    m = len(h.z)
+    width = m * m + m + 2
+    flat = sum_blocks(rows, [*cols, "tests"], width * runs, _runs_block, (replace(h, variance=1.0), means, scales))
+    models, last = [], h
+    for r in range(runs):
+        part = flat[r * width : (r + 1) * width]
+        one = RowSums(part[: m * m].reshape(m, m), part[m * m : -2], float(part[-2]), float(part[-1]))
+        last, trace, _ = _amplitudes(one, last)
+        v = last.variance
+        b_inv, _ = _inverse(last.kuu() + v**2 * one.a / last.noise)
+        models.append((last, b_inv @ (v * one.b) / last.noise, float(trace[-1])))
+
+    shared = df.sparkSession.sparkContext.broadcast((models, means, scales))
+
+    def score(batches):
+        fits, mean, scale = shared.value
+        for batch in batches:
+            block = batch.to_numpy(dtype=float)
+            tests = block[:, -1].astype(np.int64)
+            for r, (now, weights, _) in enumerate(fits):
+                mine = block[tests >> r & 1 == 1, :-1]
+                found = now.kernel((mine[:, :-1] - mean[r, :-1]) / scale[r, :-1]) @ weights
+                yield pd.DataFrame({"run": r + 1, "truth": np.exp(mine[:, -1]), "pred": np.exp(found * scale[r, -1] + mean[r, -1])})
+
+    numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in rows.columns])
+    scored = numbers.mapInPandas(score, "run int, truth double, pred double")
+    fits = [(r, f.variance, f.noise, bound) for r, (f, _, bound) in zip(seeds, models, strict=True)]
+    fits = df.sparkSession.createDataFrame(fits, "run int, variance double, noise double, bound double")
+    return fits.join(evaluate(scored, "truth", "pred", ["run"]), "run", "left")
 
 
 def sparse_gp_fit(

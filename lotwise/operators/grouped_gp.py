@@ -330,11 +330,57 @@ def tune_lengthscale(
 # --- prediction -------------------------------------------------------------------------------
 
 
+def solutions(groups: Groups, theta: DataFrame) -> DataFrame:
+    """Every group solved once: ``(key, theta, c, dense, i, at, weight, form)``, one row per unknown of its system.
+
+    An unknown is a cell at input ``at`` or the i-th term of the series. With φ the kernel between an input and the
+    cells, or the features of the series, the mean is ``φ·weight`` and ``form φ`` gives what the variance needs.
+    """
+    key = groups.key
+    names = [key, "theta", "c", "dense", "i", "at", "weight", "form"]
+    schema = f"`{key}` {groups.key_type}, theta array<double>, c double, dense boolean, i int, at double, weight double, form array<double>"
+
+    def rows(fit: pd.DataFrame, dense: bool, at: np.ndarray, low: np.ndarray, goal: np.ndarray) -> pd.DataFrame:
+        half = np.linalg.solve(low, np.eye(len(low)))
+        centre = 0.0 if dense else float(fit["c"].iloc[0])
+        columns = [[fit["theta"].iloc[0]] * len(low), centre, dense, range(len(low)), at, half.T @ (half @ goal), list(half)]
+        return pd.DataFrame({key: fit[key].iloc[0], **dict(zip(names[1:], columns, strict=True))})
+
+    def dense(fit: pd.DataFrame) -> pd.DataFrame:
+        xc, n, ybar = (fit[c].to_numpy(dtype=float) for c in ("x", "n", "ybar"))
+        l, v, s = np.exp(np.array(fit["theta"].iloc[0]))
+        low = np.linalg.cholesky(v * np.exp(-l * (xc[:, None] - xc[None, :]) ** 2) + np.diag(s / n))
+        return rows(fit, True, xc, low, ybar)
+
+    def summed(fit: pd.DataFrame) -> pd.DataFrame:
+        a, b, _, _ = _unpack_sums(fit)
+        _, v, s = np.exp(np.array(fit["theta"].iloc[0]))
+        return rows(fit, False, np.zeros(len(b)), np.linalg.cholesky(v * a + s * np.eye(len(b))), v * b)
+
+    ways = groups.ways(theta)
+    out = groups.dense_cells(ways).groupBy(key).applyInPandas(dense, schema)
+    if not ways.where(~F.col("dense")).isEmpty():
+        out = out.unionByName(groups.series_sums(ways).groupBy(key).applyInPandas(summed, schema))
+    return stage(out, "solutions")
+
+
+def _scores(fit: pd.DataFrame, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, latent variance and noise variance at ``xs`` from a group's solution."""
+    fit = fit.sort_values("i")
+    l, v, s = np.exp(np.array(fit["theta"].iloc[0]))
+    weight, form = fit["weight"].to_numpy(), np.stack(fit["form"].to_list())
+    if fit["dense"].iloc[0]:
+        k = v * np.exp(-l * (xs[:, None] - fit["at"].to_numpy()[None, :]) ** 2)
+        return k @ weight, v - ((k @ form.T) ** 2).sum(1), s
+    phi = series(xs, fit["c"].iloc[0], l, len(fit))
+    return phi @ weight, v * (1.0 - (phi**2).sum(1)) + s * v * ((phi @ form.T) ** 2).sum(1), s
+
+
 def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_noise: bool = True) -> DataFrame:
     """Posterior mean and variance per test row: adds ``gp_mean, gp_var``; NULL where the group is unknown.
 
-    Distinct test inputs are scored in bounded chunks per group, next to a copy of what was
-    fitted for the group, and looked up by the rows.
+    Every group is solved once. Its distinct test inputs are scored in chunks of bounded size, each next to a
+    copy of the solution, and looked up by the rows. ``theta`` holds one parameter slot per group.
     """
     key = groups.key
     points = test.select(F.col(key), F.col(x).cast("double").alias("xs")).dropna().distinct()
@@ -347,40 +393,16 @@ def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_n
     per_salt = chunks.select(
         F.col(key).alias(key), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_salt")
     )
-    schema = f"`{key}` {groups.key_type}, xs double, gp_mean double, gp_var double"
-    noise = 1.0 if include_noise else 0.0
 
-    def dense(fit: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+    def score(fit: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
         if fit.empty or at.empty:
             return pd.DataFrame(columns=[key, "xs", "gp_mean", "gp_var"])
-        xc, n, ybar = (fit[c].to_numpy(dtype=float) for c in ("x", "n", "ybar"))
-        l, v, s = np.exp(np.array(fit["theta"].iloc[0]))
-        xs = at["xs"].to_numpy(dtype=float)
-        low = np.linalg.cholesky(v * np.exp(-l * (xc[:, None] - xc[None, :]) ** 2) + np.diag(s / n))
-        k = v * np.exp(-l * (xc[:, None] - xs[None, :]) ** 2)
-        w, z = np.linalg.solve(low, k), np.linalg.solve(low, ybar)
-        var = np.maximum(v - (w**2).sum(0), 0.0) + noise * s
-        return pd.DataFrame({key: at[key], "xs": xs, "gp_mean": w.T @ z, "gp_var": var})
-
-    def summed(fit: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        if fit.empty or at.empty:
-            return pd.DataFrame(columns=[key, "xs", "gp_mean", "gp_var"])
-        a, b, _, _ = _unpack_sums(fit)
-        l, v, s = np.exp(np.array(fit["theta"].iloc[0]))
-        xs = at["xs"].to_numpy(dtype=float)
-        phi = series(xs, fit["c"].iloc[0], l, len(b))
-        low = np.linalg.cholesky(v * a + s * np.eye(len(b)))
-        w, z = np.linalg.solve(low, phi.T), np.linalg.solve(low, b)
-        var = np.maximum(v * (1.0 - (phi**2).sum(1)) + s * v * (w**2).sum(0), 0.0) + noise * s
-        return pd.DataFrame({key: at[key], "xs": xs, "gp_mean": v * (w.T @ z), "gp_var": var})
+        mean, var, noise = _scores(fit, at["xs"].to_numpy(dtype=float))
+        return pd.DataFrame({key: at[key], "xs": at["xs"], "gp_mean": mean, "gp_var": np.maximum(var, 0.0) + include_noise * noise})
 
     by = [key, "_salt"]
-    ways = groups.ways(theta)
-    fitted = groups.dense_cells(ways).join(per_salt, key)
-    scored = fitted.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(dense, schema)
-    if not ways.where(~F.col("dense")).isEmpty():
-        sums = groups.series_sums(ways).join(per_salt, key)
-        scored = scored.unionByName(sums.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(summed, schema))
+    solved = solutions(groups, theta).join(per_salt, key)
+    scored = solved.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(score, f"`{key}` {groups.key_type}, xs double, gp_mean double, gp_var double")
     looked = test.withColumn("xs", F.col(x).cast("double")).join(scored, [key, "xs"], "left")
     return looked.select(*test.columns, "gp_mean", "gp_var")
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lotwise.functions import numeric
+from lotwise.functions.parse import flag_number
 from lotwise.operators import density, encode, evaluate, gp, sample
 from lotwise.plans import price_models as flow
 from lotwise.plans.frames import EDGES, KEYS, SPLIT, encoded, imputed
@@ -338,6 +339,52 @@ def repeated_gp_summary(spark, folder):
     return rounded(evaluate.summarise_metrics(long, ["model"]), 3)
 
 
+# Every run fitted: the search of sparse_gp_amplitudes on its own train rows, then prices of its test rows.
+FITTED_RUN = f"""(with recursive {SCALED}, search as (
+      select a, b, 0.5::double as step, value, 0 as turn from ({_TRIED.format(more="", source=_BEGIN)})
+      union all
+      select arg_max(a, value), arg_max(b, value), case when max(value) > any_value(was) then any_value(step) else any_value(step) / 2 end,
+        max(value), any_value(turn) + 1
+      from ({_TRIED.format(more=", step, turn, was", source=_AROUND)}) having count(*) > 0),
+    best as (select exp(a) as v, exp(b) as s, value from search order by turn desc limit 1),
+    ft as (select v, s, value, v + 0.1 + v*v*a11/s as p11, v * exp(-0.5 * (4 + 4 / 2.25::double)) + v*v*a12/s as p12,
+      v + 0.1 + v*v*a22/s as p22, v*b1/s as f1, v*b2/s as f2 from st cross join best),
+    fp as (select v, s, value, price,
+      exp(v * (k1 * (p22*f1 - p12*f2) + k2 * (p11*f2 - p12*f1)) / (p11*p22 - p12*p12) * sp + mp) as pred
+      from k cross join ft cross join z where split = 'test')
+    select any_value(v) as variance, any_value(s) as noise, any_value(value) as bound, avg(abs(price - pred)) as mae,
+      sqrt(avg(pow(price - pred, 2))) as rmse, 1 - sum(pow(price - pred, 2)) / (count(*) * var_pop(price)) as r2 from fp)"""
+FITTED_RUNS = "runs as (" + " union all ".join(
+    f"select cast({run} as int) as run, * from {FITTED_RUN}".replace("'42'", f"'{run}'") for run in range(1, RUNS + 1)
+) + ")"
+_TO_SCALE = {"variance": 4, "noise": 4, "bound": 3, "mae": 2, "rmse": 2, "r2": 6}
+
+
+def _fitted_holdouts(spark, folder):
+    rows = stage(imputed(spark, folder).select("order_key", *PAIR, F.log("price").alias("log_price")), "holdouts")
+    return gp.fitted_holdouts(rows, PAIR, "log_price", "order_key", FIXED, RUNS)
+
+
+@query(f"with {FITTED_RUNS} select run, " + ", ".join(f"round({c}, {n}) as {c}" for c, n in _TO_SCALE.items()) + " from runs")
+def repeated_fitted_gp_holdouts(spark, folder):
+    """Ten hold-outs of a sparse process whose variance and noise are fitted anew in every run."""
+    found = _fitted_holdouts(spark, folder)
+    return found.select("run", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in _TO_SCALE.items()])
+
+
+@query(
+    f"with {FITTED_RUNS} "
+    + " union all ".join(
+        f"""select '{m}' as metric, count({m}) as runs, round(avg({m}), 2) as mean, round(stddev_samp({m}), 2) as sd,
+        round(min({m}), 2) as low, round(max({m}), 2) as high from runs"""
+        for m in ("mae", "rmse", "r2")
+    )
+)
+def repeated_fitted_gp_summary(spark, folder):
+    """Mean, deviation, low and high of the metrics of ten fitted hold-outs."""
+    return rounded(evaluate.holdout_summary(_fitted_holdouts(spark, folder)), 2)
+
+
 # --- fits: iterative, so no SQL text --------------------------------------------------------
 
 # As many inducing points as in the price study.
@@ -368,6 +415,21 @@ def _fitted(spark, folder, deep: bool):
     return ready, train, fit(train, ready.features, ready.target, z)
 
 
+@query()
+def repeated_fitted_gp_study(spark, folder):
+    """Ten fitted hold-outs on all 13 features with as many inducing points as in the price study.
+
+    Lengthscales are the root of the number of features. Maker codes come from one split for all runs.
+    """
+    coded = flow.coded_rows(encoded(spark, folder), "order_key", edges=EDGES)
+    names = flow.gp_features(coded)
+    rows = stage(coded.select("order_key", *[flag_number(F.col(c)).alias(c) for c in names], F.log("price").alias("log_price")))
+    scaled = encode.fit_scaler(rows, names).transform(rows.dropna())
+    z = gp.inducing_points(scaled, names, INDUCING)
+    start = gp.Hyper(np.full(len(names), len(names) ** 0.5), 1.0, 0.5, z)
+    return rounded(gp.fitted_holdouts(rows, names, "log_price", "order_key", start, RUNS))
+
+
 @query()
 def sparse_gp_relevance(spark, folder):
     """Inverse lengthscales of a fitted sparse process, highest first."""

@@ -120,11 +120,13 @@ def factor_rows(clean: DataFrame, key: str, seed: str = "42", edges: Sequence[fl
     return Prepared(shape(train), shape(test), features, "price_k", scaler)
 
 
+def gp_features(clean: DataFrame) -> tuple[str, ...]:
+    return (*NUMERIC, "turbo", "category_encoded", "gearbox_encoded", *drive_columns(clean), "maker_encoded")
+
+
 def gp_rows(clean: DataFrame, key: str, seed: str = "42", edges: Sequence[float] = PRICE_BIN_EDGES) -> Prepared:
     """Standardised features and standardised log price."""
-    features = (
-        *NUMERIC, "turbo", "category_encoded", "gearbox_encoded", *drive_columns(clean), "maker_encoded"
-    )
+    features = gp_features(clean)
     train, test = _maker_coded(clean, key, seed, edges)
     number = lambda f: drop_missing(
         f.withColumns({c: flag_number(F.col(c)) for c in features}).withColumn("log_price", F.log("price")),

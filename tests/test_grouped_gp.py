@@ -82,3 +82,22 @@ def test_tuning_raises_the_likelihood_alike_on_both_paths(spark, frames):
         assert dense[g].lml > brute(x, y, x[:1], 0.5, 1.0, 0.01)[2] + 1
         assert dense[g].l > 1.0
         assert summed[g].lml > brute(x, y, x[:1], 0.5, 1.0, 0.01)[2] + 1
+
+
+@pytest.mark.parametrize("dense_upto", [400, 0])
+def test_a_group_is_solved_once_however_many_chunks_it_is_scored_in(spark, frames, monkeypatch, dense_upto):
+    parts, _, train, _ = frames
+    xs = np.linspace(-2, 2, 300)
+    test = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "x": xs}) for g in parts]))
+    groups = gg.Groups(train, "g", "x", "y", dense_upto)
+    theta = gg.constant_theta(groups, [(np.log(0.5), 0.0, 2 * np.log(0.1))])
+    unknowns = gg.solutions(groups, theta).groupBy("g", "dense").count().collect()
+    assert len(unknowns) == 3 and all(r.dense == (dense_upto > 0) for r in unknowns)
+    whole = gg.predict(groups, theta, test, "x").toPandas().sort_values(["g", "x"])
+    monkeypatch.setattr(gg, "TEST_ROWS_PER_TASK", 40)
+    pieces = gg.predict(groups, theta, test, "x").toPandas().sort_values(["g", "x"])
+    assert np.allclose(whole.gp_mean, pieces.gp_mean, atol=1e-12) and np.allclose(whole.gp_var, pieces.gp_var, atol=1e-12)
+    for g, (x, y) in parts.items():
+        mean, var, _ = brute(x, y, xs, 0.5, 1.0, 0.01)
+        mine = pieces[pieces.g == g]
+        assert np.allclose(mine.gp_mean, mean, atol=1e-6) and np.allclose(mine.gp_var, var + 0.01, atol=1e-6)

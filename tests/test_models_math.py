@@ -201,3 +201,27 @@ def test_hierarchical_fit_raises_the_bound_and_scores(spark):
     scored = model.price(df)
     assert scored.where("pred <= 1 or pred is null").isEmpty()
     assert {"quality_score", "levy_score"} <= set(scored.columns)
+
+
+def test_fitted_holdouts_equal_one_fit_per_run(spark):
+    from lotwise.operators import encode, evaluate, sample
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + 2
+    y = 3 + np.sin(x[:, 0]) + 0.1 * x[:, 1] + 0.2 * rng.normal(size=300)
+    rows = [(i // 2, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))] + [(None, 1.0, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0, 1.0)]
+    df, names = spark.createDataFrame(rows, "id long, a double, b double, c double, y double").repartition(3), ["a", "b", "c"]
+    h = gp.Hyper(np.ones(3), 1.0, 0.5, rng.normal(size=(8, 3)), 0.1)
+    got = gp.fitted_holdouts(df, names, "y", "id", h, runs=3).orderBy("run").collect()
+    assert [r.run for r in got] == [1, 2, 3] and len({r.variance for r in got}) == 3
+    for r in got:
+        train, test = sample.train_test(df.dropna(), "id", str(r.run))
+        scaler = encode.fit_scaler(train, [*names, "y"])
+        model = gp.amplitude_fit(scaler.transform(train), names, "y", h)
+        priced = gp.price_band(model.predict(scaler.transform(test)), scaler, "y").withColumn("truth", F.exp(scaler.inverse(F.col("y"), "y")))
+        want = evaluate.evaluate(priced, "truth", "pred").first()
+        assert np.allclose([r.variance, r.noise, r.bound], [model.hyper.variance, model.hyper.noise, model.trace[-1]], rtol=1e-5)
+        assert np.allclose([r.mae, r.rmse, r.r2], [want.mae, want.rmse, want.r2], rtol=1e-5)
+    with pytest.raises(ValueError):
+        gp.fitted_holdouts(df, names, "y", "id", h, runs=gp.MOST_RUNS + 1)
