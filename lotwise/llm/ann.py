@@ -3,7 +3,7 @@
 A bounded sample is joined to its nearest neighbours; that graph is cut into balanced parts by moving vertices to where
 their neighbours are, within a bound on each part's size. A small network learns which parts a vector's neighbours are in.
 It then places every row in its most probable part and sends each query to several, as many as the sample needs for
-``RECALL``. Rows of a part meet its queries in blocks of bounded size, however full the part is, and scores
+``RECALL``; a query that finds fewer than k there goes to all other parts as well. Rows of a part meet its queries in blocks of bounded size, however full the part is, and scores
 are computed anew in double precision.
 
 Vectors that are NULL, zero, of another length than the most frequent one, or hold NULL or non-finite components
@@ -245,7 +245,21 @@ def search(vectors: DataFrame, asks: str, k: int = 5, key: str = "vec_id", vecto
 
     placed = written(rows.mapInArrow(route, "id long, v array<double>, parts array<long>"), "placed")
     base = placed.select("id", "v", F.col("parts")[0].alias("part"))
-    asked = placed.where(asks).select("id", "v", F.explode("parts").alias("part"))
+    asked = placed.where(asks)
+    found = _met(base, asked.select("id", "v", F.explode("parts").alias("part")), k)
+    if many < router.w2.shape[1]:
+        found = written(found, "found")
+        enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short = asked.join(enough, asked.id == enough.query_id, "left_anti")
+        others = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(router.w2.shape[1] - 1).cast("long")), "parts")
+        found = found.unionByName(_met(base, short.select("id", "v", F.explode(others).alias("part")), k))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def _met(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the k nearest rows of ``base`` (id, v, part) in every part that a row of ``asked`` (id, v, part) names."""
     full = base.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     wanted = asked.groupBy("part").agg(F.count(F.lit(1)).alias("queries"))
     # At most as many rows as there are parts.
@@ -270,10 +284,7 @@ def search(vectors: DataFrame, asks: str, k: int = 5, key: str = "vec_id", vecto
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, found), strict=True)))
 
     keys = ("part", "r", "q")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, id long, score double")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -210,8 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         names = unused(docs, "__words", "__spans", "__items")
         found = _searched(docs, parts[0], text, WINDOW, names)
         return found.where(~_contaminated(F.col(names[0]), _hit(names[1]))).select(*docs.columns)
-    row, mark = F.col(key), F.xxhash64(text)
-    rows = docs.select(F.struct(row.alias("key"), mark.alias("mark")).alias("__row"), text)
-    bad = contamination(rows, benchmark, "__row", text, item).where("contaminated").select("__row").distinct()
-    own = F.struct(row.alias("key"), mark.alias("mark"))
-    return docs.join(bad, own.eqNullSafe(F.col("__row")), "left_anti")
+    own = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("mark"))
+    (name,) = unused(docs, "__row")
+    bad = contamination(docs.select(own.alias(name), text), benchmark, name, text, item).where("contaminated").select(name).distinct()
+    return docs.join(bad, own.eqNullSafe(F.col(name)), "left_anti")

@@ -4,11 +4,11 @@ Target and raw text are each described by a bag of hashed word 1- and 2-grams. A
 log ratio of the two smoothed models over its n-grams. Adding Gumbel noise and taking the k largest draws k documents
 without replacement in proportion to their weights; the noise is a hash of the key, so a draw can be repeated.
 
-A log ratio summed over a long text swamps any noise, so it counts as that of ``EFFECTIVE`` n-grams at most: longer texts
-are scaled down to their mean per n-gram times that number.
+The log weight is the plain sum over all n-grams of a text, whatever its length: long texts are more surely told apart than
+short ones, and noise matters where the two models hardly differ.
 
-Raw counts cover all documents and target counts all target documents. The keys of these are cut by hash into blocks of
-about ``BLOCK_KEYS``, each broadcast in a pass of its own, so that no text is shuffled. NULL, empty and blank texts have no n-grams and the log weight 0. Repeated rows share
+Raw counts cover all documents and target counts all target documents: one pass over the texts for each, however many target keys
+there are. Target texts meet their keys in a shuffle by key. NULL, empty and blank texts have no n-grams and the log weight 0. Repeated rows share
 noise and fate; a tie at the edge is settled by the key. Without target texts all weights are 0.
 """
 
@@ -29,9 +29,6 @@ from pyspark.sql import functions as F
 from lotwise.llm.corpus import DOUBLE, LONG, slices, with_text_columns, written
 
 BUCKETS = 1 << 16
-# Keys of target documents that are broadcast at a time, about.
-BLOCK_KEYS = 200_000
-EFFECTIVE = 200
 # Added to every bucket's count.
 SMOOTHING = 1.0
 BATCH_BYTES = 4 << 20
@@ -69,39 +66,37 @@ class Ratio:
         owner, bucket = hashed_ngrams(texts)
         n = np.bincount(owner, minlength=len(texts))
         total = np.bincount(owner, self.log_ratio[bucket], minlength=len(texts))
-        return total * np.minimum(1.0, EFFECTIVE / np.maximum(n, 1)), n
+        return total, n
 
 
-def fit(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text", most: int = BLOCK_KEYS) -> Ratio:
-    """Counts n-grams over all documents (raw) and over those with a key in ``target_keys``, about ``most`` keys at a time."""
-    keys = written(target_keys.select(F.col(key).alias("__key")).where("__key is not null").distinct(), "target_keys")
-    blocks = max(1, -(-keys.count() // most))
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+def counted(texts: DataFrame) -> np.ndarray:
+    """N-grams of a text column by bucket, over all its rows."""
+    name = texts.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        every = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for part, found in slices(batch, "text", BATCH_BYTES):
-                owner, bucket = hashed_ngrams(found)
-                mine = part.column(1).to_numpy(zero_copy_only=False)
-                every += np.bincount(bucket, minlength=BUCKETS)
-                good += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
+            for _, found in slices(batch, name, BATCH_BYTES):
+                every += np.bincount(hashed_ngrams(found)[1], minlength=BUCKETS)
         seen = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(every[seen]), pa.array(good[seen])], names=["bucket", "raw", "target"])
-
-    for block in range(blocks):
-        chosen = keys.where(F.pmod(F.xxhash64("__key"), F.lit(blocks)) == block).withColumn("__target", F.lit(True))
-        # The first pass counts all documents, the others only those of their block.
-        marked = rows.join(F.broadcast(chosen), "__key", "inner" if block else "left").select("text", F.coalesce("__target", F.lit(False)).alias("target"))
-        found = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        got = found.toArrow()  # at most BUCKETS rows
-        at = got["bucket"].to_numpy()
-        if not block:
-            raw[at] += got["raw"].to_numpy()
-        target[at] += got["target"].to_numpy()
-    if target.sum() <= BUCKETS * SMOOTHING:
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(every[seen])], names=["bucket", "n"])
+
+    got = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    out = np.zeros(BUCKETS, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def fit(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text") -> Ratio:
+    """Counts n-grams over all documents (raw) and over those with a key in ``target_keys`` (NULL is none)."""
+    keys = target_keys.select(F.col(key).alias("__key")).where("__key is not null").distinct()
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
+    raw = counted(rows.select("text"))
+    # Always by shuffle, so that the cost per byte is the same at every size; only the distinct keys are held, texts stream past them.
+    target = counted(rows.where("__key is not null").join(keys.hint("shuffle_hash"), "__key", "left_semi").select("text"))
+    if not target.sum():
         return Ratio(np.zeros(BUCKETS))
+    raw, target = raw + SMOOTHING, target + SMOOTHING
     return Ratio(np.log(target / target.sum()) - np.log(raw / raw.sum()))
 
 

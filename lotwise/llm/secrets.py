@@ -252,7 +252,7 @@ def scanned(docs: DataFrame, forest: Forest, text: str = "text", names: tuple[st
 
     ``start`` counts characters from 1. The two columns replace ones of the same names.
     """
-    matches, parts, listed, scores = unused(docs, "__matches", "__parts", "__listed", "__scores")
+    matches, parts, listed, scores, found, masked_text = unused(docs, "__matches", "__parts", "__listed", "__scores", "__spans", "__clean")
     cut = _cut(docs, text, matches, parts).withColumn(listed, F.expr(f"transform({_listed(matches, parts)}, c -> {_features(forest.dictionary)})"))
     judged = cut.withColumn(scores, F.expr(f"transform({listed}, f -> {forest.score('f')})"))
     # Ends of the stretches and candidates so far, one after the other.
@@ -263,10 +263,10 @@ def scanned(docs: DataFrame, forest: Forest, text: str = "text", names: tuple[st
     spans = spans.replace("z['0']", f"z.{matches}").replace("z['1']", f"z.{scores}")
     rebuilt = f"""array_join(transform({parts}, (p, i) -> if(i < size({matches}), concat(p, if({scores}[i] >= {THRESHOLD}, '{MASK}', {matches}[i])), p)), '')"""
     kind = "array<struct<start:int,length:int,score:double,secret:boolean>>"
-    out = judged.withColumn("__spans", F.when(F.size(matches) > 0, F.expr(spans)).otherwise(F.array()).cast(kind))
-    out = out.withColumn("__clean", F.when(F.size(matches) > 0, F.expr(rebuilt)).otherwise(F.col(text)))
+    out = judged.withColumn(found, F.when(F.size(matches) > 0, F.expr(spans)).otherwise(F.array()).cast(kind))
+    out = out.withColumn(masked_text, F.when(F.size(matches) > 0, F.expr(rebuilt)).otherwise(F.col(text)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return out.select(*kept, F.col("__spans").alias(names[0]), F.col("__clean").alias(names[1]))
+    return out.select(*kept, F.col(found).alias(names[0]), F.col(masked_text).alias(names[1]))
 
 
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Forest:

@@ -201,9 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str
     told = labels.select(F.col(key).alias("__key"), *[F.expr(c).cast("int").alias(y) for y, c in zip(truth, categories.values(), strict=True)])
     told = told.dropna().groupBy("__key").agg(*[F.min(y).alias(y) for y in truth])
     chosen = told.orderBy(F.xxhash64("__key"), "__key").limit(sample)
-    # One row of each chosen document: repeated rows of a key have one text or the smallest one.
+    # One row of each chosen document: the smallest text of a repeated key.
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(F.broadcast(chosen), "__key")
-    rows = rows.dropDuplicates(["__key"]).persist()
+    rows = rows.groupBy("__key", *truth).agg(F.min("text").alias("text")).persist()
     kinds = ", ".join(["feature long", "n long", *[f"n_{i} long" for i in range(len(names))]])
     counts = rows.select("text", *truth).mapInArrow(_evidence("text", truth), kinds).groupBy("feature").sum()
     counts = counts.toDF("feature", "_f", "n", *[f"n_{i}" for i in range(len(names))]).where(F.col("n") >= LEAST_DOCS)

@@ -85,6 +85,30 @@ def test_recall_with_learned_parts_on_clusters(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_queries_that_find_too_few_go_to_the_other_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4) + (8, 0, 0, 0)) for i in range(200)] + [(1000 + 50 * i, rng.normal(size=4) - (8, 0, 0, 0)) for i in range(2)]
+    # Part 0 is right of the origin, part 1 left of it, part 2 stays empty; one probe finds a single row on the left.
+    router = ann.Router(np.eye(4), np.zeros(4), np.array([[1.0, 0, 0]] + [[0.0, 0, 0]] * 3), np.array([0.0, 1e-9, -9]), 1)
+    router.w1[0, 1], router.w1[1, 1] = -1.0, 0.0
+    router.w2[:] = [[1, 0, 0], [0, 1, 0], [0, 0, 0], [0, 0, 0]]
+    placed = router.parts(np.array([v for _, v in rows]), 1)[:, 0]
+    assert set(placed) == {0, 1} and (placed == 1).sum() == 2
+    got, want = found(spark, rows, router=router), brute(rows, lambda i: i % 50 == 0, 5)
+    same(got, want)
+
+
+def test_recall_outside_the_sample_on_the_given_vectors(spark):
+    """Fitted on half of the vectors: the other half of the rows and queries is new to the router."""
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    router = ann.fit(ann.usable(frame, "vec_id", "embedding"), sample=len(rows) // 2)
+    assert 1 < router.w2.shape[1]
+    got, want = found(spark, rows, router=router), brute(rows, lambda i: i % 50 == 0, 5)
+    hits = [len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]
+    assert np.mean(hits) >= 0.9
+
+
 def test_query_recall_against_brute_force(spark):
     from lotwise.llm.queries import QUERIES
 

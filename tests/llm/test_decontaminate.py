@@ -100,7 +100,11 @@ def test_several_blocks_and_small_shards_change_nothing(spark, monkeypatch):
     assert len(decontaminate.blocks(frames(spark, docs, items)[1])) > 2
     assert got(spark, docs, items) == want
     cleaned = decontaminate.clean(*frames(spark, docs, items))
-    assert sorted((r.doc_id for r in cleaned.collect()), key=repr) == sorted((w[0] for w in want if not w[-1]), key=repr)
+    left = sorted((w[0] for w in want if not w[-1]), key=repr)
+    assert sorted((r.doc_id for r in cleaned.collect()), key=repr) == left
+    frame, benchmark = frames(spark, docs, items)
+    clashing = decontaminate.clean(frame.selectExpr("*", "7 as __row"), benchmark).collect()
+    assert sorted((r.doc_id for r in clashing), key=repr) == left and {r["__row"] for r in clashing} == {7}
 
 
 def test_clean_documents_stay_as_they_are(spark):

@@ -104,11 +104,45 @@ def test_query_keeps_good_documents(spark):
     assert share[1] > 0.95 and share[0] < 0.3
 
 
-def test_all_target_documents_count_block_by_block(spark, docs):
+def test_repeated_rows_and_target_keys(spark, docs):
     keys = docs.where("score").select("doc_id")
-    rows = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, "g1 g2", True)], docs.schema))
-    want, parts = resample.fit(rows, keys), resample.fit(rows, keys.union(keys), most=50)
-    assert np.array_equal(want.log_ratio, parts.log_ratio)
+    rows = docs.union(docs.where("doc_id < 7")).union(spark.createDataFrame([(None, "g1 g2", True)], docs.schema))
+    got, again = resample.fit(rows, keys), resample.fit(rows, keys.union(keys))
+    assert np.array_equal(got.log_ratio, again.log_ratio)
+    target = Counter()
+    for i, text, fine in made() + made()[:7]:
+        if fine:
+            target.update(resample.hashed_ngrams([text.encode()])[1].tolist())
+    marked = rows.where("score and doc_id is not null")
+    assert np.array_equal(resample.counted(marked.select("text")), np.bincount(list(target.elements()), minlength=resample.BUCKETS))
+
+
+def test_weights_scores_and_drawn_set_equal_a_plain_version(spark):
+    """The registered query against Python: every log weight, every score, and the k largest."""
+    from lotwise.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").collect()
+    good = {r.doc_id for r in labels if r.quality == 1}
+    grams = {i: resample.hashed_ngrams([t.encode()])[1].tolist() for i, t in docs}
+    raw, target = Counter(), Counter()
+    for i, found in grams.items():
+        raw.update(found)
+        if i in good:
+            target.update(found)
+    sizes = sum(target.values()) + resample.BUCKETS, sum(raw.values()) + resample.BUCKETS
+    weight = {i: math.fsum(math.log((target[b] + 1) / sizes[0]) - math.log((raw[b] + 1) / sizes[1]) for b in g) for i, g in grams.items()}
+    keyed = spark.createDataFrame([(i,) for i, _ in docs], "doc_id long").selectExpr("doc_id", f"xxhash64({resample.SEED}, cast(doc_id as string)) as h").collect()
+    noise = {r.doc_id: -math.log(-math.log(((r.h % 2**64 >> 11) + 0.5) / 2**53)) for r in keyed}
+    rows = QUERIES["op9_resample"](spark, folder).collect()
+    assert {r.doc_id for r in rows} == set(grams) and len(rows) == len(docs)
+    for r in rows:
+        assert r.n_grams == len(grams[r.doc_id]) and math.isclose(r.log_weight, weight[r.doc_id], rel_tol=1e-9, abs_tol=1e-7)
+        assert math.isclose(r.score, weight[r.doc_id] + noise[r.doc_id], rel_tol=1e-9, abs_tol=1e-7)
+    k = round(sum(r.quality == 1 for r in labels) / len([r for r in labels if r.quality is not None]) * len(docs))
+    best = sorted(weight, key=lambda i: -(weight[i] + noise[i]))[:k]
+    assert {r.doc_id for r in rows if r.selected} == set(best)
 
 
 def test_no_default_bound_on_target_documents(spark):

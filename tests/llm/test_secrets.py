@@ -123,12 +123,13 @@ def test_scan_equals_plain_python(docs, forest):
 
 
 def test_masked_documents_keep_their_columns(spark, docs, forest):
-    mine = docs.withColumn("n_chars", F.length("text")).withColumn("__clean_text", F.lit(3))
+    mine = docs.withColumn("n_chars", F.length("text")).withColumn("__clean_text", F.lit(3)).withColumn("__spans", F.lit("a")).withColumn("__clean", F.lit(4))
     out = secrets.masked(mine, forest, length="n_chars")
     assert out.columns == mine.columns and out.dtypes == mine.dtypes
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[904].text == f'token = "{secrets.MASK}""' and rows[904].n_chars == len(rows[904].text)
     assert rows[900].text is None and rows[901].text == "" and rows[902].text == "x"
+    assert {(r["__clean_text"], r["__spans"], r["__clean"]) for r in rows.values()} == {(3, "a", 4)}
     assert secrets.masked(mine.limit(0), forest).collect() == []
 
 

@@ -79,6 +79,15 @@ def test_odd_texts_repeated_rows_and_clashing_names(spark, chain):
     assert toxicity.without_toxic(docs.limit(0), chain).collect() == []
 
 
+def test_the_smallest_text_of_a_repeated_key_is_learned_from(spark, tables, chain):
+    _, docs, labels = tables
+    larger = docs.withColumn("text", F.concat(F.lit("~ "), "text"))
+    again = toxicity.fit(larger.unionByName(docs).repartition(5), labels, CATEGORIES)
+    assert again.place == chain.place
+    for a, b in zip(again.models, chain.models):
+        assert np.allclose(a.weights, b.weights, atol=1e-6)
+
+
 def test_labels_that_teach_nothing(spark, tables):
     _, docs, labels = tables
     nothing = toxicity.fit(docs, labels.limit(0), CATEGORIES)
