@@ -1,9 +1,9 @@
 """Exact quantiles with linear interpolation, at any size.
 
 ``percentile`` keeps one counter per distinct value of a group. That is the right plan while a
-sketch says there are few distinct values. Beyond that, the wanted rank is bracketed with a
-mergeable quantile sketch, the bracket is verified by counting, and only the values inside it
-are looked at again, until few distinct values remain. No task ever holds a whole group.
+sketch says there are few distinct values. Beyond that, one scan makes a mergeable quantile sketch per
+group, which brackets all wanted ranks at once; a second scan verifies the brackets by counting and writes the
+few values inside them. No task ever holds a whole group.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.session import settle
+from lotwise.session import settle, stage
 
 FEW_DISTINCT = 500_000
-GRID = 1_000
+# Size of a quantile sketch; its ranks are off by about 2.3 / SKETCH ** 0.9, so brackets reach SPREAD / SKETCH to either side.
+SKETCH = 4096
+SPREAD = 12
+CELLS = 64
 
 
 def distinct_sketch(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
@@ -52,77 +55,113 @@ def quantiles(
 
 
 def bracketed_quantiles(
-    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (), limit: int = FEW_DISTINCT
+    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = (), limit: int = FEW_DISTINCT, sketch: int = SKETCH
 ) -> DataFrame:
-    """The large-data path of ``quantiles``: bracket, verify by counting, look again."""
+    """The large-data path of ``quantiles``, in two scans of the rows: sketch, then count.
+
+    The second scan counts what lies below every bracket and writes the distinct values inside with their counts;
+    everything after it reads that table. A bracket that a sketch put beside the rank shows in the counts: its group is
+    counted again with a wider one, in the end the whole range. Groups of few values, or with NaN (the largest value),
+    start with the whole range.
+    """
     keys = [*by, "feature"]
     limit = max(limit, 4)
-    values = (
-        df.unpivot(list(by), list(cols), "feature", "value")
-        .where(F.col("value").isNotNull())
-        .select(*[F.col(k).alias(f"_{k}") for k in keys], "value")
-    )
-    groups = values.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(
-        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
+    renamed = [F.col(k).alias(f"_{k}") for k in keys]
+    values = df.unpivot(list(by), list(cols), "feature", "value").where(F.col("value").isNotNull()).select(*renamed, "value")
+    number = F.when(~F.isnan("value"), F.col("value"))
+    groups = stage(
+        values.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(
+            F.count("value").alias("n"), F.count(number).alias("numbers"), F.min("value").alias("least"),
+            F.max("value").alias("most"), F.kll_sketch_agg_double(number, F.lit(sketch)).alias("sketch"),
+        ),
+        "sketches",
+    )
     wanted = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
-    rank = (F.col("n") - 1) * F.col("q")
-    state = settle(
-        groups.select("*", F.explode(wanted).alias("w"))
-        .select(*keys, "n", "lo", "hi", "w.slot", "w.q")
-        .select("*", F.floor(rank).alias("low_rank"), (rank - F.floor(rank)).alias("part"))
-        .withColumn("high_rank", F.least(F.col("low_rank") + 1, F.col("n") - 1))
-        .withColumn("below", F.lit(0).cast("long"))
+    rank = (F.col("n") - 1) * F.col("w.q")
+    ranks = groups.drop("sketch").select("*", F.explode(wanted).alias("w")).select(
+        *keys, "w.slot", "n", F.floor(rank).alias("low_rank"), (rank - F.floor(rank)).alias("part")
     )
-    match = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
-    keyed = [*keys, "slot"]
-    slack = 0  # grid steps that brackets are widened by on both sides
-    while True:
-        inside = values.join(state, match).where(F.col("value").between(F.col("lo"), F.col("hi")))
-        widest = inside.groupBy(*keyed).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0]
-        if (widest or 0) <= limit:
-            break
-        grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-        cuts = inside.groupBy(*keyed).agg(
-            F.percentile_approx("value", grid, F.lit(20 * GRID)).alias("cuts"), F.count("value").alias("m")
+    ranks = ranks.withColumn("high_rank", F.least(F.col("low_rank") + 1, F.col("n") - 1)).drop("n")
+    given = [*keys, "slot", "low_rank", "high_rank", "part"]
+    counted, todo, spread = None, settle(ranks), SPREAD / sketch
+    while not todo.isEmpty():
+        tagged = stage(_inside(values, todo, _brackets(groups, keys, qs, spread), keys, given), "inside")
+        tally = tagged.groupBy(*given).agg(
+            F.sum(F.when(F.col("value").isNull(), F.col("c")).otherwise(0)).alias("below"), F.sum("c").alias("upto")
         )
-        place = F.floor((F.col("low_rank") - F.col("below")) / F.greatest(F.col("m") - 1, F.lit(1)) * GRID)
-        spare = F.ceil(F.lit(2.0 * GRID) / F.col("m"))  # two more values when a grid step is less than one
-        narrowed = (
-            state.join(cuts, keyed)
-            .withColumn("lo", F.element_at("cuts", F.greatest(place - slack, F.lit(1)).cast("int")))
-            .withColumn("hi", F.element_at("cuts", F.least(place + 4 + spare + slack, F.lit(GRID + 1)).cast("int")))
-            .drop("cuts", "m", "below")
-        )
-        narrowed = settle(narrowed)
-        counted = (
-            values.join(narrowed, match)
-            .where(F.col("value") <= F.col("hi"))
-            .groupBy(*keyed)
-            .agg(
-                F.count_if(F.col("value") < F.col("lo")).alias("below"),
-                F.count("value").alias("upto"),
-            )
-        )
-        checked = narrowed.join(counted, keyed)
-        bad = checked.where((F.col("below") > F.col("low_rank")) | (F.col("upto") <= F.col("high_rank")))
-        checked = settle(checked.drop("upto"))
-        if bad.isEmpty():
-            state, slack = checked, 0
-        else:  # a sketch missed the rank: look at the same range again with wider brackets
-            slack = max(4, 4 * slack)
-    weights = inside.groupBy(*keyed, "below", "low_rank", "high_rank", "part", "value").agg(F.count("value").alias("c"))
-    running = F.col("below") + F.sum("c").over(Window.partitionBy(*keyed).orderBy("value"))
+        right = (F.col("below") <= F.col("low_rank")) & (F.col("upto") > F.col("high_rank"))
+        tally = settle(tally.withColumn("right", right))
+        found = _joined(tagged.where(F.col("value").isNotNull()), tally.where("right").drop("upto", "right"), given)
+        counted = found if counted is None else counted.unionByName(found)
+        # a bracket without any row at all has no tally either
+        todo = settle(_joined(todo, tally.where("right").select(*given), given, "left_anti"))
+        spread *= 8
+    if counted is None:
+        empty = values.limit(0)
+        return empty.select(*[F.col(f"_{k}").alias(k) for k in keys], F.array("value").alias("q"))
+    counted = _few_values(counted, given, limit)
+    running = F.col("below") + F.sum("c").over(Window.partitionBy(*given).orderBy("value"))
     low = F.min(F.when(F.col("upto") > F.col("low_rank"), F.col("value")))
     high = F.min(F.when(F.col("upto") > F.col("high_rank"), F.col("value")))
-    part = F.first("part")
-    points = (
-        weights.withColumn("upto", running).groupBy(*keyed).agg(((1 - part) * low + part * high).alias("value"))
-    )
-    found = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("q"))
+    points = counted.withColumn("upto", running).groupBy(*given).agg(low.alias("low"), high.alias("high"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    found = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", value.alias("value")))).alias("q"))
     return found.select(*keys, F.col("q.value").alias("q"))
 
 
+def _joined(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joined on ``names``, NULL equal to NULL; the columns of ``left``, then the other ones of ``right``."""
+    ours = right.withColumnsRenamed({n: f"__{n}" for n in names})
+    found = left.join(ours, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in names], how)
+    return found.drop(*[f"__{n}" for n in names])
+
+
+def _brackets(groups: DataFrame, keys: Sequence[str], qs: Sequence[float], spread: float) -> DataFrame:
+    """``(key…, slot, lo, hi)``: values between which the wanted ranks should lie, ``spread`` of all ranks to either side."""
+    ends = [min(max(q + side * spread, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    whole = (F.col("numbers") < F.col("n")) | (F.col("n") * F.lit(spread) < 4)
+    cuts = F.when(~whole, F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(e) for e in ends])))
+    slots = []
+    for i in range(len(qs)):
+        lo = F.lit(None) if ends[2 * i] == 0.0 else F.col("cuts")[2 * i]
+        hi = F.lit(None) if ends[2 * i + 1] == 1.0 else F.col("cuts")[2 * i + 1]
+        slots.append(F.struct(F.lit(i).alias("slot"), F.coalesce(lo, "least").alias("lo"), F.coalesce(hi, "most").alias("hi")))
+    return groups.withColumn("cuts", cuts).select(*keys, F.inline(F.array(*slots)))
+
+
+def _inside(values: DataFrame, todo: DataFrame, brackets: DataFrame, keys: Sequence[str], given: Sequence[str]) -> DataFrame:
+    """``(given…, value, c)``: distinct values inside each bracket with counts; NULL stands for all values below it."""
+    state = settle(_joined(todo, brackets, [*keys, "slot"]))
+    met = values.join(state, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]).where(F.col("value") <= F.col("hi"))
+    value = F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")
+    return met.groupBy(*given, value).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _few_values(counted: DataFrame, given: Sequence[str], limit: int) -> DataFrame:
+    """Counted values with those left out that cannot be the answer, until no group has more than ``limit`` of them.
+
+    Each round cuts a group's values into ``CELLS`` cells, counts these exactly and keeps the ones that hold the two
+    ranks; ``below`` grows by what was left out under them.
+    """
+    group = [*given, "below"]
+    while True:
+        widest = counted.groupBy(*group).agg(F.count("value").alias("d")).agg(F.max("d")).first()[0]
+        if (widest or 0) <= limit:
+            return counted
+        number = F.when(~F.isnan("value"), F.col("value"))
+        grid = F.array(*[F.lit(i / CELLS) for i in range(CELLS + 1)])
+        sketched = counted.groupBy(*group).agg(F.count(number).alias("m"), F.kll_sketch_agg_double(number, F.lit(SKETCH)).alias("sketch"))
+        cuts = sketched.select(*group, F.when(F.col("m") > 0, F.kll_sketch_get_quantile_double("sketch", grid)).alias("cuts"))
+        cell = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0)).alias("cell")
+        placed = _joined(counted, settle(cuts), group).select(*group, "value", "c", cell)
+        cells = placed.groupBy(*group, "cell").agg(F.sum("c").alias("c"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        upto = F.col("below") + F.sum("c").over(Window.partitionBy(*group).orderBy("cell"))
+        near = cells.withColumn("upto", upto).where(F.col("upto") > F.col("low_rank")).where(F.col("upto") - F.col("c") <= F.col("high_rank"))
+        kept = near.groupBy(*group).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.col("upto") - F.col("c")).alias("now"))
+        inside = _joined(counted, settle(kept), group).where(F.col("value").between(F.col("lo"), F.col("hi")))
+        counted = stage(inside.select(*given, F.col("now").alias("below"), "value", "c"), "inside")
+
+
 def median_levels(
     df: DataFrame, value: str, levels: Sequence[Sequence[str]], limit: int = FEW_DISTINCT
 ) -> list[DataFrame]:

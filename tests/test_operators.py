@@ -27,6 +27,31 @@ def test_bracketed_quantiles_equal_numpy(spark, parts):
             assert np.allclose(row["q"], np.quantile(data[data.g == row["g"]].x, qs))
 
 
+def test_brackets_that_miss_are_widened(spark, monkeypatch):
+    """A sketch of eight values is far off: the counts show it, and the answer stays exact."""
+    rng = np.random.default_rng(3)
+    steps = np.concatenate([np.zeros(2000), rng.exponential(1.0, 3000) ** 6, 1e9 + np.arange(1000.0)])
+    data = pd.DataFrame({"g": [None if i % 2 else "a" for i in range(len(steps))], "x": steps})
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    qs = [0.0, 0.01, 0.33, 0.5, 0.84, 1.0]
+    monkeypatch.setattr(quantile, "SPREAD", 0.02)
+    got = {r["g"]: r["q"] for r in quantile.bracketed_quantiles(df, ["x"], qs, ["g"], 40, sketch=8).collect()}
+    assert set(got) == {None, "a"}
+    for name, mine in got.items():
+        rows = data[data.g.isna() if name is None else data.g == name]
+        assert np.allclose(mine, np.quantile(rows.x, qs))
+
+
+def test_bracketed_quantiles_with_nan_ties_and_empty_input(spark):
+    rows = [("n", float("nan"))] * 3 + [("n", float(i)) for i in range(7)] + [("t", 5.0)] * 90 + [("z", None)] * 4
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r["q"] for r in quantile.bracketed_quantiles(df, ["x"], [0.0, 0.5, 1.0], ["g"], 0).collect()}
+    assert set(got) == {"n", "t"}
+    assert got["n"][:2] == [0.0, 4.5] and np.isnan(got["n"][2])
+    assert got["t"] == [5.0, 5.0, 5.0]
+    assert quantile.bracketed_quantiles(df.where("x < -1"), ["x"], [0.5], ["g"]).collect() == []
+
+
 def test_quantiles_of_an_all_null_column(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     got = {r["feature"]: r["q"] for r in quantile.quantiles(df, ["a", "b"], [0.5]).collect()}
