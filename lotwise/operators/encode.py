@@ -186,7 +186,7 @@ def one_hot_levels(levels: DataFrame, key: str, prefix: str, most: int = 1000) -
     """Levels become columns, so more than ``most`` of them is an error, not a truncation."""
     rows = levels.select(key).orderBy(key).limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError(f"{key} has more than {most} levels; use a rank or target encoding")
+        raise ValueError(f"{key} has more than {most} levels; fit them with operators.levels, or use a rank or target encoding")
     return OneHot(key, prefix, tuple(r[0] for r in rows))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import encode, evaluate, linear, profile, sample
+from lotwise.operators import encode, evaluate, levels, linear, profile, sample
 from lotwise.plans import price_models as flow
-from lotwise.plans.frames import CODED, EDGES, ENCODED, KEYS, SPLIT, encoded, imputed
+from lotwise.plans.frames import CODED, EDGES, ENCODED, KEYS, SPLIT, encoded, imputed, is_test
 from lotwise.plans.profiling import mutual_information_sql
 from lotwise.plans.registry import query, rounded
 from lotwise.session import stage
+from lotwise.sources.tables import table
 
 PAIR = ["engine", "age"]
 
@@ -347,3 +348,55 @@ def repeated_holdout_summary(spark, folder):
     return rounded(evaluate.holdout_summary(found), 4)
 
 
+# --- a category of thousands of levels -----------------------------------------------------
+
+ALPHA = 2.0
+# The level block is eliminated: r is what is left of a part's count. Then two features by Cramer's rule.
+PARTS = f"""ln_rows as (select l_partkey, l_extendedprice as price, ln(1 + l_extendedprice) as y, cast(l_quantity as double) as x1,
+    cast(l_discount as double) as x2, {is_test("l_orderkey")} as test from lineitem),
+  lv as (select l_partkey, count(*) as n, count(*) * {ALPHA} / (count(*) + {ALPHA}) as r, avg(x1) as m1, avg(x2) as m2, avg(y) as my,
+    var_pop(x1) * count(*) as s11, covar_pop(x1, x2) * count(*) as s12, var_pop(x2) * count(*) as s22,
+    covar_pop(x1, y) * count(*) as t1, covar_pop(x2, y) * count(*) as t2 from ln_rows where not test group by l_partkey),
+  mid as (select sum(r * m1) / sum(r) as c1, sum(r * m2) / sum(r) as c2, sum(r * my) / sum(r) as cy from lv),
+  ss as (select sum(s11 + r * pow(m1 - c1, 2)) + {ALPHA} as s11, sum(s12 + r * (m1 - c1) * (m2 - c2)) as s12,
+    sum(s22 + r * pow(m2 - c2, 2)) + {ALPHA} as s22, sum(t1 + r * (m1 - c1) * (my - cy)) as t1,
+    sum(t2 + r * (m2 - c2) * (my - cy)) as t2 from lv, mid),
+  wt as (select (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) as w1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) as w2 from ss),
+  md as (select w1, w2, cy - w1 * c1 - w2 * c2 as bias from wt, mid),
+  pw as (select l_partkey, n, n / (n + {ALPHA}) * (my - bias - w1 * m1 - w2 * m2) as weight from lv, md)"""
+
+
+def _priced_parts(spark, folder):
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_discount", F.col("l_extendedprice").alias("price"), F.log1p("l_extendedprice").alias("y")
+    )
+    return sample.train_test(rows, "l_orderkey")
+
+
+def _part_ridge(train):
+    return levels.ridge_fit(levels.level_sums(train, ["l_quantity", "l_discount"], "y", "l_partkey"), ALPHA)
+
+
+@query(f"with {PARTS} select l_partkey, n, round(weight, 6) + 0.0 as weight from pw")
+def part_weights(spark, folder):
+    """Weight of every part in a ridge of the log price on quantity, discount and the one-hot part."""
+    train, _ = _priced_parts(spark, folder)
+    return rounded(_part_ridge(train).weights)
+
+
+@query(
+    f"""with {PARTS}, scored as (select price, exp(bias + w1 * x1 + w2 * x2 + coalesce(weight, 0)) - 1 as pred, weight is null as unseen
+      from ln_rows cross join md left join pw using (l_partkey) where test)
+    select count(*) as rows, count(*) filter (unseen) as unseen, round(avg(abs(price - pred)), 3) as mae,
+      round(sqrt(avg(pow(price - pred, 2))), 3) as rmse, round(1 - sum(pow(price - pred, 2)) / (count(*) * var_pop(price)), 6) as r2 from scored"""
+)
+def part_ridge_metrics(spark, folder):
+    """Test metrics of that ridge; a part without train rows adds nothing."""
+    train, test = _priced_parts(spark, folder)
+    fit = _part_ridge(train)
+    scored = fit.predict(test, "log_pred").withColumn("pred", F.expm1("log_pred"))
+    seen = fit.weights.select("l_partkey", F.lit(True).alias("seen"))
+    scored = stage(scored.join(seen, "l_partkey", "left").select("price", "pred", "seen"), "scored-parts")
+    counts = scored.agg(F.count(F.lit(1)), F.count_if(F.col("seen").isNull())).first()
+    found = evaluate.evaluate(scored, "price", "pred").select(F.lit(counts[0]).alias("rows"), F.lit(counts[1]).alias("unseen"), "*")
+    return rounded(found.withColumns({"mae": F.round("mae", 3), "rmse": F.round("rmse", 3)}))

@@ -12,7 +12,7 @@ NAMES = [
     "relevance_linear_posterior", "repeated_ridge_holdouts", "gp_price_bands", "deep_kernel_sums", "group_posterior",
     "factor_model_price", "periodic_plus_noise_block", "row_density", "factor_slopes", "factor_stationarity", "gp_sweep_points",
     "deep_kernel_bound", "sparse_gp_amplitudes", "settled_centres", "ridge_model_comparison", "ridge_model_coefficients",
-    "near_price_density", "repeated_fitted_gp_holdouts",
+    "near_price_density", "repeated_fitted_gp_holdouts", "part_weights", "part_ridge_metrics",
 ]
 
 
