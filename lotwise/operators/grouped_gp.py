@@ -417,7 +417,7 @@ def grouped_gp(
 
 
 def grouped_variational_gp(
-    train: DataFrame, test: DataFrame, key: str, x: str, y: str, dense_upto: int | None = None
+    train: DataFrame, test: DataFrame, key: str, x: str, y: str, dense_upto: int | None = None, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """Latent posterior per group with lengthscale, variance and noise fitted by the bound.
 
@@ -425,5 +425,5 @@ def grouped_variational_gp(
     exact one and the bound is the marginal likelihood, so no variational parameters are stepped.
     """
     groups = Groups(train, key, x, y, dense_upto)
-    theta = tune(groups, (log(0.5), 0.0, 0.0), (True, True, True))
+    theta = tune(groups, (log(0.5), 0.0, 0.0), (True, True, True), tolerance)
     return predict(groups, theta, test, x, include_noise=False)

@@ -13,6 +13,7 @@ NAMES = [
     "factor_model_price", "periodic_plus_noise_block", "row_density", "factor_slopes", "factor_stationarity", "gp_sweep_points",
     "deep_kernel_bound", "sparse_gp_amplitudes", "settled_centres", "ridge_model_comparison", "ridge_model_coefficients",
     "near_price_density", "repeated_fitted_gp_holdouts", "part_weights", "part_ridge_metrics",
+    "group_hyperparameters", "group_latent_posterior",
 ]
 
 
