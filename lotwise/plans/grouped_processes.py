@@ -121,12 +121,12 @@ def group_hyperparameters(spark, folder):
 
 
 @query(
-    f"""with recursive {SEARCHED} select event_id, ev.user_id, round(case when x = 0 then v * (a0 + e * a1) else v * (e * a0 + a1) end, 3)
-      as gp_mean, round(v - v * v * case when x = 0 then c00 + 2 * e * c01 + e * e * c11 else e * e * c00 + 2 * e * c01 + c11 end, 2)
+    f"""with recursive {SEARCHED} select event_id, ev.user_id, round(case when x = 0 then v * (a0 + e * a1) else v * (e * a0 + a1) end, 4)
+      as gp_mean, round(v - v * v * case when x = 0 then c00 + 2 * e * c01 + e * e * c11 else e * e * c00 + 2 * e * c01 + c11 end, 3)
       as gp_var from ev join post on ev.user_id = post.user_id"""
 )
 def group_latent_posterior(spark, folder):
     """Latent posterior per user with lengthscale, variance and noise fitted by the bound."""
     rows = _views(spark, folder)
     scored = gg.grouped_variational_gp(rows, rows.select("event_id", "user_id", "x"), "user_id", "x", "y", tolerance=SHARP)
-    return rounded(scored.select("event_id", "user_id", F.round("gp_mean", 3).alias("gp_mean"), F.round("gp_var", 2).alias("gp_var")))
+    return rounded(scored.select("event_id", "user_id", F.round("gp_mean", 4).alias("gp_mean"), F.round("gp_var", 3).alias("gp_var")))
