@@ -105,12 +105,8 @@ def newton(
     value, gradient, second = expansion(theta)
     trace, damping = [float(value)], DAMPING
     for _ in range(most):
-        bend = -(second + second.T) / 2
-        own = np.abs(np.diag(bend))
-        own = np.sqrt(np.maximum(own, 1e-12 * max(own.max(initial=0.0), 1e-300)))
-        curve, axes = np.linalg.eigh(bend / np.outer(own, own))
-        size, along = np.abs(curve), axes.T @ (gradient / own)
-        if 0.5 * float((along**2 / np.maximum(size, 1e-10)).sum()) <= tolerance**2 * max(abs(value), 1e-300):
+        bend, own, size, axes, along = _bent(gradient, second)
+        if _undamped_gain(size, along) <= tolerance**2 * max(abs(value), 1e-300):
             return theta, trace, gradient
         while True:
             way = axes @ (along / (size + damping)) / own
@@ -129,6 +125,56 @@ def newton(
     raise NotConverged(f"the value still changed after {most} steps")
 
 
+def _bent(gradient: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Minus the second derivatives, each parameter's own scale, and in these scales the curvatures, axes and slopes along them."""
+    bend = -(second + second.T) / 2
+    own = np.abs(np.diag(bend))
+    own = np.sqrt(np.maximum(own, 1e-12 * max(own.max(initial=0.0), 1e-300)))
+    curve, axes = np.linalg.eigh(bend / np.outer(own, own))
+    return bend, own, np.abs(curve), axes, axes.T @ (gradient / own)
+
+
+def _undamped_gain(size: np.ndarray, along: np.ndarray) -> float:
+    return 0.5 * float((along**2 / np.maximum(size, 1e-10)).sum())
+
+
+def remodelled(
+    theta: np.ndarray,
+    measured: Callable[[np.ndarray], tuple[tuple[float, np.ndarray, np.ndarray], Callable[[float], Callable]]],
+    tolerance: float = TOLERANCE,
+    most: int = 200,
+    most_inside: int = 5_000,
+) -> tuple[np.ndarray, list[float], np.ndarray]:
+    """Maximise by maximising one model after the other: the parameters, the value of each step, the last gradient.
+
+    ``measured`` reads the rows: it gives the expansion that ``newton`` takes, and a function that makes from a damping a model of
+    the value around these parameters. A model is itself an expansion, costs no pass, and is climbed by ``newton`` to its top;
+    it may be curved where the value is, so that a narrow bent ridge costs steps on the driver instead of passes.
+    A top that does not help is sought again with more damping. Ends as ``newton`` does, by the same test of the value itself.
+    """
+    (value, gradient, second), model = measured(theta)
+    trace, damping = [float(value)], 0.0
+    for _ in range(most):
+        _, _, size, _, along = _bent(gradient, second)
+        if _undamped_gain(size, along) <= tolerance**2 * max(abs(value), 1e-300):
+            return theta, trace, gradient
+        while True:
+            with np.errstate(all="ignore"):
+                top, inside, _ = newton(theta, model(damping), tolerance, most_inside)
+                found = _measured(measured, top)
+            promised = inside[-1] - inside[0]
+            if found is not None and found[0][0] >= value + 1e-4 * promised and promised > 0:
+                break
+            damping = max(damping * MORE, DAMPING)
+            if damping > 1e12:  # the value's own rounding hides what is left to gain
+                return theta, trace, gradient
+        if found[0][0] - value > 0.5 * promised:
+            damping = damping * LESS if damping > 1e-6 else 0.0
+        theta, ((value, gradient, second), model) = top, found
+        trace.append(float(value))
+    raise NotConverged(f"the value still changed after {most} steps")
+
+
 def slopes(function: Callable[[np.ndarray], np.ndarray], at: np.ndarray) -> np.ndarray:
     """Derivatives of a vector function that costs nothing, by central differences: one row per parameter."""
     out = []
@@ -147,6 +193,16 @@ def _expanded(expansion, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarr
     return found if np.isfinite(found[0]) and all(np.isfinite(f).all() for f in found[1:]) else None
 
 
+def _measured(measured, theta: np.ndarray) -> tuple | None:
+    made = []
+
+    def expansion(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        made.append(measured(at))
+        return made[0][0]
+
+    return None if _expanded(expansion, theta) is None else made[0]
+
+
 def _asked(found: tuple) -> tuple[float, np.ndarray]:
     return found[0], found[1]() if callable(found[1]) else found[1]
 

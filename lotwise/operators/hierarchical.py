@@ -16,7 +16,7 @@ Gauss–Hermite sum: no per-row random numbers, the same result at any partition
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from weakref import WeakKeyDictionary
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import linear, softplus_link
-from lotwise.operators.ascent import TOLERANCE, newton, slopes
+from lotwise.operators.ascent import TOLERANCE, remodelled, slopes
 from lotwise.operators.blocks import sum_blocks
 
 # Feature groups of the price study.
@@ -123,6 +123,26 @@ def _argument(lay: Layout, loc: np.ndarray, price: np.ndarray) -> tuple[np.ndarr
     return form, slope
 
 
+def _form_bend(lay: Layout, loc: np.ndarray, price: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Second derivatives of ``pull`` times the form of ``_argument`` in the means, those of the price weights at ``price``."""
+    at, d = lay.slices(), len(lay.columns)
+    (perf, *_), pq = price, loc[at["pq"]][0]
+    more = [{"quality": perf}, {"quality": pq, "performance": 1.0}, {"status": 1.0}, {"seniority": 1.0}]
+    rows = [at["pq"].start, *range(at["price"].start, at["price"].start + 3)]
+    bend, start = np.zeros((lay.size, lay.size)), 0
+    for f in FACTORS:
+        size = len(lay.groups[f])
+        own, pulls = [*range(at[f].start, at[f].stop), at[f"b_{f}"].start], np.append(pull[start : start + size], pull[d])
+        for row, adds in zip(rows, more, strict=True):
+            bend[row, own] += adds.get(f, 0.0) * pulls
+            bend[own, row] += adds.get(f, 0.0) * pulls
+        if f == "quality":
+            bend[rows[0], rows[1]] = bend[rows[1], rows[0]] = loc[own] @ pulls
+        start += size
+    bend[rows[1:], rows[1:]] += 2 * pull[d + 1]
+    return bend
+
+
 def _likelihood_block(block: np.ndarray, forms: Sequence[np.ndarray]) -> np.ndarray:
     """Per linear form: Σ over rows of the expected log-likelihood, of its derivatives in the argument's mean times ``[x, 1]``
     and in its variance, and of the second derivatives."""
@@ -236,33 +256,77 @@ def likelihood_terms(
 
     One pass over the rows.
     """
+    return _in_weights(theta, noise, _form_sums(df, target, theta, noise, lay), mom, lay)
+
+
+FormSums = list[tuple[float, np.ndarray, np.ndarray]]
+
+
+def _forms(theta: np.ndarray, noise: np.ndarray, lay: Layout) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per draw of the price weights: the linear form of the rows and its derivatives in means and log scales."""
     p, price = lay.size, lay.slices()["price"]
+    loc, scale = theta[:p], np.exp(theta[p:])
+    out = []
+    for eps in noise:
+        moved = eps * scale[price]
+        form, slope = _argument(lay, loc, loc[price] + moved)
+        in_scale = np.zeros_like(slope)
+        in_scale[price] = moved[:, None] * slope[price]
+        out.append((form, np.vstack([slope, in_scale])))
+    return out
 
-    def forms(theta: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        loc, scale = theta[:p], np.exp(theta[p:])
-        out = []
-        for eps in noise:
-            moved = eps * scale[price]
-            form, slope = _argument(lay, loc, loc[price] + moved)
-            in_scale = np.zeros_like(slope)
-            in_scale[price] = moved[:, None] * slope[price]
-            out.append((form, np.vstack([slope, in_scale])))
-        return out
 
-    now = forms(theta)
-    if not max(np.abs(form).max() for form, _ in now) < FAR:
+def _form_sums(df: DataFrame, target: str, theta: np.ndarray, noise: np.ndarray, lay: Layout) -> FormSums:
+    now = [form for form, _ in _forms(theta, noise, lay)]
+    if not max(np.abs(form).max() for form in now) < FAR:
         raise np.linalg.LinAlgError("a step beyond all numbers")
-    sums = likelihood_sums(df, target, [form for form, _ in now], lay)
+    return likelihood_sums(df, target, now, lay)
+
+
+def _in_weights(
+    theta: np.ndarray, noise: np.ndarray, sums: FormSums, mom: ColumnMoments, lay: Layout
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """From sums in the linear forms to value, gradient and second derivatives in means and log scales."""
+    p = lay.size
     value = -mom.n * (0.5 * np.log(2 * np.pi) + np.log(OBSERVATION_SCALE))
-    gradient, second, pulls = np.zeros(2 * p), np.zeros((2 * p, 2 * p)), []
-    for (_, slope), (part, pull, curve) in zip(now, sums, strict=True):
+    gradient, second, loc, at = np.zeros(2 * p), np.zeros((2 * p, 2 * p)), theta[:p], lay.slices()["price"]
+    for eps, (_, slope), (part, pull, curve) in zip(noise, _forms(theta, noise, lay), sums, strict=True):
         value += part / len(noise)
         gradient += slope @ pull / len(noise)
         second += slope @ curve @ slope.T / len(noise)
-        pulls.append(pull / len(noise))
-    # What the forms themselves bend by.
-    bent = slopes(lambda t: sum(slope @ pull for (_, slope), pull in zip(forms(t), pulls, strict=True)), theta)
-    return value, gradient, second + bent
+        # What the form itself bends by: in the means, and in the scales of the price weights, which move the draw.
+        moved = eps * np.exp(theta[p:][at])
+        bend, scales = _form_bend(lay, loc, loc[at] + moved, pull) / len(noise), slice(p + at.start, p + at.stop)
+        second[:p, :p] += bend
+        second[:p, scales] += bend[:, at] * moved
+        second[scales, :p] += moved[:, None] * bend[at]
+        second[scales, scales] += moved[:, None] * bend[at, at] * moved + np.diag(slope[scales] @ pull) / len(noise)
+    return value, gradient, second
+
+
+def _likelihood_model(
+    theta: np.ndarray, noise: np.ndarray, sums: FormSums, lay: Layout, damping: float
+) -> Callable[[np.ndarray], FormSums]:
+    """The sums at other weights, as their expansion in the linear forms at ``theta`` says; no pass.
+
+    The likelihood is close to a quadratic in the forms, while the forms are products of weights: what bends the bound is kept exactly.
+    Curvatures are turned downwards, and ``damping`` adds to each its own share, so that a model has a top.
+    """
+    before, bends = [form for form, _ in _forms(theta, noise, lay)], []
+    for _, _, curve in sums:
+        own = np.abs(np.diag(curve))
+        own = np.sqrt(np.maximum(own, 1e-12 * max(own.max(initial=0.0), 1e-300)))
+        size, axes = np.linalg.eigh((curve + curve.T) / 2 / np.outer(own, own))
+        bends.append(-np.outer(own, own) * ((axes * (np.abs(size) + damping)) @ axes.T))
+
+    def at(theta: np.ndarray) -> FormSums:
+        out = []
+        for (form, _), was, (part, pull, _), bend in zip(_forms(theta, noise, lay), before, sums, bends, strict=True):
+            step = form - was
+            out.append((part + pull @ step + 0.5 * step @ bend @ step, pull + bend @ step, bend))
+        return out
+
+    return at
 
 
 @dataclass(frozen=True)
@@ -327,16 +391,18 @@ def hierarchical_fit(
     particles: int = 16,
     seed: int = 42,
 ) -> FactorModel:
-    """Maximise the bound, full batch, by Newton steps. Cache ``df``: each step reads it once.
+    """Maximise the bound, full batch, by second-order steps. Cache ``df``: each step reads it once.
 
     The price weights' draws are the same normals at every step, so the bound is one smooth function, and the sums of
-    one pass hold its second derivatives: there are as many as weights squared, however many rows. Factors and price weights can
+    one pass hold its second derivatives: there are as many as weights squared, however many rows. Weights that share a product leave
+    a bent ridge, the narrower the more rows: it is followed on the driver, in the model that a pass leaves behind, so that
+    the number of passes does not grow with the rows. Factors and price weights can
     change sign together without changing the bound; the start, factors that raise the price, settles the sign.
     """
     lay = layout(groups)
     mom, noise = column_moments(df, lay), draws(particles, seed)
     level = df.agg(F.avg(target)).first()[0] or 1.0
-    theta, trace, gradient = newton(start(mom, lay, level - 1.0), lambda t: bound_expansion(df, target, t, noise, mom, lay), tolerance)
+    theta, trace, gradient = remodelled(start(mom, lay, level - 1.0), lambda t: measured_bound(df, target, t, noise, mom, lay), tolerance)
     return FactorModel(lay, theta[: lay.size], np.exp(theta[lay.size :]), tuple(trace), gradient)
 
 
@@ -364,6 +430,22 @@ def bound_expansion(
     df: DataFrame, target: str, theta: np.ndarray, noise: np.ndarray, mom: ColumnMoments, lay: Layout
 ) -> tuple[float, np.ndarray, np.ndarray]:
     """The bound with gradient and second derivatives; one pass."""
-    prior, in_prior = prior_terms(theta, mom, lay)
-    fit, in_fit, second = likelihood_terms(df, target, theta, noise, mom, lay)
-    return prior + fit, in_prior + in_fit, second + slopes(lambda t: prior_terms(t, mom, lay)[1], theta)
+    return measured_bound(df, target, theta, noise, mom, lay)[0]
+
+
+def measured_bound(
+    df: DataFrame, target: str, theta: np.ndarray, noise: np.ndarray, mom: ColumnMoments, lay: Layout
+) -> tuple[tuple[float, np.ndarray, np.ndarray], Callable[[float], Callable]]:
+    """The bound's expansion from one pass, and what makes a model of the bound around it, as ``remodelled`` takes them."""
+    sums = _form_sums(df, target, theta, noise, lay)
+
+    def whole(at: np.ndarray, sums: FormSums) -> tuple[float, np.ndarray, np.ndarray]:
+        prior, in_prior = prior_terms(at, mom, lay)
+        fit, in_fit, second = _in_weights(at, noise, sums, mom, lay)
+        return prior + fit, in_prior + in_fit, second + slopes(lambda t: prior_terms(t, mom, lay)[1], at)
+
+    def model(damping: float) -> Callable:
+        modelled = _likelihood_model(theta, noise, sums, lay, damping)
+        return lambda at: whole(at, modelled(at))
+
+    return whole(theta, sums), model

@@ -187,3 +187,21 @@ def test_samples_of_repeated_keys_do_not_depend_on_row_order(spark):
         for n, order in ((1, rows), (7, rows[::-1]))
     )
     assert one == two and len(one) == 33
+
+
+def test_the_factor_fit_takes_a_handful_of_passes_and_ends_where_newton_steps_end(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    names = ["q0", "q1", "p0", "s0", "e0", "l0"]
+    groups = {"quality": ("q0", "q1"), "performance": ("p0",), "status": ("p0", "s0"), "seniority": ("e0",), "levy": ("l0",)}
+    x = rng.normal(size=(4_000, 6))
+    y = np.logaddexp(0, 20 + 0.5 * x[:, 4] + 0.3 * x[:, 2]) + 1 + 5 * rng.normal(size=4_000)
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=[*names, "y"])).cache()
+    passes, real = [], hier.likelihood_sums
+    monkeypatch.setattr(hier, "likelihood_sums", lambda *a: passes.append(1) or real(*a))
+    model = hier.hierarchical_fit(df, "y", groups)
+    assert len(passes) <= 8
+    lay = hier.layout(groups)
+    mom = hier.column_moments(df, lay)
+    begin = hier.start(mom, lay, float(y.mean()) - 1.0)
+    theta, trace, _ = ascent.newton(begin, lambda t: hier.bound_expansion(df, "y", t, hier.draws(), mom, lay))
+    assert np.allclose(np.concatenate([model.loc, np.log(model.scale)]), theta, atol=1e-5) and np.isclose(model.trace[-1], trace[-1], rtol=1e-11)
