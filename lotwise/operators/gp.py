@@ -8,23 +8,22 @@ back for a second pass, which pushes it through the kernel (and the net) row blo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.functions.numeric import assemble, band, linspace
+from lotwise.functions.numeric import band, linspace
 from lotwise.operators.ascent import TOLERANCE, NotConverged, ascent, newton, slopes
 from lotwise.operators.blocks import sum_blocks
 from lotwise.operators.encode import Scaler
 from lotwise.operators.evaluate import evaluate
 from lotwise.operators.lookup import column_means
-from lotwise.operators.sample import hash_bucket
+from lotwise.operators.sample import hash_bucket, random_rows
 
 Net = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 # A deep kernel's fit ends at this change of the bound, three steps in a row. Its bound has no sharp end: the net has hundreds of
@@ -32,9 +31,18 @@ Net = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 DEEP_TOLERANCE = 2e-5
 
 
+# Rows of a block that are worked on at a time: their kernel matrix stays in a core's cache.
+PIECE = 1024
+
+
 # --- kernel and feature map on row blocks ---------------------------------------------------
 
 
+def _pieces(block: np.ndarray) -> Iterator[np.ndarray]:
+    for i in range(0, max(len(block), 1), PIECE):
+        yield block[i : i + PIECE]
+
+
 def rbf_block(x: np.ndarray, z: np.ndarray, scale: np.ndarray, variance: float) -> np.ndarray:
     xs, zs = x / scale, z / scale
     square = (xs**2).sum(1)[:, None] + (zs**2).sum(1)[None, :] - 2 * xs @ zs.T
@@ -358,28 +366,106 @@ def _fit(df, features, target, h, tolerance, learn_inducing) -> SparseGP:
     return replace(condition(df, features, target, h.unpack(theta, learn_inducing), trace), gradient=gradient)
 
 
+# What Spark's own k-means does by default: rounds of seeding, candidates a round as a multiple of the centres, steps, and the
+# move that counts as none.
+SEED_ROUNDS, SEED_FACTOR, CENTRE_STEPS, CENTRE_MOVE = 2, 2, 20, 1e-4
+
+
 def inducing_points(df: DataFrame, features: Sequence[str], m: int = 300, seed: int = 42) -> np.ndarray:
-    """k-means centres of the given (train) rows, in a stable order."""
-    vectors = df.select(array_to_vector(assemble(features)).alias("features"))
-    centres = np.array(KMeans(k=m, seed=seed).fit(vectors).clusterCenters())
-    return centres[np.lexsort(centres.T[::-1])]
+    """k-means centres of the given (train) rows, in a stable order; ``df`` is read once a step.
+
+    Seeding is k-means||: in each round a row becomes a candidate with a chance that grows with its squared distance to the candidates so
+    far. Candidates, weighted by their rows, are cut down to ``m`` on the driver; Lloyd steps over all rows follow.
+    """
+    rng = np.random.default_rng(seed)
+    found = np.array([list(r) for r in random_rows(df.select(*features).dropna(), 1, features, str(seed)).collect()], dtype=float)
+    for turn in range(SEED_ROUNDS):
+        cost = sum_blocks(df, features, 1, _cost_block, found)[0]
+        if cost > 0:
+            found = np.unique(np.vstack([found, _candidates(df, features, found, SEED_FACTOR * m / cost, seed + turn)]), axis=0)
+    if len(found) > m:
+        weights = sum_blocks(df, features, len(found) * (len(features) + 1), _assigned, found).reshape(len(found), -1)[:, 0]
+        found = _weighted_centres(found, weights, m, rng)
+    for _ in range(CENTRE_STEPS):
+        before, found = found, _moved(df, features, found)
+        if np.sqrt(((found - before) ** 2).sum(1)).max() <= CENTRE_MOVE:
+            break
+    return found[np.lexsort(found.T[::-1])]
+
+
+def _squares(block: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances less each row's own square, which does not matter to the nearest one."""
+    square = block @ (-2 * centres.T)
+    square += (centres**2).sum(1)
+    return square
+
+
+def _nearest_square(block: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    least = np.concatenate([_squares(rows, centres).min(1) for rows in _pieces(block)])
+    return np.maximum(least + (block**2).sum(1), 0.0)
+
+
+def _cost_block(block: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.array([_nearest_square(block, centres).sum()])
+
+
+def _candidates(df: DataFrame, features: Sequence[str], centres: np.ndarray, rate: float, seed: int) -> np.ndarray:
+    """Rows drawn with a chance of ``rate`` times their squared distance to the centres: a few per centre, however many rows."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def draw(batches):
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            block = batch.to_numpy(dtype=float)
+            known = ~np.isnan(block).any(axis=1)
+            chance = np.zeros(len(block))
+            if known.any():
+                chance[known] = rate * _nearest_square(block[known], shared.value)
+            yield batch[rng.random(len(block)) < chance]
+
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    rows = numbers.mapInPandas(draw, numbers.schema).collect()
+    shared.destroy()
+    return np.array([list(r) for r in rows], dtype=float).reshape(-1, len(features))
+
+
+def _weighted_centres(points: np.ndarray, weights: np.ndarray, m: int, rng: np.random.Generator, most: int = 30) -> np.ndarray:
+    """k-means++ and Lloyd steps over few weighted points."""
+    centres = points[[rng.choice(len(points), p=weights / weights.sum())]]
+    while len(centres) < m:
+        chance = weights * _nearest_square(points, centres)
+        if chance.sum() <= 0:
+            break
+        centres = np.vstack([centres, points[rng.choice(len(points), p=chance / chance.sum())]])
+    for _ in range(most):
+        nearest = _squares(points, centres).argmin(1)
+        total = np.bincount(nearest, weights, len(centres))[:, None]
+        sums = np.column_stack([np.bincount(nearest, weights * c, len(centres)) for c in points.T])
+        moved = np.where(total > 0, sums / np.maximum(total, 1e-300), centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
 
 
 def _assigned(block: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Per centre: the rows nearest to it (the first of equally near ones), and their sums."""
-    square = (block**2).sum(1)[:, None] - 2 * block @ centres.T + (centres**2).sum(1)
-    nearest = square.argmin(1)
-    out = np.zeros((len(centres), block.shape[1] + 1))
-    np.add.at(out, nearest, np.column_stack([np.ones(len(block)), block]))
-    return out.ravel()
+    if not len(block):
+        return np.zeros(len(centres) * (block.shape[1] + 1))
+    nearest = np.concatenate([_squares(rows, centres).argmin(1) for rows in _pieces(block)])
+    return np.column_stack([np.bincount(nearest, w, len(centres)) for w in (None, *block.T)]).ravel()
+
+
+def _moved(df: DataFrame, features: Sequence[str], centres: np.ndarray) -> np.ndarray:
+    """Each centre at the mean of the rows nearest to it; one without rows stays."""
+    found = sum_blocks(df, features, len(centres) * (centres.shape[1] + 1), _assigned, centres).reshape(len(centres), -1)
+    return np.where(found[:, :1] > 0, found[:, 1:] / np.maximum(found[:, :1], 1.0), centres)
 
 
 def lloyd(df: DataFrame, features: Sequence[str], centres: np.ndarray, most: int = 500) -> np.ndarray:
     """Moves centres to the mean of their rows until none moves any more; one pass a step. A centre without rows stays."""
     for _ in range(most):
-        size = len(centres) * (centres.shape[1] + 1)
-        found = sum_blocks(df, features, size, _assigned, centres).reshape(len(centres), -1)
-        moved = np.where(found[:, :1] > 0, found[:, 1:] / np.maximum(found[:, :1], 1.0), centres)
+        moved = _moved(df, features, centres)
         if np.abs(moved - centres).max() < 1e-12:
             return moved
         centres = moved

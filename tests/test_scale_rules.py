@@ -205,3 +205,19 @@ def test_the_factor_fit_takes_a_handful_of_passes_and_ends_where_newton_steps_en
     begin = hier.start(mom, lay, float(y.mean()) - 1.0)
     theta, trace, _ = ascent.newton(begin, lambda t: hier.bound_expansion(df, "y", t, hier.draws(), mom, lay))
     assert np.allclose(np.concatenate([model.loc, np.log(model.scale)]), theta, atol=1e-5) and np.isclose(model.trace[-1], trace[-1], rtol=1e-11)
+
+
+def test_inducing_points_are_centres_of_all_rows_by_block_sums(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 3)) * 20
+    x = (middles[:, None] + 0.1 * rng.normal(size=(40, 100, 3))).reshape(-1, 3)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc"))).repartition(4).cache()
+    passes, real = [], gp.sum_blocks
+    monkeypatch.setattr(gp, "sum_blocks", lambda *a: passes.append(1) or real(*a))
+    z = gp.inducing_points(df, list("abc"), 60, 7)
+    assert z.shape == (60, 3) and 0 < len(passes) <= gp.SEED_ROUNDS + 1 + gp.CENTRE_STEPS
+    square = ((x[:, None] - z) ** 2).sum(2)
+    assert square.min(1).mean() < 0.05
+    few = spark.createDataFrame(pd.DataFrame(np.repeat(np.eye(3), 50, axis=0), columns=list("abc")))
+    assert np.allclose(gp.inducing_points(few, list("abc"), 10, 7), np.eye(3)[np.lexsort(np.eye(3).T[::-1])])
+    assert np.array_equal(z, gp.inducing_points(df, list("abc"), 60, 7))
