@@ -221,3 +221,22 @@ def test_inducing_points_are_centres_of_all_rows_by_block_sums(spark, monkeypatc
     few = spark.createDataFrame(pd.DataFrame(np.repeat(np.eye(3), 50, axis=0), columns=list("abc")))
     assert np.allclose(gp.inducing_points(few, list("abc"), 10, 7), np.eye(3)[np.lexsort(np.eye(3).T[::-1])])
     assert np.array_equal(z, gp.inducing_points(df, list("abc"), 60, 7))
+
+
+def test_kernel_blocks_hold_no_whole_kernel_matrix():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    block, z = rng.normal(size=(20_000, 4)), rng.normal(size=(100, 3))
+    h = gp.Hyper(np.ones(3), 1.3, 0.5, z)
+    in_a, in_b = np.eye(100), rng.normal(size=100)
+    k = 1.3 * np.exp(-0.5 * ((block[:, None, :-1] - z) ** 2).sum(2))
+    tracemalloc.start()
+    sums, slope = gp._sum_block(block, h), gp._gradient_block(block, (h, in_a, in_b))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < k.nbytes / 2
+    assert np.allclose(sums[:10_000].reshape(100, 100), k.T @ k) and np.allclose(sums[10_000:-2], k.T @ block[:, -1])
+    e = (2 * k + np.outer(block[:, -1], in_b)) * k
+    assert np.isclose(slope[3], e.sum() / 1.3)
+    assert np.allclose(slope[4:].reshape(100, 3), e.T @ block[:, :-1] - e.sum(0)[:, None] * z)
