@@ -8,11 +8,12 @@ back for a second pass, which pushes it through the kernel (and the net) row blo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from lotwise.operators.encode import Scaler
 from lotwise.operators.evaluate import evaluate
 from lotwise.operators.lookup import column_means
 from lotwise.operators.sample import hash_bucket, random_rows
+from lotwise.session import stage
 
 Net = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 # A deep kernel's fit ends at this change of the bound, three steps in a row. Its bound has no sharp end: the net has hundreds of
@@ -150,8 +152,15 @@ def _sum_block(block: np.ndarray, h: Hyper) -> np.ndarray:
 
 
 def row_sums(df: DataFrame, features: Sequence[str], target: str, h: Hyper) -> RowSums:
+    return _unpacked(sum_blocks(df, [*features, target], _width(h), _sum_block, h), h)
+
+
+def _width(h: Hyper) -> int:
+    return len(h.z) ** 2 + len(h.z) + 2
+
+
+def _unpacked(flat: np.ndarray, h: Hyper) -> RowSums:
     m = len(h.z)
-    flat = sum_blocks(df, [*features, target], m * m + m + 2, _sum_block, h)
     return RowSums(flat[: m * m].reshape(m, m), flat[m * m : -2], float(flat[-2]), float(flat[-1]))
 
 
@@ -329,19 +338,22 @@ class SparseGP:
 
     def predict(self, df: DataFrame, include_noise: bool = False, mean: str = "gp_mean", var: str = "gp_var") -> DataFrame:
         """Predictive mean and latent variance per row; only the features leave the JVM."""
-        shared = df.sparkSession.sparkContext.broadcast((self.hyper, self.mean_weights, self.variance_form))
+        shared = df.sparkSession.sparkContext.broadcast(self)
         extra = self.hyper.noise if include_noise else 0.0
 
         @F.pandas_udf("mean double, var double")
         def score(*cols: pd.Series) -> pd.DataFrame:
-            h, weights, form = shared.value
-            k = h.kernel(np.column_stack([c.to_numpy(dtype=float) for c in cols]))
-            latent = np.maximum(h.variance - np.einsum("nm,nm->n", k @ form, k), 0.0)
-            return pd.DataFrame({"mean": k @ weights, "var": latent + extra})
+            fitted, latent = shared.value.predict_block(np.column_stack([c.to_numpy(dtype=float) for c in cols]))
+            return pd.DataFrame({"mean": fitted, "var": latent + extra})
 
         scored = df.withColumn("_gp", score(*[F.col(c).cast("double") for c in self.features]))
         return scored.withColumn(mean, F.col("_gp.mean")).withColumn(var, F.col("_gp.var")).drop("_gp")
 
+    def predict_block(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predictive mean and latent variance of a block of rows."""
+        k = self.hyper.kernel(x)
+        return k @ self.mean_weights, np.maximum(self.hyper.variance - np.einsum("nm,nm->n", k @ self.variance_form, k), 0.0)
+
     def relevance(self, spark: SparkSession) -> DataFrame:
         """Inverse lengthscales, highest first. A deep kernel scores learned features, hence ``latent_i``."""
         if self.hyper.net is None:
@@ -361,7 +373,10 @@ class SparseGP:
 
 def condition(df: DataFrame, features: Sequence[str], target: str, h: Hyper, trace: Sequence[float] = ()) -> SparseGP:
     """The optimal posterior for fixed hyper-parameters; one pass."""
-    s = row_sums(df, features, target, h)
+    return _conditioned(row_sums(df, features, target, h), features, h, trace)
+
+
+def _conditioned(s: RowSums, features: Sequence[str], h: Hyper, trace: Sequence[float] = ()) -> SparseGP:
     kuu_inv, _ = _inverse(h.kuu())
     b_inv, _ = _inverse(h.kuu() + s.a / h.noise)
     return SparseGP(tuple(features), h, b_inv @ s.b / h.noise, kuu_inv - b_inv, tuple(trace))
@@ -515,11 +530,83 @@ def _amplitudes(one: RowSums, h: Hyper) -> tuple[Hyper, list[float], np.ndarray]
 MOST_RUNS = 50
 
 
+def _test_sides(key: str, runs: int, test_one_in: int) -> Column:
+    """A number whose bit ``r - 1`` is set where run ``r`` tests the row; the run is the seed of its split."""
+    if runs > MOST_RUNS:
+        raise ValueError(f"at most {MOST_RUNS} runs at a time")
+    tested = [hash_bucket(F.col(key), test_one_in, str(r)) == 0 for r in range(1, runs + 1)]
+    return sum((F.when(t, float(1 << i)).otherwise(0.0) for i, t in enumerate(tested)), F.lit(0.0))
+
+
+def _run_scales(rows: DataFrame, cols: Sequence[str], runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of the columns over each run's train rows, as a ``Scaler`` has them, from one scan; a mean of no
+    value is NaN."""
+    left = F.array(*[F.when(F.shiftright(F.col("tests").cast("long"), r) % 2 == 0, r) for r in range(runs)])
+    trained = rows.select(*cols, F.explode(F.array_compact(left)).alias("run"))
+    moments = trained.groupBy("run").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    means, scales = np.full((runs, len(cols)), np.nan), np.ones((runs, len(cols)))
+    for r in moments.collect():  # one row per run
+        means[r["run"]] = [np.nan if r[f"m{i}"] is None else r[f"m{i}"] for i in range(len(cols))]
+        scales[r["run"]] = [r[f"s{i}"] or 1.0 for i in range(len(cols))]
+    return means, scales
+
+
 def _runs_block(block: np.ndarray, payload) -> np.ndarray:
-    """The sums of every run's train rows under the run's own scaling, one run after the other."""
-    h, means, scales = payload
-    tests = block[:, -1].astype(np.int64)
-    return np.concatenate([_sum_block((block[tests >> r & 1 == 0, :-1] - m) / s, h) for r, (m, s) in enumerate(zip(means, scales, strict=True))])
+    """The sums of every run's train rows under the run's own scaling, run after run, and in a run model after model."""
+    models, means, scales = payload
+    tests, sums = block[:, -1].astype(np.int64), []
+    for r, (m, s) in enumerate(zip(means, scales, strict=True)):
+        scaled = (block[tests >> r & 1 == 0, :-1] - m) / s
+        sums += [_sum_block(scaled, h) for h in models]
+    return np.concatenate(sums)
+
+
+def _run_sums(rows: DataFrame, cols: Sequence[str], models: Sequence[Hyper], means: np.ndarray, scales: np.ndarray) -> list[list[RowSums]]:
+    """Per run, per model: the sums over the run's train rows; one scan for all of them."""
+    widths = [_width(h) for h in models] * len(means)
+    flat = sum_blocks(rows, [*cols, "tests"], sum(widths), _runs_block, (models, means, scales))
+    parts = iter(np.split(flat, np.cumsum(widths)[:-1]))
+    return [[_unpacked(next(parts), h) for h in models] for _ in means]
+
+
+def repeated_holdouts(
+    df: DataFrame, features: Sequence[str], log_target: str, truth: str, key: str, models: Mapping[str, Hyper], runs: int = 10, test_one_in: int = 5
+) -> DataFrame:
+    """Repeated hold-outs of processes whose hyper-parameters are given: ``(model, run, mae, rmse, r2)``, metrics of ``truth``
+    against exp(target).
+
+    Every run scales features and target on its own train rows, conditions each model on them and is scored on its test rows. Runs
+    and models are dimensions of the sums: the rows are written once with their sides, three scans of them serve all. An unknown
+    value counts in no mean of its column, and its row neither in the sums nor in the metrics.
+    """
+    cols = [*features, log_target]
+    numbers = [F.col(c).cast("double").alias(c) for c in cols]
+    rows = stage(df.select(*numbers, F.col(truth).cast("double").alias("truth"), _test_sides(key, runs, test_one_in).alias("tests")), "holdouts")
+    means, scales = _run_scales(rows, cols, runs)
+    sums = _run_sums(rows, cols, list(models.values()), means, scales)
+    fits = [[_conditioned(s, features, h) for s, h in zip(of_run, models.values(), strict=True)] for of_run in sums]
+    shared = df.sparkSession.sparkContext.broadcast((fits, means[:, :-1], scales[:, :-1]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits, mean, scale = shared.value
+        for batch in batches:
+            block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            tests, parts = block[:, -1].astype(np.int64), []
+            for r, of_run in enumerate(fits):
+                mine = block[tests >> r & 1 == 1, :-1]
+                x = (mine[:, :-1] - mean[r]) / scale[r]
+                parts += [(np.full(len(x), i), np.full(len(x), r + 1), mine[:, -1], *fit.predict_block(x)) for i, fit in enumerate(of_run)]
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+            columns = [pa.array(np.concatenate(c), t, from_pandas=True) for c, t in zip(zip(*parts, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["model", "run", "truth", "gp_mean", "gp_var"])
+
+    scored = rows.select(*features, "truth", "tests").mapInArrow(score, "model int, run int, truth double, gp_mean double, gp_var double")
+    of_run = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("run"))
+    priced = price_band(scored, Scaler({log_target: of_run(means[:, -1])}, {log_target: of_run(scales[:, -1])}), log_target)
+    pairs = [(i, name, r) for i, name in enumerate(models) for r in range(1, runs + 1)]
+    named = df.sparkSession.createDataFrame(pairs, "model int, name string, run int")
+    found = named.join(evaluate(priced, "truth", "pred", ["model", "run"]), ["model", "run"], "left")
+    return found.select(F.col("name").alias("model"), "run", "mae", "rmse", "r2")
 
 
 def fitted_holdouts(
@@ -531,29 +618,14 @@ def fitted_holdouts(
     from the one before) and is scored on its test rows. Scales, inducing points and net are those of ``h``, in scaled units.
     The runs are a dimension of the sums, so three scans of ``df`` serve all of them. Rows with a NULL are left out.
     """
-    if runs > MOST_RUNS:
-        raise ValueError(f"at most {MOST_RUNS} runs at a time")
     cols, seeds = [*features, log_target], range(1, runs + 1)
-    tested = [hash_bucket(F.col(key), test_one_in, str(r)) == 0 for r in seeds]
-    side = sum((F.when(t, float(1 << i)).otherwise(0.0) for i, t in enumerate(tested)), F.lit(0.0))
-    rows = df.select(key, *cols).dropna().select(*cols, side.alias("tests"))
-
-    left = F.array(*[F.when(F.shiftright(F.col("tests").cast("long"), r - 1) % 2 == 0, r) for r in seeds])
-    trained = rows.select(*cols, F.explode(F.array_compact(left)).alias("run"))
-    moments = trained.groupBy("run").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    at = {r["run"]: r for r in moments.collect()}  # one row per run
-    if len(at) < runs:
+    rows = df.select(key, *cols).dropna().select(*cols, _test_sides(key, runs, test_one_in).alias("tests"))
+    means, scales = _run_scales(rows, cols, runs)
+    if np.isnan(means).all(1).any():
         raise ValueError("a run has no train rows")
-    means = np.array([[at[r][f"m{i}"] for i in range(len(cols))] for r in seeds])
-    scales = np.array([[at[r][f"s{i}"] or 1.0 for i in range(len(cols))] for r in seeds])
 
-    m = len(h.z)
-    width = m * m + m + 2
-    flat = sum_blocks(rows, [*cols, "tests"], width * runs, _runs_block, (replace(h, variance=1.0), means, scales))
     models, last = [], h
-    for r in range(runs):
-        part = flat[r * width : (r + 1) * width]
-        one = RowSums(part[: m * m].reshape(m, m), part[m * m : -2], float(part[-2]), float(part[-1]))
+    for (one,) in _run_sums(rows, cols, [replace(h, variance=1.0)], means, scales):
         last, trace, _ = _amplitudes(one, last)
         v = last.variance
         b_inv, _ = _inverse(last.kuu() + v**2 * one.a / last.noise)

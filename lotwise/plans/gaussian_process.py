@@ -302,20 +302,10 @@ HOLDOUTS = "runs as (" + " union all ".join(
 
 
 def _holdouts(spark, folder):
-    """``(model, run, mae, rmse, r2)`` at fixed hyper-parameters; all runs read one staged table."""
-    rows = stage(imputed(spark, folder).select(*KEYS, "price", *PAIR).withColumn("log_price", F.log("price")), "holdouts")
-
-    def run(model: gp.Hyper, seed: int):
-        train, test = sample.train_test(rows, "order_key", str(seed))
-        scaler = encode.fit_scaler(train, [*PAIR, "log_price"])
-        fitted = gp.condition(scaler.transform(train), PAIR, "log_price", model)
-        return evaluate.evaluate(gp.price_band(fitted.predict(scaler.transform(test)), scaler, "log_price"), "price", "pred")
-
-    frames = [
-        evaluate.repeated_holdout(partial(run, h), range(1, RUNS + 1)).select(F.lit(name).alias("model"), "*")
-        for name, (h, _) in MODELS.items()
-    ]
-    return stage(frames[0].unionByName(frames[1]), "metrics")
+    """``(model, run, mae, rmse, r2)`` at fixed hyper-parameters; all runs of both models share the scans."""
+    rows = imputed(spark, folder).select("order_key", "price", *PAIR, F.log("price").alias("log_price"))
+    models = {name: h for name, (h, _) in MODELS.items()}
+    return stage(gp.repeated_holdouts(rows, PAIR, "log_price", "price", "order_key", models, RUNS), "metrics")
 
 
 @query(f"with {HOLDOUTS} select model, run, round(mae, 3) as mae, round(rmse, 3) as rmse, round(r2, 6) as r2 from runs")

@@ -225,3 +225,30 @@ def test_fitted_holdouts_equal_one_fit_per_run(spark):
         assert np.allclose([r.mae, r.rmse, r.r2], [want.mae, want.rmse, want.r2], rtol=1e-5)
     with pytest.raises(ValueError):
         gp.fitted_holdouts(df, names, "y", "id", h, runs=gp.MOST_RUNS + 1)
+
+
+def test_repeated_holdouts_equal_one_model_per_run(spark):
+    from lotwise.operators import encode, evaluate, sample
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + 2
+    y = 3 + np.sin(x[:, 0]) + 0.1 * x[:, 1] + 0.2 * rng.normal(size=300)
+    rows = [(i // 2, *map(float, r), float(t), float(np.exp(t))) for i, (r, t) in enumerate(zip(x, y))]
+    # Unknown values: in no mean of their own column, but the row's other values count; a NULL key is on the train side.
+    rows += [(None, 1.0, 1.0, 1.0, 1.0, 3.0), (500, 9.0, 9.0, 1.0, 1.0, None)] + [(600 + i, None, 3.0 + i, 1.0, 4.0, 60.0) for i in range(30)]
+    df, names = spark.createDataFrame(rows, "id long, a double, b double, c double, y double, price double").repartition(3), ["a", "b", "c"]
+    plain = gp.Hyper(np.ones(3), 1.0, 0.5, rng.normal(size=(8, 3)), 0.1)
+    models = {"plain": plain, "deep": gp.Hyper(np.ones(2), 1.3, 0.4, rng.normal(size=(5, 3)), 0.1, gp.init_net(3, 4, 2, 1))}
+    got = gp.repeated_holdouts(df, names, "y", "price", "id", models, runs=3).collect()
+    assert sorted((r.model, r.run) for r in got) == [(m, r) for m in ("deep", "plain") for r in (1, 2, 3)]
+    for r in got:
+        train, test = sample.train_test(df, "id", str(r.run))
+        scaler = encode.fit_scaler(train, [*names, "y"])
+        model = gp.condition(scaler.transform(train), names, "y", models[r.model])
+        want = evaluate.evaluate(gp.price_band(model.predict(scaler.transform(test)), scaler, "y"), "price", "pred").first()
+        assert np.allclose([r.mae, r.rmse, r.r2], [want.mae, want.rmse, want.r2], rtol=1e-9)
+    # Rows of one key leave runs without test rows or without train rows: every run is there, without metrics.
+    alone = gp.repeated_holdouts(df.where("id = 3"), names, "y", "price", "id", models, runs=10).collect()
+    assert len(alone) == 20 and all(r.mae is None and r.r2 is None for r in alone)
+    with pytest.raises(ValueError):
+        gp.repeated_holdouts(df, names, "y", "price", "id", models, runs=gp.MOST_RUNS + 1)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from lotwise.functions import kernels
 from lotwise.operators import ascent, blocks, gp, grouped_gp as gg, hierarchical as hier, pairwise, profile, sample
+from lotwise.plans import gaussian_process as plans
 from pyspark.sql import functions as F
 
 
@@ -240,3 +241,13 @@ def test_kernel_blocks_hold_no_whole_kernel_matrix():
     e = (2 * k + np.outer(block[:, -1], in_b)) * k
     assert np.isclose(slope[3], e.sum() / 1.3)
     assert np.allclose(slope[4:].reshape(100, 3), e.T @ block[:, :-1] - e.sum(0)[:, None] * z)
+
+
+def test_runs_and_models_of_the_named_holdouts_share_their_scans(spark, tiny, monkeypatch):
+    sums, stages, real_sums, real_stage = [], [], gp.sum_blocks, gp.stage
+    monkeypatch.setattr(gp, "sum_blocks", lambda *a: sums.append(1) or real_sums(*a))
+    monkeypatch.setattr(gp, "stage", lambda *a: stages.append(a[0].columns) or real_stage(*a))
+    found = plans._holdouts(spark, tiny)
+    assert len(sums) == 1 and found.count() == 20
+    # The hashes of the key are made once, while the rows are written.
+    assert stages == [[*plans.PAIR, "log_price", "truth", "tests"]]
