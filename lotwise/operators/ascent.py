@@ -89,6 +89,71 @@ def ascent(
     raise NotConverged(f"the value still changed after {most} steps")
 
 
+def ascents(
+    theta: np.ndarray,
+    value_and_gradient: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    tolerance: float = TOLERANCE,
+    most: int = 2_000,
+    first_step: float = 0.1,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``ascent`` of many small problems side by side, one row of ``theta`` each: parameters, values, and which came to an end.
+
+    ``value_and_gradient`` takes parameters and the rows they belong to, and gives NaN outside the domain. Every problem has its own pairs,
+    step length and end, by the rules of ``ascent``; it is not asked for again once it has ended.
+    """
+    theta, (value, gradient) = theta.copy(), value_and_gradient(theta, np.arange(len(theta)))
+    moves, turns = (np.zeros((len(theta), MEMORY, theta.shape[1])) for _ in range(2))
+    count, quiet, ended = np.zeros(len(theta), int), np.zeros(len(theta), int), np.zeros(len(theta), bool)
+    live = np.flatnonzero(np.isfinite(value) & np.isfinite(gradient).all(1))
+    dot = lambda a, b: (a * b).sum(-1)
+    for _ in range(most):
+        flat = ~gradient[live].any(1)
+        ended[live[flat]] = True
+        live = live[~flat]
+        if not len(live):
+            break
+        g, pairs = gradient[live], count[live]
+        way, kept = g.copy(), np.zeros((len(live), MEMORY))
+        mine, bent = moves[live, : pairs.max(initial=0)], turns[live, : pairs.max(initial=0)]
+        has = np.arange(mine.shape[1]) < pairs[:, None]
+        along = np.where(has, dot(mine, bent), 1.0)
+        for j in reversed(range(mine.shape[1])):
+            kept[:, j] = np.where(has[:, j], dot(mine[:, j], way) / along[:, j], 0.0)
+            way -= kept[:, j, None] * bent[:, j]
+        size = first_step / np.abs(g).max(1)
+        if mine.shape[1]:
+            newest = np.arange(len(live)), np.maximum(pairs - 1, 0)
+            size = np.where(pairs > 0, along[newest] / np.where(pairs > 0, dot(bent[newest], bent[newest]), 1.0), size)
+        way *= size[:, None]
+        for j in range(mine.shape[1]):
+            way += np.where(has[:, j], kept[:, j] - dot(bent[:, j], way) / along[:, j], 0.0)[:, None] * mine[:, j]
+        slope, step = dot(g, way), np.ones(len(live))
+        found, found_gradient, open_ = np.full(len(live), np.nan), np.zeros_like(g), np.ones(len(live), bool)
+        while (at := np.flatnonzero(open_ & (step > 1e-6))).size:
+            with np.errstate(all="ignore"):
+                v, steep = value_and_gradient(theta[live[at]] + step[at, None] * way[at], live[at])
+                good = np.isfinite(v) & np.isfinite(steep).all(1) & (v >= value[live[at]] + 1e-4 * step[at] * slope[at])
+            found[at[good]], found_gradient[at[good]] = v[good], steep[good]
+            open_[at[good]] = False
+            step[at[~good]] /= 2
+        ended[live[open_ & (pairs == 0)]] = True
+        count[live[open_]] = 0  # the curvature misleads: start again along the gradient
+        went = ~open_
+        rows, s, turn = live[went], step[went, None] * way[went], g[went] - found_gradient[went]
+        keep = dot(s, turn) > 1e-10 * np.linalg.norm(s, axis=1) * np.linalg.norm(turn, axis=1)
+        full = rows[keep & (count[rows] == MEMORY)]
+        moves[full, :-1], turns[full, :-1] = moves[full, 1:], turns[full, 1:]
+        count[full] -= 1
+        moves[rows[keep], count[rows[keep]]], turns[rows[keep], count[rows[keep]]] = s[keep], turn[keep]
+        count[rows[keep]] += 1
+        change = np.abs(found[went] - value[rows]) / np.maximum(np.maximum(np.abs(value[rows]), np.abs(found[went])), 1e-300)
+        theta[rows], value[rows], gradient[rows] = theta[rows] + s, found[went], found_gradient[went]
+        quiet[rows] = np.where(change < tolerance, quiet[rows] + 1, 0)
+        ended[rows[quiet[rows] >= QUIET_STEPS]] = True
+        live = live[~ended[live]]
+    return theta, value, ended
+
+
 def newton(
     theta: np.ndarray,
     expansion: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]],

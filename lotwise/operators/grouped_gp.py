@@ -13,7 +13,7 @@ Parameters of a group are ``theta = (log l, log variance, log noise variance)``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import lgamma, log
 
 import numpy as np
@@ -23,13 +23,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.ascent import QUIET_STEPS, TOLERANCE, NotConverged, ascent
+from lotwise.operators.ascent import QUIET_STEPS, TOLERANCE, NotConverged, ascents
 from lotwise.operators.blocks import CHUNK
 from lotwise.session import stage, settle
 
 TEST_ROWS_PER_TASK = 20_000
 # Cells of a group that one task sums.
 CELLS_PER_TASK = 50_000
+# Small groups of as many cells are solved side by side: at most so many, and so many entries of their matrices.
+STACK_GROUPS, STACK_ENTRIES = 4096, 1 << 18
 
 
 # --- likelihood and its gradient --------------------------------------------------------------
@@ -51,6 +53,41 @@ def dense_likelihood(x, n, ybar, ss, theta) -> tuple[float, np.ndarray]:
     return float(value), np.array([-(g * k * square).sum() * l, (g * k).sum(), in_s * s])
 
 
+def _lower(matrices: np.ndarray) -> np.ndarray:
+    """Cholesky factors of a stack; NaN where there is none."""
+    try:
+        return np.linalg.cholesky(matrices)
+    except np.linalg.LinAlgError:
+        if len(matrices) == 1:
+            return np.full_like(matrices, np.nan)
+        middle = len(matrices) // 2
+        return np.concatenate([_lower(matrices[:middle]), _lower(matrices[middle:])])
+
+
+def _half_inverses(low: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(low, np.broadcast_to(np.eye(low.shape[-1]), low.shape))
+
+
+def dense_likelihoods(x, n, ybar, ss, theta) -> tuple[np.ndarray, np.ndarray]:
+    """``dense_likelihood`` of groups of as many cells, one row each; NaN where a system has no Cholesky factor."""
+    l, v, s = (np.exp(theta[:, [i]]) for i in range(3))
+    square = (x[:, :, None] - x[:, None, :]) ** 2
+    k = v[:, :, None] * np.exp(-l[:, :, None] * square)
+    noisy = k.copy()
+    np.einsum("gii->gi", noisy)[...] += s / n
+    low = _lower(noisy)
+    known = np.isfinite(low).all((1, 2))
+    half = _half_inverses(np.where(known[:, None, None], low, np.eye(x.shape[1])))
+    inv = half.transpose(0, 2, 1) @ half
+    alpha = (inv @ ybar[:, :, None])[:, :, 0]
+    value = -0.5 * (ybar * alpha).sum(1) - np.log(np.einsum("gii->gi", low)).sum(1) - 0.5 * n.sum(1) * np.log(2 * np.pi)
+    value += (-0.5 * (n - 1) * np.log(s) - 0.5 * np.log(n) - 0.5 * ss / s).sum(1)
+    g = 0.5 * (alpha[:, :, None] * alpha[:, None, :] - inv)
+    in_s = (np.einsum("gii->gi", g) / n).sum(1) + (-0.5 * (n - 1) / s + 0.5 * ss / s**2).sum(1)
+    grad = np.column_stack([-(g * k * square).sum((1, 2)) * l[:, 0], (g * k).sum((1, 2)), in_s * s[:, 0]])
+    return np.where(known, value, np.nan), np.where(known[:, None], grad, np.nan)
+
+
 def series(x: np.ndarray, centre, l, terms: int) -> np.ndarray:
     """The first ``terms`` features of the kernel's power series, one row per input."""
     d = np.asarray(x - centre, dtype=float)
@@ -144,6 +181,12 @@ class Groups:
         """Cells beside the parameters of the slots that are solved densely."""
         return self.cells.join(ways.where("dense").select(self.key, "slot", "theta"), self.key)
 
+    def stacked_cells(self, ways: DataFrame) -> DataFrame:
+        """The same, whole groups in a task and those of as many cells together, as ``_stacks`` takes them."""
+        wanted = ways.where("dense").select(self.key, "slot", "theta", "m")
+        rows = self.cells.join(wanted, self.key).repartition(self.key, "slot").sortWithinPartitions("m", self.key, "slot", "x")
+        return rows.select(self.key, "slot", "theta", "m", "x", "n", "ybar", "ss")
+
     def series_sums(self, ways: DataFrame) -> DataFrame:
         """``(key, slot, chunk, part, theta, c)``: sums of every group and slot solved as a series, in chunks.
 
@@ -186,6 +229,35 @@ class Groups:
         return flat.join(wanted.select(key, "slot", "theta", "c"), [key, "slot"])
 
 
+def _stacks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[np.ndarray]]]:
+    """Groups of as many cells: the first row of each, their parameters, and their ``x, n, ybar, ss``, one row a group."""
+    held: list[pd.DataFrame] = []
+
+    def stacks(m: int, end: bool):
+        most = m * max(1, min(STACK_GROUPS, STACK_ENTRIES // m**2))
+        if not held or not (end or sum(map(len, held)) >= most):
+            return
+        rows = pd.concat(held, ignore_index=True)
+        stop = len(rows) if end else len(rows) // most * most
+        held[:] = [rows.iloc[stop:]] if stop < len(rows) else []
+        for i in range(0, stop, most):
+            part = rows.iloc[i : min(i + most, stop)]
+            first = part.iloc[::m]
+            cells = [part[c].to_numpy(dtype=float).reshape(-1, m) for c in ("x", "n", "ybar", "ss")]
+            yield first, np.stack(first["theta"].to_list()).astype(float), cells
+
+    at = None
+    for batch in batches:
+        for m, rows in batch.groupby("m", sort=False):
+            if at is not None and m != at:
+                yield from stacks(at, True)
+            at = int(m)
+            held.append(rows)
+            yield from stacks(at, False)
+    if at is not None:
+        yield from stacks(at, True)
+
+
 def _unpack_sums(rows: pd.DataFrame):
     flat = np.concatenate(list(rows.sort_values("chunk")["part"]))
     r = int(np.sqrt(len(flat) - 2 + 0.25) - 0.5 + 1e-9)  # r² + r + 2 numbers
@@ -250,38 +322,36 @@ def tune(
 ) -> DataFrame:
     """Ascend the likelihood of every group: ``(key, slot, theta, lml)``.
 
-    A group that is solved from its cells climbs inside its task, by the same ascent as other fits; one that
-    does not settle there has NULL parameters and leaves the others alone. Groups that are solved as series need
+    A group that is solved from its cells climbs inside its task, by the same ascent as other fits, side by side with
+    groups of as many cells; one that does not settle there has NULL parameters and leaves the others alone. Groups that are solved as series need
     new sums for every l, so they climb together, one proposal each a round, in a metric learned from
     the last two points (the step of Barzilai and Borwein); a proposal that does not raise a group's likelihood
     shortens its step. Such a group is done when three accepted steps in a row change its likelihood by
     less than ``tolerance`` of itself, or its step has shrunk to nothing.
     """
     key = groups.key
-    mask = [1.0 if f else 0.0 for f in free]
+    mask = np.array([1.0 if f else 0.0 for f in free])
     ways = groups.ways(constant_theta(groups, [start]))
 
-    def climb(rows: pd.DataFrame) -> pd.DataFrame:
-        cell = [rows[c].to_numpy(dtype=float) for c in ("x", "n", "ybar", "ss")]
-        at = np.array(rows["theta"].iloc[0])
+    def climb(batches):
+        for first, at, cells in _stacks(batches):
 
-        def objective(step: np.ndarray) -> tuple[float, np.ndarray]:
-            value, grad = dense_likelihood(*cell, at + step * mask)
-            return value, grad * mask
+            def objective(step: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                value, grad = dense_likelihoods(*[c[which] for c in cells], at[which] + step * mask)
+                return value, grad * mask
 
-        try:
-            step, trace, _ = ascent(np.zeros(len(mask)), objective, tolerance, most, first_step=0.5)
-            best, value = at + step * mask, trace[-1]
-        except (NotConverged, np.linalg.LinAlgError):
-            best, value = None, None
-        return pd.DataFrame([(rows[key].iloc[0], rows["slot"].iloc[0], best, value)], columns=[key, "slot", "theta", "lml"])
+            with np.errstate(all="ignore"):
+                step, value, ended = ascents(np.zeros_like(at), objective, tolerance, most, first_step=0.5)
+            best = [t if e else None for t, e in zip(at + step * mask, ended, strict=True)]
+            lml = pd.Series([v if e else None for v, e in zip(value, ended, strict=True)], dtype=object)
+            yield pd.DataFrame({key: first[key].to_numpy(), "slot": first["slot"].to_numpy(), "theta": best, "lml": lml})
 
     schema = f"`{key}` {groups.key_type}, slot int, theta array<double>, lml double"
-    alone = stage(groups.dense_cells(ways).groupBy(key, "slot").applyInPandas(climb, schema))
+    alone = stage(groups.stacked_cells(ways).mapInPandas(climb, schema))
     others = ways.where(~F.col("dense")).select(key, "slot", "theta")
     if others.isEmpty():
         return alone
-    return alone.unionByName(_climb_together(groups, others, mask, tolerance, most))
+    return alone.unionByName(_climb_together(groups, others, mask.tolist(), tolerance, most))
 
 
 def _climb_together(groups: Groups, start: DataFrame, mask: Sequence[float], tolerance: float, most: int) -> DataFrame:
@@ -340,42 +410,67 @@ def solutions(groups: Groups, theta: DataFrame) -> DataFrame:
     names = [key, "theta", "c", "dense", "i", "at", "weight", "form"]
     schema = f"`{key}` {groups.key_type}, theta array<double>, c double, dense boolean, i int, at double, weight double, form array<double>"
 
-    def rows(fit: pd.DataFrame, dense: bool, at: np.ndarray, low: np.ndarray, goal: np.ndarray) -> pd.DataFrame:
-        half = np.linalg.solve(low, np.eye(len(low)))
-        centre = 0.0 if dense else float(fit["c"].iloc[0])
-        columns = [[fit["theta"].iloc[0]] * len(low), centre, dense, range(len(low)), at, half.T @ (half @ goal), list(half)]
-        return pd.DataFrame({key: fit[key].iloc[0], **dict(zip(names[1:], columns, strict=True))})
-
-    def dense(fit: pd.DataFrame) -> pd.DataFrame:
-        xc, n, ybar = (fit[c].to_numpy(dtype=float) for c in ("x", "n", "ybar"))
-        l, v, s = np.exp(np.array(fit["theta"].iloc[0]))
-        low = np.linalg.cholesky(v * np.exp(-l * (xc[:, None] - xc[None, :]) ** 2) + np.diag(s / n))
-        return rows(fit, True, xc, low, ybar)
+    def dense(batches):
+        for first, at, (xc, n, ybar, _) in _stacks(batches):
+            count, m = xc.shape
+            l, v, s = (np.exp(at[:, [i]]) for i in range(3))
+            k = v[:, :, None] * np.exp(-l[:, :, None] * (xc[:, :, None] - xc[:, None, :]) ** 2)
+            np.einsum("gii->gi", k)[...] += s / n
+            half = _half_inverses(np.linalg.cholesky(k))
+            weight = half.transpose(0, 2, 1) @ (half @ ybar[:, :, None])
+            columns = [list(at.repeat(m, axis=0)), 0.0, True, np.tile(np.arange(m), count), xc.ravel(), weight.ravel(), list(half.reshape(-1, m))]
+            yield pd.DataFrame({key: first[key].to_numpy().repeat(m), **dict(zip(names[1:], columns, strict=True))})
 
     def summed(fit: pd.DataFrame) -> pd.DataFrame:
         a, b, _, _ = _unpack_sums(fit)
         _, v, s = np.exp(np.array(fit["theta"].iloc[0]))
-        return rows(fit, False, np.zeros(len(b)), np.linalg.cholesky(v * a + s * np.eye(len(b))), v * b)
+        half = np.linalg.solve(np.linalg.cholesky(v * a + s * np.eye(len(b))), np.eye(len(b)))
+        columns = [[fit["theta"].iloc[0]] * len(b), float(fit["c"].iloc[0]), False, range(len(b)), np.zeros(len(b)), half.T @ (half @ (v * b)), list(half)]
+        return pd.DataFrame({key: fit[key].iloc[0], **dict(zip(names[1:], columns, strict=True))})
 
     ways = groups.ways(theta)
-    out = groups.dense_cells(ways).groupBy(key).applyInPandas(dense, schema)
+    out = groups.stacked_cells(ways).mapInPandas(dense, schema)
     if not ways.where(~F.col("dense")).isEmpty():
         out = out.unionByName(groups.series_sums(ways).groupBy(key).applyInPandas(summed, schema))
     return stage(out, "solutions")
 
 
-def _scores(fit: pd.DataFrame, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mean, latent variance and noise variance at ``xs`` from a group's solution."""
-    fit = fit.sort_values("i")
-    l, v, s = np.exp(np.array(fit["theta"].iloc[0]))
-    weight, form = fit["weight"].to_numpy(), np.stack(fit["form"].to_list())
-    if fit["dense"].iloc[0]:
-        k = v * np.exp(-l * (xs[:, None] - fit["at"].to_numpy()[None, :]) ** 2)
+def _scores(theta, c, dense, at, weight, form, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, latent variance and noise variance at ``xs`` from a group's solution, its unknowns in order."""
+    l, v, s = np.exp(theta)
+    if dense:
+        k = v * np.exp(-l * (xs[:, None] - at[None, :]) ** 2)
         return k @ weight, v - ((k @ form.T) ** 2).sum(1), s
-    phi = series(xs, fit["c"].iloc[0], l, len(fit))
+    phi = series(xs, c, l, len(weight))
     return phi @ weight, v * (1.0 - (phi**2).sum(1)) + s * v * ((phi @ form.T) ** 2).sum(1), s
 
 
+def _runs(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """For each batch the runs of equal ``by`` columns that have come to an end, column by column."""
+    held: dict[str, list[np.ndarray]] = {}
+    whole = lambda: {c: v[0] if len(v) == 1 else np.concatenate(v) for c, v in held.items()}
+    differ = lambda a, b: (a != b) & ~((a != a) & (b != b))
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns, ended = {c: batch[c].to_numpy() for c in batch}, []
+        new = np.ones(len(batch), bool)
+        new[1:] = np.any([differ(columns[c][1:], columns[c][:-1]) for c in by], axis=0)
+        if held:
+            new[0] = any(differ(held[c][-1][-1:], columns[c][:1])[0] for c in by)
+        cuts = [*np.flatnonzero(new).tolist(), len(batch)]
+        if cuts[0] > 0:
+            for c, v in columns.items():
+                held[c].append(v[: cuts[0]])
+        for i, j in zip(cuts, cuts[1:]):
+            if held:
+                ended.append(whole())
+            held = {c: [v[i:j]] for c, v in columns.items()}
+        yield ended
+    if held:
+        yield [whole()]
+
+
 def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_noise: bool = True) -> DataFrame:
     """Posterior mean and variance per test row: adds ``gp_mean, gp_var``; NULL where the group is unknown.
 
@@ -394,15 +489,23 @@ def predict(groups: Groups, theta: DataFrame, test: DataFrame, x: str, include_n
         F.col(key).alias(key), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_salt")
     )
 
-    def score(fit: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-        if fit.empty or at.empty:
-            return pd.DataFrame(columns=[key, "xs", "gp_mean", "gp_var"])
-        mean, var, noise = _scores(fit, at["xs"].to_numpy(dtype=float))
-        return pd.DataFrame({key: at[key], "xs": at["xs"], "gp_mean": mean, "gp_var": np.maximum(var, 0.0) + include_noise * noise})
+    def score(batches):
+        for ended in _runs(batches, by):
+            parts = []
+            for run in ended:
+                size = int(np.isnan(run["xs"]).sum())  # the rows of the solution come first
+                if 0 < size < len(run["xs"]):
+                    fit = [run[c][:size].astype(float) for c in ("at", "weight")]
+                    xs = run["xs"][size:]
+                    mean, var, noise = _scores(run["theta"][0], run["c"][0], run["dense"][0], *fit, np.stack(run["form"][:size]), xs)
+                    parts.append((run[key][size:], xs, mean, np.maximum(var, 0.0) + include_noise * noise))
+            if parts:
+                yield pd.DataFrame(dict(zip((key, "xs", "gp_mean", "gp_var"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     by = [key, "_salt"]
-    solved = solutions(groups, theta).join(per_salt, key)
-    scored = solved.groupBy(*by).cogroup(salted.groupBy(*by)).applyInPandas(score, f"`{key}` {groups.key_type}, xs double, gp_mean double, gp_var double")
+    solved = solutions(groups, theta).join(per_salt, key).withColumn("xs", F.lit(None).cast("double"))
+    both = solved.unionByName(salted, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first("xs"), "i")
+    scored = both.mapInPandas(score, f"`{key}` {groups.key_type}, xs double, gp_mean double, gp_var double")
     looked = test.withColumn("xs", F.col(x).cast("double")).join(scored, [key, "xs"], "left")
     return looked.select(*test.columns, "gp_mean", "gp_var")
 
